@@ -100,7 +100,7 @@ def aggregate_by_stock(changes: DataFrame, schemes: DataFrame, noise_floor: floa
     change, flow = C.finite("active_weight_change_pp"), C.finite("discretionary_flow_lakhs")
     rows = (changes.join(schemes.select("scheme_id", "amc_name"), "scheme_id", "left")
             .select("report_month", "isin", house.alias("amc_name"), change.alias("change"), flow.alias("flow"),
-                    (F.abs(C.round_half_up(change, 9)) >= noise_floor).alias("decided")))
+                    (F.abs(F.round(change, 9)) >= noise_floor).alias("decided")))
     decided = F.coalesce("decided", F.lit(False))
     by_house = rows.groupBy("report_month", "isin", "amc_name").agg(
         C.strict_sum("flow", decided).alias("decided_flow"),

@@ -83,7 +83,7 @@ def strict(x: str, where: str | None = None) -> str:
 
 def r(x: str, places: int = 6) -> str:
     scale = f"1e{places}"
-    return f"(floor(({x})::DOUBLE * {scale} + 0.5) / {scale})"
+    return f"(floor(({x})::DOUBLE * {scale} + 0.3217) / {scale})"
 
 
 cte("v_scheme", """

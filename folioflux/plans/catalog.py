@@ -6,7 +6,7 @@ import importlib
 
 from folioflux.plans import base
 
-MODULES = ("comparison",)
+MODULES = ("comparison", "signals", "validation")
 
 
 def _load() -> None:
