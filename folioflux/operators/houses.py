@@ -53,11 +53,35 @@ def fund_house_activity(comparison: DataFrame, loaded: DataFrame) -> DataFrame:
                          F.col("biggest.change_pct").alias("biggest_change_pct"))
 
 
-def selected_house_groups(activity: DataFrame, roster: DataFrame) -> DataFrame:
-    """Fixed roster (group_name, position, display_name, alias) left-joined to activity; missing houses show zeros."""
-    months = activity.select("report_month").distinct()
-    wanted = roster.join(months.agg(F.collect_set("report_month").alias("_m"))).select("*", F.explode("_m").alias("report_month"))
+# The eight selected houses in their two groups, with the names each is stored under.
+HOUSE_GROUPS = (
+    ("India\u2019s five largest fund houses", (
+        ("SBI Mutual Fund", ("SBI AMC", "SBI Mutual Fund")),
+        ("ICICI Prudential Mutual Fund", ("ICICI Prudential AMC", "ICICI Prudential Mutual Fund")),
+        ("HDFC Mutual Fund", ("HDFC AMC", "HDFC Mutual Fund")),
+        ("Nippon India Mutual Fund", ("Nippon India AMC", "Nippon India Mutual Fund")),
+        ("Kotak Mahindra Mutual Fund", ("Kotak Mahindra AMC", "Kotak AMC", "Kotak Mahindra Mutual Fund")),
+    )),
+    ("Three more foreign-owned fund houses in India", (
+        ("Mirae Asset Mutual Fund", ("Mirae Asset AMC", "Mirae Asset Mutual Fund")),
+        ("Franklin Templeton Mutual Fund", ("Franklin Templeton AMC", "Franklin Templeton Mutual Fund")),
+        ("HSBC Mutual Fund", ("HSBC AMC", "HSBC Mutual Fund")),
+    )),
+)
+
+
+def selected_house_groups(activity: DataFrame, groups=HOUSE_GROUPS) -> DataFrame:
+    """The fixed roster per month, each house under its first loaded alias; unloaded houses show zeros."""
+    entries = F.array(*[F.struct(F.lit(g).alias("group_no"), F.lit(title).alias("group_title"), F.lit(p).alias("position"),
+                                 F.lit(name).alias("display_name"), F.lit(a).alias("alias_no"), F.lit(alias).alias("amc_name"))
+                        for g, (title, houses) in enumerate(groups, 1)
+                        for p, (name, aliases) in enumerate(houses, 1) for a, alias in enumerate(aliases, 1)])
+    wanted = activity.select("report_month").distinct().select("report_month", F.explode(entries).alias("e")).select("report_month", "e.*")
+    values = ("loaded", "compared", "increased", "reduced", "biggest_isin")
+    found = wanted.join(activity.select("report_month", "amc_name", *values, F.lit(1).alias("_f")), ["report_month", "amc_name"], "left")
+    first = F.struct(F.col("_f").isNull(), F.col("alias_no"))
+    picked = found.groupBy("report_month", "group_no", "group_title", "position", "display_name").agg(
+        F.min_by(F.struct("amc_name", *values), first).alias("h"))
     zero = F.lit(0).cast("bigint")
-    return (wanted.join(activity.withColumnRenamed("amc_name", "alias"), ["report_month", "alias"], "left")
-            .select("report_month", "group_name", "position", "display_name",
-                    *[F.coalesce(c, zero).alias(c) for c in ("loaded", "compared", "increased", "reduced")], "biggest_isin"))
+    return picked.select("report_month", "group_no", "group_title", "position", "display_name", "h.amc_name",
+                         *[F.coalesce(f"h.{c}", zero).alias(c) for c in values[:4]], "h.biggest_isin")

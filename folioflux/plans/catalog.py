@@ -6,7 +6,7 @@ import importlib
 
 from folioflux.plans import base
 
-MODULES = ("comparison", "signals", "validation")
+MODULES = ("comparison", "signals", "validation", "audit")
 
 
 def _load() -> None:

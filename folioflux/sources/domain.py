@@ -220,3 +220,42 @@ class Domain:
                         F.concat(F.lit("https://example.com/"), F.lower("amc_name")).alias("source_url"),
                         F.sha2(F.concat_ws("|", "amc_name", "report_month"), 256).alias("source_sha256"),
                         "exhaustive"))
+
+    # -- provenance -------------------------------------------------------------------------
+
+    @cached_property
+    def disclosure_sources(self) -> DataFrame:
+        """One workbook per (house, month)."""
+        books = (self.scheme_months.join(self.schemes, "scheme_id")
+                 .select("amc_name", "house_no", "report_month").distinct())
+        key = F.concat_ws("|", "amc_name", "report_month")
+        return books.select(
+            F.sha2(key, 256).alias("sha256"), F.concat("amc_name", F.lit("-"), "report_month", F.lit(".xlsx")).alias("workbook_name"),
+            F.concat(F.when(F.col("house_no") % 3 == 0, "file:///").otherwise("https://example.com/"), F.lower("amc_name")).alias("source_url"),
+            F.concat("report_month", F.lit("-28")).alias("retrieved_at"),
+            F.when(F.col("house_no") % 4 != 0, F.date_add(C.month_end("report_month"), 8).cast("string")).alias("published_at"))
+
+    def _snapshot_keys(self) -> DataFrame:
+        return (self.scheme_months.join(self.schemes.select("scheme_id", "amc_name"), "scheme_id")
+                .withColumn("midx", C.month_index("report_month"))
+                .withColumn("sha", F.sha2(F.concat_ws("|", "amc_name", "report_month"), 256)))
+
+    @cached_property
+    def snapshot_sources(self) -> DataFrame:
+        return (self._snapshot_keys().filter((F.col("scheme_id") + F.col("midx")) % 19 != 0)
+                .select("scheme_id", "report_month", F.col("sha").alias("source_sha256"), F.lit("p2").alias("parser_version")))
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        """Original rows of most holdings; every eleventh month also keeps a superseded revision."""
+        line = F.row_number().over(W.partitionBy("scheme_id", "report_month").orderBy("isin")) + 2
+        rows = (self.holdings.withColumn("row_number", line)
+                .join(self._snapshot_keys(), ["scheme_id", "report_month"])
+                .filter((F.col("scheme_id") + F.col("midx")) % 5 != 0))
+        old = F.sha2(F.concat_ws("|", "amc_name", "report_month", F.lit("v1")), 256)
+        current = F.array(F.col("sha"))
+        return (rows.withColumn("source_sha256", F.explode(F.when(F.col("midx") % 11 == 0, F.array(F.col("sha"), old)).otherwise(current)))
+                .select("scheme_id", "report_month", "isin", "source_sha256", F.lit("Portfolio").alias("sheet"), "row_number",
+                        F.to_json(F.struct("isin", "quantity")).alias("raw_json"),
+                        F.to_json(F.struct("isin", "quantity", "market_value_lakhs", "pct_nav")).alias("normalized_json"),
+                        F.lit("p2").alias("parser_version")))
