@@ -158,11 +158,11 @@ def split_candidate(prev_qty: Column, prev_px: Column, curr_qty: Column, curr_px
     return found
 
 
-def infer_split_ratios(pairs: DataFrame) -> DataFrame:
+def infer_split_ratios(pairs: DataFrame, unreadable_veto: bool = True) -> DataFrame:
     """(report_month, isin, split_ratio) shared by every holder of both months.
 
     ``pairs`` carries in_prev/in_curr and both sides' quantity and value as
-    reported; one unreadable holder vetoes the inference. Everything is a
+    reported; one unreadable holder vetoes the inference (not under the legacy rules). Everything is a
     map-side-combined aggregate, so a security held by most schemes is reduced
     to one partial row per task before the shuffle.
     """
@@ -183,7 +183,8 @@ def infer_split_ratios(pairs: DataFrame) -> DataFrame:
         agreed = ((F.col(f"gap{i}") <= SPLIT_QTY_TOLERANCE)
                   & (F.round(F.abs(price_ratio * k - 1.0), 9) <= SPLIT_PRICE_TOLERANCE))
         found = F.when(agreed, F.lit(k)).otherwise(found)
-    return (stats.filter(~F.col("veto") & (F.col("n") > 0)).withColumn("split_ratio", found)
+    allowed = ~F.col("veto") if unreadable_veto else F.lit(True)
+    return (stats.filter(allowed & (F.col("n") > 0)).withColumn("split_ratio", found)
             .filter(F.col("split_ratio").isNotNull()).select("report_month", "isin", "split_ratio"))
 
 
@@ -193,9 +194,9 @@ def confirmed_splits(actions: DataFrame) -> DataFrame:
             .agg(F.max("ratio").alias("confirmed_ratio")))
 
 
-def split_ratios(pairs: DataFrame, actions: DataFrame | None) -> DataFrame:
+def split_ratios(pairs: DataFrame, actions: DataFrame | None, unreadable_veto: bool = True) -> DataFrame:
     """Inferred ratios overridden by confirmed ones: (report_month, isin, split_ratio, adjustment_basis)."""
-    inferred = infer_split_ratios(pairs)
+    inferred = infer_split_ratios(pairs, unreadable_veto)
     if actions is None:
         return inferred.withColumn("adjustment_basis", F.lit("inferred"))
     both = inferred.join(confirmed_splits(actions), ["report_month", "isin"], "full_outer")
