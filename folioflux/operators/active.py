@@ -14,14 +14,13 @@ NOISE_FLOOR_PP = 0.05
 RUPEES_PER_LAKH = 1e5
 
 
-def scored_pairs(pairs: DataFrame, eligible_any: DataFrame, stocks: DataFrame,
+def scored_pairs(pairs: DataFrame, voters: DataFrame, stocks: DataFrame,
                  instrument: str | None = "equity") -> DataFrame:
     """Paired holdings of the voting schemes, restricted to one instrument class.
 
     The voting set is taken before the instrument filter: a scheme compared on
     any holding is scored on its equity sleeve.
     """
-    voters = eligible_any.filter(F.col("prev_month").isNotNull()).select("scheme_id", "report_month").distinct()
     listed = stocks if instrument is None else stocks.filter(F.col("instrument_type") == instrument)
     return (pairs.join(voters, ["scheme_id", "report_month"], "left_semi")
             .join(listed.select("isin"), "isin", "left_semi"))
@@ -118,9 +117,9 @@ def aggregate_by_stock(changes: DataFrame, schemes: DataFrame, noise_floor: floa
         "discretionary_flow_lakhs", "active_weight_change_pp_sum")
 
 
-def active_consensus(pairs: DataFrame, eligible_any: DataFrame, schemes: DataFrame, stocks: DataFrame,
+def active_consensus(pairs: DataFrame, voters: DataFrame, schemes: DataFrame, stocks: DataFrame,
                      actions: DataFrame | None = None, closes: DataFrame | None = None,
                      instrument: str | None = "equity") -> DataFrame:
-    scored = scored_pairs(pairs, eligible_any, stocks, instrument)
+    scored = scored_pairs(pairs, voters, stocks, instrument)
     changes = active_weight_changes(scored, split_ratios(scored, actions), closes)
     return aggregate_by_stock(changes, schemes)

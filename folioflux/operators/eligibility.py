@@ -24,7 +24,7 @@ def quarantined(status: DataFrame) -> DataFrame:
 def withheld_scheme_months(status: DataFrame | None, bad_quantity: DataFrame) -> DataFrame:
     if status is None:
         return bad_quantity
-    return quarantined(status).unionByName(bad_quantity).distinct()
+    return quarantined(status).unionByName(bad_quantity)
 
 
 def comparable_scheme_months(status: DataFrame, bad_quantity: DataFrame) -> DataFrame:
@@ -57,6 +57,21 @@ def eligible_deltas(deltas: DataFrame, schemes: DataFrame, stocks: DataFrame, st
             .join(withheld.withColumnRenamed("report_month", "prev_month"), ["scheme_id", "prev_month"], "left_anti"))
 
 
+def compared_voters(deltas: DataFrame, schemes: DataFrame, stocks: DataFrame, status: DataFrame | None,
+                    bad_quantity: DataFrame, active_only: bool = True) -> DataFrame:
+    """(scheme_id, report_month) compared on any instrument and free to vote.
+
+    Deltas are reduced to scheme-months before the eligibility joins.
+    """
+    votes = active_equity(schemes) if active_only else schemes
+    withheld = withheld_scheme_months(status, bad_quantity)
+    return (deltas.filter(F.col("prev_month").isNotNull()).join(stocks.select("isin"), "isin", "left_semi")
+            .select(*KEYS, "prev_month").distinct().join(votes.select("scheme_id"), "scheme_id", "left_semi")
+            .join(withheld, KEYS, "left_anti")
+            .join(withheld.withColumnRenamed("report_month", "prev_month"), ["scheme_id", "prev_month"], "left_anti")
+            .select(*KEYS))
+
+
 def voting_schemes(eligible: DataFrame) -> DataFrame:
     return eligible.select("report_month", "scheme_id", "amc_name").distinct()
 

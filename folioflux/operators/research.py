@@ -150,7 +150,7 @@ def pooled(results: DataFrame, names: tuple[str, ...], excess: str = "excess_mea
     usable = (~F.col("partial_period")) & (F.col(size) > 0)
     x = F.when(usable, F.col(excess))
     stats = results.filter(F.col("group_name").isin(*names)).groupBy("group_name").agg(
-        F.count(x).alias("periods"), F.avg(x).alias("mean_excess"), C.flag_count(x > 0).alias("periods_won"), F.stddev_samp(x).alias("_sd"))
+        F.count(x).alias("periods"), F.avg(x).alias("mean_excess"), C.flag_count(F.round(x, 12) > 0).alias("periods_won"), F.stddev_samp(x).alias("_sd"))
     t = F.col("mean_excess") / (F.col("_sd") / F.sqrt(F.col("periods")))
     return stats.select("group_name", "periods", "mean_excess", "periods_won",
                         F.when((F.col("periods") >= 2) & (F.col("_sd") > 0), t).alias("t_stat"))
@@ -233,7 +233,7 @@ def score_quarters(panel: DataFrame, periods: DataFrame, prices_daily: DataFrame
     rows = (priced.withColumn("_n", F.count(F.lit(1)).over(quarter))
             .withColumn("_rank", F.row_number().over(quarter.orderBy("d_mf", "isin")))
             .withColumn("_sized", F.coalesce(sized, F.lit(False)))
-            .withColumn("_ns", C.flag_count(F.col("_sized")).over(quarter))
+            .withColumn("_ns", F.sum(F.col("_sized").cast("int")).over(quarter))
             .withColumn("_srank", F.row_number().over(W.partitionBy("quarter_end", "_sized").orderBy("traded_value", "isin")))
             .withColumn("_fifth", F.when(F.col("_n") >= FIFTHS, equal_bins(F.col("_rank"), F.col("_n"), FIFTHS)).otherwise(-1))
             .withColumn("_band", F.when(F.col("_sized") & (F.col("_ns") >= MIN_SIZED), equal_bins(F.col("_srank"), F.col("_ns"), SIZE_BANDS)))

@@ -38,6 +38,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+# Computed once on the SQL side, so joins above them are not reordered into their inputs.
+FENCES = {"v_holdings", "v_pairs", "v_deltas", "v_eligible_any", "v_cmp", "v_weights", "v_consensus", "v_joined", "v_periods", "v_entry",
+          "v_exit", "v_panel", "v_qperiods", "v_qentry", "v_qexit", "v_qpanel", "v_prices_daily", "v_filings"}
+
+
 def cte(name: str, sql: str) -> None:
     CTES[name] = sql
 
@@ -52,7 +57,7 @@ def with_ctes(sql: str) -> str:
                 visit(CTES[name])
                 ordered.append(name)
     visit(sql)
-    parts = ",\n".join(f"{name} AS ({CTES[name]})" for name in ordered)
+    parts = ",\n".join(f"{name} AS {'MATERIALIZED ' if name in FENCES else ''}({CTES[name]})" for name in ordered)
     if not parts:
         return sql
     body = sql.strip()

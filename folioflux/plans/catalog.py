@@ -6,7 +6,7 @@ import importlib
 
 from folioflux.plans import base
 
-MODULES = ("comparison", "signals", "validation", "audit")
+MODULES = ("comparison", "signals", "validation", "audit", "studies")
 
 
 def _load() -> None:

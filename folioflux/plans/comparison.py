@@ -12,11 +12,11 @@ from folioflux.plans.base import cte, index_of, month_of, query, r
 
 
 def pairs_of(d):
-    return D.pair_months(d.holdings)
+    return d.pairs
 
 
 def bad_of(d):
-    return E.bad_domestic_quantity(d.holdings, d.stocks)
+    return d.bad_quantity
 
 
 def eligible_of(d, instrument="equity"):
@@ -111,7 +111,7 @@ def _(d):
 
 @query("bad_domestic_quantity", "SELECT scheme_id, report_month FROM v_bad")
 def _(d):
-    return bad_of(d)
+    return E.bad_domestic_quantity(d.holdings, d.stocks)
 
 
 @query("quarantined_scheme_months", "SELECT scheme_id, report_month FROM v_status WHERE status = 'quarantined'")

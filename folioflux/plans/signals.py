@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioflux.functions import columns as C
 from folioflux.operators import active as A
 from folioflux.operators import consensus as S
+from folioflux.operators import eligibility as E
 from folioflux.operators import houses as H
 from folioflux.operators.compare import split_ratios
 from folioflux.plans.base import cte, index_of, query, r, strict
@@ -16,7 +17,7 @@ POS = ("quantity_prev > 0 AND quantity_curr > 0 AND market_value_lakhs_prev > 0
 
 
 def scored_of(d):
-    return A.scored_pairs(pairs_of(d), eligible_of(d, None), d.stocks)
+    return A.scored_pairs(pairs_of(d), E.compared_voters(d.deltas, d.schemes, d.stocks, d.status, d.bad_quantity), d.stocks)
 
 
 def changes_of(d):

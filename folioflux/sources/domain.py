@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from folioflux.functions import classify as K
 from folioflux.functions import columns as C
+from folioflux.operators.compare import diff_pairs, pair_months
+from folioflux.operators.eligibility import bad_domestic_quantity
 from folioflux.sources.staging import stage
 
 SPLIT_BRAND = 9
@@ -62,10 +64,10 @@ class Domain:
                          F.col("n_name").alias("amc_name"), F.col("s_name").alias("scheme_name"),
                          F.concat_ws(" ", "n_name", kind).alias("scheme_title"),
                          F.col("n_nationkey").alias("house_no")))
-        return named.select(
+        return self._stage("schemes", named.select(
             "scheme_id", "amc_name", "scheme_name",
             K.normalize_scheme_name("scheme_name").alias("scheme_key"), "scheme_title",
-            K.classify_scheme("scheme_name", "scheme_title").alias("is_active_equity"), "house_no")
+            K.classify_scheme("scheme_name", "scheme_title").alias("is_active_equity"), "house_no"))
 
     @cached_property
     def stocks(self) -> DataFrame:
@@ -126,10 +128,19 @@ class Domain:
             .select("scheme_id", "report_month",
                     F.when((F.col("nav") > 110) | (F.col("bad") > 0), "quarantined").otherwise("ok").alias("status"))))
 
+    @cached_property
+    def bad_quantity(self) -> DataFrame:
+        """Scheme-months with an unreadable equity quantity."""
+        return self._stage("bad_quantity", bad_domestic_quantity(self.holdings, self.stocks))
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """Both sides of every month-over-month comparison."""
+        return self._stage("pairs", pair_months(self.holdings))
+
     @cached_property
     def deltas(self) -> DataFrame:
-        from folioflux.operators.compare import deltas_all_months
-        return self._stage("deltas", deltas_all_months(self.holdings))
+        return self._stage("deltas", diff_pairs(self.pairs))
 
     # -- filings and prices ----------------------------------------------------------
 

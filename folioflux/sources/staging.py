@@ -39,3 +39,21 @@ def stage(spark: SparkSession, source: str, name: str, df: DataFrame) -> DataFra
     path = f"{root}/folioflux/{app}/{where}/{name}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute a frame once and continue from a reliable checkpoint of it.
+
+    Used where one result feeds several branches of a plan, so its lineage is
+    not planned and run once per branch. Checkpoint files live in the shared
+    folder, so a lost executor only re-reads them. Where no shared folder is
+    known the frame is returned unchanged.
+    """
+    spark = df.sparkSession
+    root = shared_folder(spark)
+    if root is None:
+        return df
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(f"{root}/folioflux-checkpoints")
+    return df.checkpoint(eager=True)
