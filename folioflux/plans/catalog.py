@@ -6,7 +6,7 @@ import importlib
 
 from folioflux.plans import base
 
-MODULES = ("comparison", "signals", "validation", "audit", "studies")
+MODULES = ("comparison", "signals", "validation", "audit", "studies", "ingestion")
 
 
 def _load() -> None:

@@ -270,3 +270,54 @@ class Domain:
                         F.to_json(F.struct("isin", "quantity")).alias("raw_json"),
                         F.to_json(F.struct("isin", "quantity", "market_value_lakhs", "pct_nav")).alias("normalized_json"),
                         F.lit("p2").alias("parser_version")))
+
+    # -- raw disclosure sheets ---------------------------------------------------------------
+
+    @cached_property
+    def raw_rows(self) -> DataFrame:
+        """One sheet per scheme-month: title rows, a header in one of four wordings, holdings, totals and notes."""
+        own = W.partitionBy("scheme_id", "report_month")
+        key = ["amc_name", "report_month", "scheme_id", "scheme_name", "scheme_title"]
+        held = (self.holdings.join(self.schemes.select("scheme_id", "amc_name", "scheme_name", "scheme_title"), "scheme_id")
+                .withColumn("rn", F.row_number().over(own.orderBy("isin"))).withColumn("cents", F.round(F.col("market_value_lakhs") * 100).cast("bigint"))
+                .withColumn("nv", F.floor(F.col("pct_nav") * 10000 + C.SNAP_OFFSET)))
+        v, odd = F.col("scheme_id") % 4, F.col("scheme_id") % 2 == 1
+        unit = F.when(F.col("scheme_id") % 3 == 0, "e-6").otherwise("e-4")
+
+        def cells(name, isin, industry, quantity, value, nav):
+            parts = [c.cast("string") if hasattr(c, "cast") else F.lit(c).cast("string") for c in (name, isin, industry, quantity, value, nav)]
+            swapped = [parts[1], parts[0], *parts[2:]]
+            return F.when(odd, F.array(*swapped)).otherwise(F.array(*parts))
+        rows = held.select(*key, (F.col("rn") + 3).alias("row_number"), cells(
+            F.concat(F.lit("Security "), "isin"), F.when(v == 1, F.lower("isin")).otherwise(F.col("isin")), "Industry",
+            F.coalesce(F.col("quantity").cast("bigint").cast("string"), F.lit("N.A.")), F.concat(F.col("cents").cast("string"), F.lit("e-2")),
+            F.concat(F.col("nv").cast("string"), unit)).alias("cells"))
+        sheets = held.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("nv").alias("nv"))
+
+        def pick(options):
+            out = F.lit(options[3])
+            for i in (2, 1, 0):
+                out = F.when(v == i, F.lit(options[i]) if isinstance(options[i], str) else options[i]).otherwise(out)
+            return out
+        none = F.lit(None).cast("string")
+        dated = F.date_format(C.month_start("report_month"), "MMMM dd yyyy")
+        title = F.col("scheme_title")
+        first = (F.when(v == 0, F.concat(F.lit("Portfolio of "), title, F.lit(" as on "), dated)).when(v == 1, F.concat(F.lit("Scheme Name : "), title))
+                 .when(v == 2, "Monthly Portfolio Statement").otherwise(title))
+        header = [pick(["Name of the Instrument", "Security Name", "Instrument Name", "Name of Instrument"]),
+                  pick(["ISIN", "ISIN Code", "ISIN  No", "ISIN Number"]), pick(["Industry", "Sector", "Industry / Rating", "Industry+/Rating"]),
+                  pick(["Quantity", "No. of Shares", "Qty", "Quantity (units)"]),
+                  pick(["Market Value (Rs. in Lakhs)", "Market/Fair Value (Rs. in Lacs)", "Market-Value", "Exposure/Market Value(Rs.Lakh) total"]),
+                  pick(["% to NAV", "% to Net Assets", "% to AUM", "Percentage to NAV"])]
+        total = F.concat((F.col("nv") + 20000).cast("string"), unit)
+        entry = lambda at, value: F.struct(at.cast("int").alias("r"), value.alias("c"))
+        extra = F.array_compact(F.array(
+            entry(F.lit(1), F.array(first)), entry(F.lit(2), F.array(F.when(v == 2, title).otherwise(F.lit("As on")), dated)),
+            entry(F.lit(3), cells(*header)),
+            entry(F.col("n") + 4, cells("TREPS", none, none, none, "12345e-2", F.concat(F.lit("20000"), unit))),
+            entry(F.col("n") + 5, cells("Sub Total", none, none, none, none, total)),
+            F.when(F.col("scheme_id") % 5 != 4, entry(F.col("n") + 6, cells("Grand Total", none, none, none, none, total))),
+            F.when(F.col("scheme_id") % 5 == 0, entry(F.col("n") + 7, cells("Recovery note", "INE001A01011", none, "5", "1e0", "1e0")))))
+        around = sheets.select(*key, F.explode(extra).alias("e")).select(*key, F.col("e.r").alias("row_number"), F.col("e.c").alias("cells"))
+        return self._stage("raw_rows", rows.unionByName(around).select(
+            "amc_name", "report_month", F.col("scheme_name").alias("sheet"), "row_number", "cells"))

@@ -9,6 +9,7 @@ import argparse
 import os
 import sys
 import time
+from collections import Counter
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -79,9 +80,10 @@ def compare(spark, con, folder: str, name: str):
         extra = list(set(have) - set(want))[:2]
         lost = list(set(want) - set(have))[:2]
         return False, f"rows {len(have)} != {len(want)}; extra {extra}; lost {lost}", spent
-    bad = [(a, b) for a, b in zip(have, want) if a != b]
-    if bad:
-        return False, f"{len(bad)} of {len(have)} rows differ, cols {got_cols}, first {bad[0]}", spent
+    extra, lost = Counter(have) - Counter(want), Counter(want) - Counter(have)
+    if extra:
+        sample = lambda c: sorted(c, key=str)[:2]
+        return False, f"{sum(extra.values())} of {len(have)} rows differ, cols {got_cols}, got {sample(extra)} want {sample(lost)}", spent
     return True, f"{len(have)} rows", spent
 
 
