@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflux.functions import columns as C
-from folioflux.operators.compare import split_ratios
+from folioflux.operators.compare import agreed_ratio, confirmed_splits, split_statistics
 
 # Votes below this weight change (percentage points) are noise; rupees per lakh.
 NOISE_FLOOR_PP = 0.05
@@ -26,14 +26,17 @@ def scored_pairs(pairs: DataFrame, voters: DataFrame, stocks: DataFrame,
             .join(listed.select("isin"), "isin", "left_semi"))
 
 
-def active_weight_changes(pairs: DataFrame, splits: DataFrame | None = None,
-                          closes: DataFrame | None = None) -> DataFrame:
+def active_weight_changes(pairs: DataFrame, splits: DataFrame | None = None, closes: DataFrame | None = None,
+                          actions: DataFrame | None = None, infer_splits: bool = False) -> DataFrame:
     """Weight change of each (month, scheme, isin) against an untraded portfolio.
 
     ``pairs``: in_prev/in_curr and both sides' quantity and value. ``splits``:
-    (report_month, isin, split_ratio). ``closes``: (report_month, isin,
+    (report_month, isin, split_ratio), or ``infer_splits`` to derive them here
+    with confirmed ``actions`` overriding. ``closes``: (report_month, isin,
     close_price) in rupees per share. Windows are keyed on (month, scheme), at
-    most one portfolio of rows.
+    most one portfolio of rows. What a security needs -- market price and split
+    ratio -- is one aggregate over the same flagged rows it is joined back to,
+    so both sides share one exchange.
     """
     one_scheme = W.partitionBy("report_month", "scheme_id")
     q0, v0 = F.col("quantity_prev"), F.col("market_value_lakhs_prev")
@@ -46,30 +49,35 @@ def active_weight_changes(pairs: DataFrame, splits: DataFrame | None = None,
 
     def anywhere(condition):
         return F.coalesce(F.bool_or(condition).over(one_scheme), F.lit(False))
-    rows = pairs.select(
-        "report_month", "scheme_id", "isin",
-        F.when(usable0, q0).alias("q0"), F.when(usable0, v0).alias("v0"),
-        F.when(usable1, q1).alias("q1"), F.when(usable1, v1).alias("v1"),
+    flagged = pairs.select(
+        "report_month", "scheme_id", "isin", held0, held1, q0, v0, q1, v1,
         (anywhere(held0) & anywhere(held1)
          & anywhere((held0 & faulty(q0, v0)) | (held1 & faulty(q1, v1)))).alias("unsafe"),
         (anywhere(usable0) & anywhere(usable1)).alias("shared"))
-    rows = rows.filter(F.col("unsafe") | (F.col("shared") & (F.col("q0").isNotNull() | F.col("q1").isNotNull())))
-
-    def unsafe_null(value):
-        return F.when(~F.col("unsafe"), value)
-    market = (rows.filter(~F.col("unsafe")).groupBy("report_month", "isin")
-              .agg((F.sum("v1") / F.sum("q1")).alias("market_px")))
-    rows = rows.join(market, ["report_month", "isin"], "left")
+    scored = ~F.col("unsafe") & F.col("shared")
+    own1 = scored & usable1
+    security = flagged.groupBy("report_month", "isin").agg(
+        (F.sum(F.when(own1, v1)) / F.sum(F.when(own1, q1))).alias("market_px"),
+        *(split_statistics(held0 & held1) if infer_splits else []))
+    keys = ["report_month", "isin"]
+    nothing = F.lit(None).cast("double")
+    security = security.select(*keys, "market_px", (agreed_ratio() if infer_splits else nothing).alias("split_ratio"))
+    if infer_splits and actions is not None:
+        security = (security.join(confirmed_splits(actions), keys, "left")
+                    .withColumn("split_ratio", F.coalesce("confirmed_ratio", "split_ratio")).drop("confirmed_ratio"))
     if splits is not None:
-        rows = rows.join(splits.select("report_month", "isin", "split_ratio"), ["report_month", "isin"], "left")
-    else:
-        rows = rows.withColumn("split_ratio", F.lit(None).cast("double"))
+        security = security.drop("split_ratio").join(splits.select(*keys, "split_ratio"), keys, "left")
     if closes is not None:
-        rows = rows.join(closes.filter(F.col("close_price") > 0)
-                         .select("report_month", "isin", (F.col("close_price") / RUPEES_PER_LAKH).alias("close_px")),
-                         ["report_month", "isin"], "left")
+        security = security.join(closes.filter(F.col("close_price") > 0).select(
+            *keys, (F.col("close_price") / RUPEES_PER_LAKH).alias("close_px")), keys, "left")
     else:
-        rows = rows.withColumn("close_px", F.lit(None).cast("double"))
+        security = security.withColumn("close_px", nothing)
+
+    def unsafe_null(value):
+        return F.when(~F.col("unsafe"), value)
+    rows = flagged.filter(F.col("unsafe") | (F.col("shared") & (usable0 | usable1))).select(
+        *keys, "scheme_id", "unsafe", F.when(usable0, q0).alias("q0"), F.when(usable0, v0).alias("v0"),
+        F.when(usable1, q1).alias("q1"), F.when(usable1, v1).alias("v1")).join(security, keys)
     ratio = F.coalesce("split_ratio", F.lit(1.0))
     px = F.coalesce(F.col("v1") / F.col("q1"), "market_px", "close_px", F.col("v0") / F.col("q0") / ratio)
     basis = (F.when(F.col("unsafe"), "unavailable").when(F.col("q0").isNull(), "new_position")
@@ -121,5 +129,5 @@ def active_consensus(pairs: DataFrame, voters: DataFrame, schemes: DataFrame, st
                      actions: DataFrame | None = None, closes: DataFrame | None = None,
                      instrument: str | None = "equity") -> DataFrame:
     scored = scored_pairs(pairs, voters, stocks, instrument)
-    changes = active_weight_changes(scored, split_ratios(scored, actions), closes)
+    changes = active_weight_changes(scored, closes=closes, actions=actions, infer_splits=True)
     return aggregate_by_stock(changes, schemes)

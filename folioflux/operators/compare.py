@@ -158,25 +158,20 @@ def split_candidate(prev_qty: Column, prev_px: Column, curr_qty: Column, curr_px
     return found
 
 
-def infer_split_ratios(pairs: DataFrame, unreadable_veto: bool = True) -> DataFrame:
-    """(report_month, isin, split_ratio) shared by every holder of both months.
-
-    ``pairs`` carries in_prev/in_curr and both sides' quantity and value as
-    reported; one unreadable holder vetoes the inference (not under the legacy rules). Everything is a
-    map-side-combined aggregate, so a security held by most schemes is reduced
-    to one partial row per task before the shuffle.
-    """
+def split_statistics(matched: Column) -> list[Column]:
+    """Aggregates that decide a split, over the rows of one (month, security) held on both sides."""
     q0, q1 = F.col("quantity_prev"), F.col("quantity_curr")
     v0, v1 = F.col("market_value_lakhs_prev"), F.col("market_value_lakhs_curr")
     unreadable = F.coalesce((q0 < 0) | (q1 < 0) | (v0 < 0) | (v1 < 0), F.lit(True))
-    considered = (q0 > 0) & (v0 > 0) & (q1 > 0) & (v1 > 0)
+    considered = matched & (q0 > 0) & (v0 > 0) & (q1 > 0) & (v1 > 0)
     ratio = F.when(considered, q1 / q0)
-    stats = (pairs.filter(F.col("in_prev") & F.col("in_curr"))
-             .groupBy("report_month", "isin")
-             .agg(F.bool_or(unreadable).alias("veto"), F.count(ratio).alias("n"),
-                  *[F.sum(F.when(considered, c)).alias(n) for n, c in
-                    (("q0", q0), ("q1", q1), ("v0", v0), ("v1", v1))],
-                  *[F.max(F.round(F.abs(ratio - k) / k, 9)).alias(f"gap{i}") for i, k in enumerate(SPLIT_RATIOS)]))
+    return [F.bool_or(matched & unreadable).alias("veto"), F.count(ratio).alias("n"),
+            *[F.sum(F.when(considered, c)).alias(n) for n, c in (("q0", q0), ("q1", q1), ("v0", v0), ("v1", v1))],
+            *[F.max(F.round(F.abs(ratio - k) / k, 9)).alias(f"gap{i}") for i, k in enumerate(SPLIT_RATIOS)]]
+
+
+def agreed_ratio(unreadable_veto: bool = True) -> Column:
+    """First ratio all holders and the price agree on, from ``split_statistics`` columns; NULL when none."""
     price_ratio = (F.col("v1") / F.col("q1")) / (F.col("v0") / F.col("q0"))
     found = F.lit(None).cast("double")
     for i, k in reversed(list(enumerate(SPLIT_RATIOS))):
@@ -184,7 +179,19 @@ def infer_split_ratios(pairs: DataFrame, unreadable_veto: bool = True) -> DataFr
                   & (F.round(F.abs(price_ratio * k - 1.0), 9) <= SPLIT_PRICE_TOLERANCE))
         found = F.when(agreed, F.lit(k)).otherwise(found)
     allowed = ~F.col("veto") if unreadable_veto else F.lit(True)
-    return (stats.filter(allowed & (F.col("n") > 0)).withColumn("split_ratio", found)
+    return F.when(allowed & (F.col("n") > 0), found)
+
+
+def infer_split_ratios(pairs: DataFrame, unreadable_veto: bool = True) -> DataFrame:
+    """(report_month, isin, split_ratio) shared by every holder of both months.
+
+    ``pairs`` carries in_prev/in_curr and both sides' quantity and value as
+    reported; one unreadable holder vetoes the inference (not under the legacy rules). Everything is a
+    map-side-combined aggregate, so a security held by most schemes is reduced
+    to one partial row per task before the shuffle.
+    """
+    stats = pairs.filter(F.col("in_prev") & F.col("in_curr")).groupBy("report_month", "isin").agg(*split_statistics(F.lit(True)))
+    return (stats.withColumn("split_ratio", agreed_ratio(unreadable_veto))
             .filter(F.col("split_ratio").isNotNull()).select("report_month", "isin", "split_ratio"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from folioflux.functions import columns as C
 from folioflux.functions.classify import is_holding_isin, normalize_scheme_name
 from folioflux.operators.running import last_marker
+from folioflux.sources.staging import cut
 
 SHEET = ["amc_name", "report_month", "sheet"]
 
@@ -71,7 +72,7 @@ def find_header_row(raw: DataFrame) -> DataFrame:
 
 def match_columns(raw: DataFrame, headers: DataFrame) -> DataFrame:
     """0-based position of each canonical column; exact synonyms first, then substrings; plus what is missing."""
-    cells = (raw.join(headers, SHEET).filter(F.col("row_number") == F.col("header_row"))
+    cells = (raw.filter(F.col("row_number") <= HEADER_ROWS).join(headers, SHEET).filter(F.col("row_number") == F.col("header_row"))
              .select(*SHEET, F.posexplode(F.transform("cells", normalize_header)).alias("position", "label")))
     best = []
     for name, synonyms in COLUMN_SYNONYMS.items():
@@ -166,7 +167,8 @@ def sheet_totals(rows: DataFrame) -> DataFrame:
 def parsed_holdings(raw: DataFrame) -> DataFrame:
     """The whole normalisation: raw sheet rows to parsed holding lines on the percent scale."""
     headers = find_header_row(raw)
-    typed = typed_rows(canonical_rows(raw, headers, match_columns(raw, headers)))
+    # Typed rows feed the boundary, the totals and the result: computed once.
+    typed = cut(typed_rows(canonical_rows(raw, headers, match_columns(raw, headers))))
     rows = portfolio_rows(typed, portfolio_boundary(typed))
     factor = F.when(F.col("pct_nav_scale") == "fraction", 100.0).otherwise(1.0)
     return (rows.filter("valid").join(sheet_totals(rows), SHEET)
@@ -178,7 +180,7 @@ def parsed_holdings(raw: DataFrame) -> DataFrame:
 def loader_nav_rescale(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Second scale rule at load: no parser scale on every line and a NAV sum of at most 2 -> fractions."""
     stats = lines.groupBy(*keys).agg(F.sum("pct_nav").alias("_sum"), F.bool_and(F.col("pct_nav_scale").isNotNull()).alias("_scaled"))
-    fractions = ~F.col("_scaled") & (F.coalesce("_sum", F.lit(0.0)) <= LOADER_FRACTION_LIMIT)
+    fractions = ~F.col("_scaled") & (F.round(F.coalesce("_sum", F.lit(0.0)), 9) <= LOADER_FRACTION_LIMIT)
     return (lines.join(stats, keys).withColumn("pct_nav", F.when(fractions, F.col("pct_nav") * 100.0).otherwise(F.col("pct_nav")))
             .drop("_sum", "_scaled"))
 
@@ -210,7 +212,8 @@ def combine_lots(lines: DataFrame, keys: list[str], line_no: str) -> DataFrame:
 def scheme_titles(raw: DataFrame, headers: DataFrame) -> DataFrame:
     """The scheme's full name from the rows above the header, NULL when there is none."""
     lines = F.filter(F.transform(F.flatten(F.transform("cells", lambda c: F.split(F.coalesce(c, F.lit("")), r"\n"))), F.trim), lambda c: c != "")
-    cells = (raw.join(headers, SHEET).filter(F.col("row_number") < F.col("header_row")).withColumn("_l", lines)
+    cells = (raw.filter(F.col("row_number") <= HEADER_ROWS).join(headers, SHEET)
+             .filter(F.col("row_number") < F.col("header_row")).withColumn("_l", lines)
              .select(*SHEET, "row_number", "_l", F.posexplode("_l").alias("pos", "cell")))
     cell, at = F.col("cell"), F.struct("row_number", "pos")
     dated, named = cell.rlike(DATED_TITLE), cell.rlike(NAMED_TITLE)
@@ -247,7 +250,8 @@ def stacked_sections(raw: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFr
         .withColumn("_start", F.col("_state.row"))
     title = F.when((F.col("row_number") <= F.col("_start") + 5) & text.startswith("SCHEME:"), F.trim(F.substring_index(text, ":", -1)))
     titles = inside.groupBy(*keys, "section", "_start").agg(F.count(title).alias("_n"), F.min(title).alias("title"))
-    bad = (marks.withColumn("error", error).filter(F.col("error").isNotNull()).select(*keys, F.col("_mark.code").alias("section"), "error")
+    opened = F.when(end & (F.col("_prev.kind") == "start"), F.col("_prev.code")).otherwise(F.col("_mark.code"))
+    bad = (marks.withColumn("error", error).filter(F.col("error").isNotNull()).select(*keys, opened.alias("section"), "error")
            .unionByName(titles.filter(F.col("_n") != 1).select(*keys, "section", F.lit("no_unique_title").alias("error"))))
     good = (inside.join(titles.filter(F.col("_n") == 1), [*keys, "section", "_start"]).join(bad.select(*keys, "section"), [*keys, "section"], "left_anti")
             .select(*keys, "section", "title", "row_number", (F.col("row_number") - F.col("_start")).alias("section_row"), "cells"))

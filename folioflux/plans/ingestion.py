@@ -116,7 +116,7 @@ UNION ALL SELECT scheme_id, isin, report_month, 2, NULL, NULL, NULL FROM b WHERE
 
 
 @query("loader_nav_rescale", f"""
-SELECT scheme_id, isin, report_month, line_no, {r('CASE WHEN coalesce(sum(pct_nav) OVER (PARTITION BY scheme_id, report_month), 0) <= 2 THEN pct_nav * 100 ELSE pct_nav END', 4)} AS pct_nav FROM v_file_lines""")
+SELECT scheme_id, isin, report_month, line_no, {r('CASE WHEN round(coalesce(sum(pct_nav) OVER (PARTITION BY scheme_id, report_month), 0), 9) <= 2 THEN pct_nav * 100 ELSE pct_nav END', 4)} AS pct_nav FROM v_file_lines""")
 def _(d):
     return C.rounded(N.loader_nav_rescale(lines_of(d), ["scheme_id", "report_month"]).select("scheme_id", "isin", "report_month", "line_no", "pct_nav"), 4)
 

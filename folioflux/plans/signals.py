@@ -9,7 +9,6 @@ from folioflux.operators import active as A
 from folioflux.operators import consensus as S
 from folioflux.operators import eligibility as E
 from folioflux.operators import houses as H
-from folioflux.operators.compare import split_ratios
 from folioflux.plans.base import cte, index_of, query, r, strict
 from folioflux.plans.comparison import RATIOS, comparison_of, eligible_of, pairs_of
 
@@ -21,8 +20,7 @@ def scored_of(d):
 
 
 def changes_of(d):
-    scored = scored_of(d)
-    return A.active_weight_changes(scored, split_ratios(scored, d.actions), d.prices_monthly)
+    return A.active_weight_changes(scored_of(d), closes=d.prices_monthly, actions=d.actions, infer_splits=True)
 
 
 def consensus_of(d):
