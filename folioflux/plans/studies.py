@@ -264,13 +264,17 @@ def _(d):
 
 # -- monthly report ---------------------------------------------------------------------------------------
 
+def report_lists(d) -> dict:
+    """Broadest buying and selling; both come from one ranking."""
+    ranked = cut(ranked_of(d).select("report_month", "isin", "stock_name", "rank", "net_amc_count", "net_active_amc_count",
+                                     "accumulation_flow_lakhs", "fii_direction", "dii_direction"))
+    return {"buying": S.page(ranked, 1, S.TOP_ROWS), "selling": S.page(S.broadest_selling(ranked), 1, S.TOP_ROWS, "sell_rank")}
+
+
 def monthly_report(d) -> dict:
     """The frames of the monthly report, one per section."""
-    ranked = ranked_of(d)
     results = R.evaluate(panel_of(d))
-    return {"coverage": G.month_coverage(window_of(d), d.schemes, d.deltas, E.voting_schemes(eligible_of(d))),
-            "buying": S.page(ranked, 1, S.TOP_ROWS),
-            "selling": S.page(S.broadest_selling(ranked), 1, S.TOP_ROWS, "sell_rank"),
+    return {"coverage": G.month_coverage(window_of(d), d.schemes, d.deltas, E.voting_schemes(eligible_of(d))), **report_lists(d),
             "evidence": R.evidence_table(quarter_results_of(d)), "track_record": R.track_record(results, periods_of(d)),
             "pooled": R.pooled(results, R.GROUPS + R.ACTIVE_GROUPS)}
 
@@ -280,7 +284,7 @@ SELECT report_month, 'buying' AS section, rank AS position, isin, net_amc_count
 UNION ALL SELECT report_month, 'selling', p, isin, net_amc_count FROM (SELECT *, row_number() OVER (PARTITION BY report_month
   ORDER BY net_amc_count, accumulation_flow_lakhs NULLS LAST, rank) AS p FROM v_ranked) WHERE p <= 15""")
 def _(d):
-    frames = monthly_report(d)
+    frames = report_lists(d)
     return (frames["buying"].select("report_month", F.lit("buying").alias("section"), F.col("rank").alias("position"), "isin", "net_amc_count")
             .unionAll(frames["selling"].select("report_month", F.lit("selling"), "sell_rank", "isin", "net_amc_count")))
 
