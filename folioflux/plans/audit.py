@@ -164,8 +164,9 @@ def _(d):
                       F.get("sources", F.lit(0))["url"].alias("url"), "provenance_status")
 
 
-EVIDENCE_SQL = f"""count(*) AS funds, sum(raw_quantity_prev) AS raw_previous_shares, sum(qp) AS adjusted_previous_shares, sum(qc) AS current_shares,
-  sum(qty_change) AS net_share_change, sum(greatest(qty_change, 0)) AS gross_added_shares, sum(greatest(-qty_change, 0)) AS gross_reduced_shares,
+EVIDENCE_SQL = f"""count(*) AS funds, sum(raw_quantity_prev) AS raw_previous_shares, {r('sum(qp)', 3)} AS adjusted_previous_shares, sum(qc) AS current_shares,
+  {r('sum(qty_change)', 3)} AS net_share_change, {r('sum(greatest(qty_change, 0))', 3)} AS gross_added_shares,
+  {r('sum(greatest(-qty_change, 0))', 3)} AS gross_reduced_shares,
   {r(strict('flow_lakhs'), 3)} AS net_flow_lakhs"""
 
 
@@ -203,7 +204,7 @@ def _(d):
 
 
 @query("watchlist_largest_changes", f"""
-SELECT report_month, isin, row_number() OVER (PARTITION BY report_month, isin ORDER BY abs(qty_change) DESC, scheme_id) AS position, scheme_id, qty_change,
+SELECT report_month, isin, row_number() OVER (PARTITION BY report_month, isin ORDER BY abs(qty_change) DESC, scheme_id) AS position, scheme_id, {r('qty_change', 3)} AS qty_change,
   {r('flow_lakhs', 3)} AS flow_lakhs FROM v_cmp QUALIFY position <= 3""")
 def _(d):
     return C.rounded(P.largest_changes(comparison_of(d)), 3)
@@ -224,7 +225,7 @@ WITH months AS (SELECT strftime(m, '%Y-%m') AS report_month FROM generate_series
   FROM months m, v_stock k LEFT JOIN sh ON sh.report_month = m.report_month AND sh.isin = k.isin LEFT JOIN mv ON mv.report_month = m.report_month AND mv.isin = k.isin
   LEFT JOIN dir ON dir.report_month = m.report_month AND dir.isin = k.isin LEFT JOIN rev ON rev.report_month = m.report_month AND rev.isin = k.isin)
 SELECT report_month, isin, CASE WHEN u THEN 'validated_fixed_cohort' ELSE 'unavailable' END AS status, CASE WHEN u THEN s END AS shares,
-  CASE WHEN u THEN (SELECT count(*) FROM cohort) ELSE 0 END AS funds, CASE WHEN u AND report_month > '{HISTORY[0]}' THEN coalesce(net, 0) END AS net_share_change,
+  CASE WHEN u THEN (SELECT count(*) FROM cohort) ELSE 0 END AS funds, CASE WHEN u AND report_month > '{HISTORY[0]}' THEN {r('coalesce(net, 0)', 3)} END AS net_share_change,
   CASE WHEN u AND report_month > '{HISTORY[0]}' THEN {r("CASE WHEN any_isin IS NULL THEN 0 ELSE flow END", 3)} END AS net_flow_lakhs,
   CASE WHEN u AND report_month > '{HISTORY[0]}' THEN coalesce(hb, 0) END AS houses_buying, CASE WHEN u AND report_month > '{HISTORY[0]}' THEN coalesce(hs, 0) END AS houses_selling,
   CASE WHEN u THEN coalesce(na, 0) ELSE 0 END AS n_adjustments, u AND r IS NOT NULL AS source_revision,

@@ -220,8 +220,8 @@ def _(d):
 
 
 @query("comparison_rows", f"""
-SELECT report_month, scheme_id, isin, amc_name, raw_quantity_prev, qp AS quantity_prev, qc AS quantity_curr, split_ratio,
-  adjustment_basis, qty_change, {r('flow_lakhs', 4)} AS flow_lakhs, {r('value_change_lakhs', 4)} AS value_change_lakhs,
+SELECT report_month, scheme_id, isin, amc_name, raw_quantity_prev, {r('qp', 4)} AS quantity_prev, qc AS quantity_curr, split_ratio,
+  adjustment_basis, {r('qty_change', 4)} AS qty_change, {r('flow_lakhs', 4)} AS flow_lakhs, {r('value_change_lakhs', 4)} AS value_change_lakhs,
   {r('price_effect_lakhs', 4)} AS price_effect_lakhs, {r('pct_nav_change', 4)} AS pct_nav_change FROM v_cmp""")
 def _(d):
     return C.rounded(comparison_of(d).select(

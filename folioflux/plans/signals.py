@@ -315,7 +315,7 @@ FROM loaded FULL JOIN cmp USING (report_month, amc_name) LEFT JOIN net USING (re
 
 
 @query("fund_house_activity", f"""
-SELECT report_month, amc_name, loaded, compared, increased, reduced, unpriced, biggest_isin, biggest_qty_change,
+SELECT report_month, amc_name, loaded, compared, increased, reduced, unpriced, biggest_isin, {r('biggest_qty_change', 5)} AS biggest_qty_change,
   {r('biggest_flow_lakhs', 3)} AS biggest_flow_lakhs, {r('biggest_change_pct', 5)} AS biggest_change_pct FROM v_activity""")
 def _(d):
     return C.rounded(activity_of(d), 5, biggest_flow_lakhs=3)

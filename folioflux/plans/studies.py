@@ -311,8 +311,8 @@ WHERE gap <= 0.02 AND round(abs(px * k - 1), 9) <= 0.15 QUALIFY row_number() OVE
 
 
 @query("comparison_rows_earlier_rules", f"""
-SELECT r.report_month, r.scheme_id, r.isin, q0 * coalesce(a.ratio, s.ratio, 1) AS quantity_prev, q1 AS quantity_curr, coalesce(a.ratio, s.ratio, 1) AS split_ratio,
-  CASE WHEN a.ratio IS NOT NULL THEN 'confirmed' WHEN s.ratio IS NOT NULL THEN 'inferred' ELSE 'none' END AS adjustment_basis, q1 - q0 * coalesce(a.ratio, s.ratio, 1) AS qty_change,
+SELECT r.report_month, r.scheme_id, r.isin, {r('q0 * coalesce(a.ratio, s.ratio, 1)', 4)} AS quantity_prev, q1 AS quantity_curr, coalesce(a.ratio, s.ratio, 1) AS split_ratio,
+  CASE WHEN a.ratio IS NOT NULL THEN 'confirmed' WHEN s.ratio IS NOT NULL THEN 'inferred' ELSE 'none' END AS adjustment_basis, {r('q1 - q0 * coalesce(a.ratio, s.ratio, 1)', 4)} AS qty_change,
   {r('''CASE WHEN a.ratio IS NOT NULL OR s.ratio IS NOT NULL THEN CASE WHEN q0 <= 0 AND q1 <= 0 THEN 0 WHEN q1 <= 0 THEN -v0 ELSE (q1 - q0 * coalesce(a.ratio, s.ratio)) * (v1 / q1) END
    WHEN NOT in_prev THEN v1 WHEN q0 <= 0 AND q1 <= 0 THEN 0 WHEN NOT in_curr OR q1 <= 0 THEN -v0 ELSE (q1 - q0) * (v1 / q1) END''', 4)} AS flow_lakhs
 FROM v_old_raw r LEFT JOIN v_old_split s ON s.report_month = r.report_month AND s.isin = r.isin LEFT JOIN v_actions a ON a.effective_month = r.report_month AND a.isin = r.isin""")
