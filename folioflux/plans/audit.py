@@ -13,7 +13,7 @@ from folioflux.operators import releases as R
 from folioflux.plans.base import cte, query, r, strict
 from folioflux.plans.comparison import bad_of, comparison_of, eligible_of
 from folioflux.plans.signals import activity_of
-from folioflux.sources.staging import shared_folder
+from folioflux.sources.staging import required_folder
 
 HISTORY = ("1998-01", "1998-06")
 
@@ -346,6 +346,6 @@ def _(d):
 @query("release_roundtrip")
 def _(d):
     """Write a release of the stored tables, read it back by id and fingerprint what was read."""
-    root = f"{shared_folder(d.spark) or d.folder}/releases"
+    root = f"{required_folder(d.spark)}/releases"
     rid = R.write_release(d.spark, root, tables_of(d))
     return R.content_fingerprint(R.read_release(d.spark, root, rid))

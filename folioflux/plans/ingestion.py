@@ -11,7 +11,7 @@ from folioflux.operators import identity as I
 from folioflux.operators import normalize as N
 from folioflux.plans.base import cte, query, r
 from folioflux.sources import tables as T
-from folioflux.sources.staging import shared_folder
+from folioflux.sources.staging import required_folder
 
 cte("v_sheets", "SELECT scheme_id, amc_name, report_month, scheme_name AS sheet, scheme_title FROM v_months JOIN v_scheme USING (scheme_id)")
 cte("v_sheet_rows", """
@@ -407,7 +407,7 @@ def _(d):
 @query("read_parsed_holdings", f"""
 SELECT scheme_name, amc_name, report_month, isin, quantity, {r('market_value_lakhs', 3)} AS market_value_lakhs, {r('pct_nav', 5)} AS pct_nav FROM v_holdings JOIN v_scheme USING (scheme_id)""")
 def _(d):
-    path = f"{shared_folder(d.spark) or d.folder}/folioflux/parsed_csv"
+    path = f"{required_folder(d.spark)}/folioflux/parsed_csv"
     named = (d.holdings.join(d.schemes.select("scheme_id", "amc_name", "scheme_name"), "scheme_id")
              .withColumn("instrument_name", F.col("isin")).select(*T.PARSED_REQUIRED))
     named.write.mode("overwrite").option("header", True).csv(path)

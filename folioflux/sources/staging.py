@@ -29,6 +29,14 @@ def shared_folder(spark: SparkSession) -> str | None:
     return _local_root[app]
 
 
+def required_folder(spark: SparkSession) -> str:
+    """The shared folder, for jobs whose result is a written table."""
+    root = shared_folder(spark)
+    if root is None:
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    return root
+
+
 def stage(spark: SparkSession, source: str, name: str, df: DataFrame) -> DataFrame:
     """Write ``df`` once per application and source folder, then read it back."""
     root = shared_folder(spark)
