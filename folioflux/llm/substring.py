@@ -93,7 +93,8 @@ def repeats(docs: DataFrame, id_column: str, text: str, threshold: int) -> DataF
 
     again = found.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("most")) \
         .filter(F.col("n") > 1).select("h", (F.col("least") == F.col("most")).alias("one"))
-    found = table(found.join(again, "h"), "shared_anchors")
+    # Sums are written before they are joined back: a join straight behind its aggregate cannot split a hot key.
+    found = table(found.join(table(again, "repeated_anchors"), "h"), "shared_anchors")
     one, several = found.filter("one"), found.filter(~F.col("one"))
 
     # One occurrence stands for each context of an anchor with several; its windows are matched with the others'.
@@ -124,9 +125,9 @@ def repeats(docs: DataFrame, id_column: str, text: str, threshold: int) -> DataF
     own = F.xxhash64("c", "j")
     matched = windows.groupBy("h", "w").agg(F.max("n").alias("n"), F.min(own).alias("least"), F.max(own).alias("most")) \
         .filter((F.col("n") > 1) | (F.col("least") != F.col("most"))).select("h", "w")
-    masks = windows.join(matched, ["h", "w"]).groupBy("h", "c").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
+    masks = windows.join(table(matched, "matched"), ["h", "w"]).groupBy("h", "c").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
     marked = one.select("id", "th", "start", F.expr("shiftleft(1L, m) - 1").alias("mask")) \
-        .unionByName(several.join(masks, ["h", "c"]).select("id", "th", "start", "mask"))
+        .unionByName(several.join(table(masks, "masks"), ["h", "c"]).select("id", "th", "start", "mask"))
     return marked.groupBy("id", "th").agg(F.collect_set(F.struct("start", "mask")).alias("found"))
 
 
