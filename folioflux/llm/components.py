@@ -16,19 +16,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round links all larger neighbours of a node to its smallest neighbour (large star), then its
     smaller neighbours likewise (small star), until nothing changes: a number of rounds that grows with the
-    logarithm of the largest component. Minima are combined before the shuffle and joins on a node are
-    plain equi-joins that adaptive execution splits, so a node with very many neighbours is no single task.
-    Every round continues from a written table.
+    logarithm of the largest component. Minima are combined before the shuffle and written, so the joins on a
+    node are plain equi-joins that adaptive execution splits and a node with very many neighbours is no single
+    task. Every round continues from written tables.
     """
     now = table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                 .filter(F.col("u") != F.col("v")).distinct(), "edges")
     seen = _digest(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.filter(F.col("v") > F.col("u")).join(least, "u") \
             .select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = table(large, "large")
+        low = table(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")) \
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         now = table(small, "edges")

@@ -66,7 +66,8 @@ def upper_nodes(prints: DataFrame, bits: int, node: int) -> DataFrame:
     nodes = prints.select("fp", enter(F.array(*[F.lit(signed(m)) for m in masks])))
     nodes = nodes.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("pattern"), "fp")
     for _ in range(LEVELS - 1):
-        large = nodes.groupBy("mask", "pattern").count().filter(F.col("count") > node).select("mask", "pattern", F.lit(True).alias("large"))
+        large = table(nodes.groupBy("mask", "pattern").count().filter(F.col("count") > node)
+                      .select("mask", "pattern", F.lit(True).alias("large")), "large_nodes")
         if large.isEmpty():
             break
         # At most blocks**level masks, whatever the number of fingerprints.
