@@ -34,8 +34,7 @@ TEMPLATES = {
         version <<any 1 2>> of the License<<end>>""",
     "mpl-2": """This Source Code Form is subject to the terms of the Mozilla Public License, <<optional>>v. 2.0<<end>>""",
     "cc-by": """licensed under a Creative Commons Attribution <<any 0 3>> International License""",
-    "cc0": """<<optional>>to the extent possible under law<<end>> <<any 0 6>> has waived all copyright and related or
-        neighboring rights""",
+    "cc0": """has waived all copyright and related or neighboring rights <<optional>>to this work<<end>>""",
 }
 
 SPAN = StructType([StructField("label", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])
