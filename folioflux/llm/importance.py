@@ -1,7 +1,7 @@
 """Importance resampling: the ratio of two hashed n-gram models scores a text, Gumbel top-k draws the sample.
 
-Both models are bags of hashed words and word pairs. The raw model counts every document; the target model
-counts good documents. Each task adds up its own counts before anything is shuffled, and only the two vectors
+Both models are bags of hashed words, word pairs and marks (runs of ASCII punctuation). The raw model counts every
+document; the target model counts good documents and leans to the raw model where it has little to go by. Each task adds up its own counts before anything is shuffled, and only the two vectors
 of ``BUCKETS`` numbers reach the driver and the tasks.
 """
 
@@ -15,36 +15,46 @@ from pyspark.sql.types import DoubleType, LongType, StructField
 
 from folioflux.llm.rows import attach, plain_words, quoted, table
 
-BUCKETS = 16_384
+BUCKETS = 1 << 18
 TARGET_DOCS = 20_000    # bound on the good documents the target model is fitted on
-SMOOTHING = 1.0
+SMOOTHING = 20.0        # occurrences of each bucket added as the raw model expects them
+HELD = 1 << 20          # grams counted at once in a task
 SHARE = 0.75            # of the documents drawn
 SEED = 7
 
 
+_MARKS = bytes(b if b < 128 and not chr(b).isalnum() else 32 for b in range(256))
+
+
 def grams(text: bytes | None, buckets: int) -> np.ndarray:
-    """Bucket of every word and of every pair of neighbours."""
-    words = plain_words(text)
+    """Bucket of every word, every pair of neighbours and every mark."""
+    words, marks = plain_words(text), (text or b"").translate(_MARKS).split()
     h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ h[1:]
     pairs = (pairs ^ (pairs >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (np.concatenate((h, pairs ^ (pairs >> np.uint64(32)))) % np.uint64(buckets)).astype(np.int64)
+    m = np.fromiter(map(xxhash.xxh64_intdigest, marks), np.uint64, len(marks))
+    return (np.concatenate((h, m, pairs ^ (pairs >> np.uint64(32)))) % np.uint64(buckets)).astype(np.int64)
 
 
 def gram_counts(docs: DataFrame, text: str, buckets: int) -> np.ndarray:
     """How often each bucket occurs in all texts."""
     def run(batches):
-        total = np.zeros(buckets, np.int64)
+        total, held, size = np.zeros(buckets, np.int64), [np.zeros(0, np.int64)], 0
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                total += np.bincount(grams(t, buckets), minlength=buckets)
+                held.append(grams(t, buckets))
+                size += len(held[-1])
+                if size > HELD:
+                    total += np.bincount(np.concatenate(held), minlength=buckets)
+                    held, size = [], 0
+        total += np.bincount(np.concatenate([*held, np.zeros(0, np.int64)]), minlength=buckets)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
     parts = docs.select(quoted(text).cast("binary").alias("text")).mapInArrow(run, "bucket long, n long")
     out = np.zeros(buckets, np.int64)
-    for row in parts.groupBy("bucket").agg(F.sum("n").alias("n")).collect():    # at most one row per bucket
-        out[row["bucket"]] = row["n"]
+    sums = parts.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()    # at most one row per bucket
+    out[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
     return out
 
 
@@ -79,14 +89,15 @@ def resample(docs: DataFrame, target_ids: DataFrame, id_column: str = "doc_id",
     selected too. ``target_ids`` (a column ``id_column``) names the good documents; the target model is fitted on
     at most ``target_docs`` of them, taken by the order of a hash. A null or empty text has no grams and a ratio of
     zero. Repeated rows share noise and verdict; rows without id share theirs. Without good documents every ratio
-    compares raw text with a flat model. An empty table gives an empty result.
+    is zero. An empty table gives an empty result.
     """
     source = docs.select(quoted(id_column).alias("id"), quoted(text).alias("text"))
     good = target_ids.select(quoted(id_column).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(target_docs)
     # The limit proves the size: at most target_docs ids.
     target = gram_counts(source.join(F.broadcast(good), "id", "left_semi"), "text", buckets)
     raw = gram_counts(source, "text", buckets)
-    ratio = np.log(target + SMOOTHING) - np.log(target.sum() + SMOOTHING * buckets) - np.log(raw + SMOOTHING) + np.log(raw.sum() + SMOOTHING * buckets)
+    expected = raw * (target.sum() / max(1, raw.sum()))
+    ratio = np.log(target + SMOOTHING) - np.log(expected + SMOOTHING)
     model = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def make():

@@ -109,8 +109,11 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
 
     Other columns and rows without secrets are unchanged.
     """
-    found = find_secrets(docs, text)
-    body = quoted(text)
+    # Under other names, so that no column of the input clashes with what is found.
+    at = [f"c{i}" for i in range(len(docs.columns))]
+    body = at[docs.columns.index(text)]
+    found = find_secrets(docs.toDF(*at), body)
+    body = F.col(body)
     parts = F.aggregate(
         F.col("secrets"),
         F.struct(F.lit(0).alias("end"), F.lit("").alias("out")),
@@ -119,4 +122,5 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
             F.when((x["start"] <= at["end"]) & (at["end"] > 0), at["out"])
             .otherwise(F.concat(at["out"], F.substring(body, at["end"] + 1, x["start"] - at["end"]), F.lit(mark))).alias("out")))
     whole = F.concat(parts["out"], F.substring(body, parts["end"] + 1, F.length(body)))
-    return found.withColumn(text, F.when(F.size("secrets") > 0, whole).otherwise(body)).select(*[quoted(c) for c in docs.columns])
+    new = F.when(F.size("secrets") > 0, whole).otherwise(body)
+    return found.select(*[(new if c == text else F.col(a)).alias(c) for a, c in zip(at, docs.columns, strict=True)])
