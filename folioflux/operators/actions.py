@@ -30,11 +30,12 @@ def peer_median_ratios(holdings: DataFrame) -> DataFrame:
     """
     wanted = previous_snapshots(holdings).filter(F.col("prev_month").isNotNull())
     month_pairs = wanted.select("report_month", "prev_month").distinct()
-    positive = holdings.filter(F.col("quantity") > 0).select("scheme_id", "isin", "report_month", "quantity")
+    positive = holdings.select("scheme_id", "isin", "report_month", C.non_negative("quantity").alias("quantity")).filter(F.col("quantity") > 0)
     before = positive.select("scheme_id", "isin", F.col("report_month").alias("prev_month"), F.col("quantity").alias("q0"))
     ratios = (positive.join(month_pairs, "report_month")
               .join(before, ["scheme_id", "isin", "prev_month"])
-              .select("scheme_id", "isin", "report_month", "prev_month", (F.col("quantity") / F.col("q0")).alias("ratio")))
+              .select("scheme_id", "isin", "report_month", "prev_month", C.finite(F.col("quantity") / F.col("q0")).alias("ratio"))
+              .filter(F.col("ratio").isNotNull()))
     medians = leave_one_out_median(ratios, ["isin", "report_month", "prev_month"], "ratio", "peer_median_ratio")
     return medians.join(wanted, ["scheme_id", "report_month", "prev_month"], "left_semi")
 

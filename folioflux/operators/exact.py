@@ -20,7 +20,8 @@ def middle_statistics(df: DataFrame, keys: list[str], value: str, positions: dic
     places away from n/2. Equal values are pre-aggregated to counts. For a
     large group an approximate quantile pair, whose rank error is at most
     n/ACCURACY, brackets the middle; rows outside it are only counted, so the
-    ordering step sees about 0.2% of the group and the answer stays exact.
+    ordering step sees about 0.2% of the group and the answer stays exact. A
+    position outside its bracket raises an error.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
         F.count(F.lit(1)).alias("_c"))
@@ -33,9 +34,13 @@ def middle_statistics(df: DataFrame, keys: list[str], value: str, positions: dic
     cumulative = (F.sum("_c").over(W.partitionBy(*keys).orderBy("_v")
                                    .rowsBetween(W.unboundedPreceding, W.currentRow)) + F.col("_below"))
     placed = (joined.filter(~below & ~above).join(offset, keys).withColumn("_upto", cumulative))
-    return placed.groupBy(*keys).agg(
-        F.max("n").alias("n"),
+    found = placed.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.max("_below").alias("_below"), F.max("_upto").alias("_last"),
         *[F.min(F.when(F.col("_upto") >= at, F.col("_v"))).alias(name) for name, at in positions.items()])
+    missed = lambda at: at.between(1, F.col("n")) & ((at <= F.col("_below")) | (at > F.col("_last")))
+    return found.select(*keys, "n", *[
+        F.when(missed(at), F.raise_error(F.lit("a wanted position lies outside the bracket"))).otherwise(F.col(name)).alias(name)
+        for name, at in positions.items()])
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median",

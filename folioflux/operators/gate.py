@@ -72,7 +72,7 @@ def _cv(px: Column) -> Column:
 def implied_price_cv(holdings: DataFrame, keys: list[str], positive_only: bool) -> DataFrame:
     """keys, n, cv where the implied price varies by 1% or more across at least two rows."""
     px = C.finite(F.try_divide("market_value_lakhs", "quantity"))
-    rows = holdings.filter(F.col("quantity") > 0) if positive_only else holdings
+    rows = holdings.filter(C.non_negative("quantity") > 0) if positive_only else holdings
     stats = rows.groupBy(*keys).agg(F.count(px).alias("n"), _cv(px).alias("cv"))
     return stats.filter((F.col("n") >= 2) & (F.round("cv", 9) >= PRICE_CV_WARN))
 
@@ -94,11 +94,12 @@ def quantity_ratios(holdings: DataFrame) -> DataFrame:
     only when that row belongs to the scheme's previous snapshot.
     """
     own = W.partitionBy("scheme_id", "isin").orderBy("report_month")
-    rows = holdings.select(*KEYS, "isin", "quantity",
-                           F.lag("report_month").over(own).alias("_m"), F.lag("quantity").over(own).alias("_q"))
+    rows = holdings.select(*KEYS, "isin", C.non_negative("quantity").alias("quantity"), F.lag("report_month").over(own).alias("_m"),
+                           F.lag(C.non_negative("quantity")).over(own).alias("_q"))
     return (rows.join(previous_snapshots(holdings), KEYS)
             .filter((F.col("_m") == F.col("prev_month")) & (F.col("quantity") > 0) & (F.col("_q") > 0))
-            .select(*KEYS, "isin", "prev_month", (F.col("quantity") / F.col("_q")).alias("ratio")))
+            .select(*KEYS, "isin", "prev_month", C.finite(F.col("quantity") / F.col("_q")).alias("ratio"))
+            .filter(F.col("ratio").isNotNull()))
 
 
 def quantity_ratio_issues(holdings: DataFrame, peers: DataFrame, actions: DataFrame) -> DataFrame:

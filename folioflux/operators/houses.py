@@ -55,7 +55,7 @@ def fund_house_activity(comparison: DataFrame, loaded: DataFrame) -> DataFrame:
 
 # The eight selected houses in their two groups, with the names each is stored under.
 HOUSE_GROUPS = (
-    ("India\u2019s five largest fund houses", (
+    ("India’s five largest fund houses", (
         ("SBI Mutual Fund", ("SBI AMC", "SBI Mutual Fund")),
         ("ICICI Prudential Mutual Fund", ("ICICI Prudential AMC", "ICICI Prudential Mutual Fund")),
         ("HDFC Mutual Fund", ("HDFC AMC", "HDFC Mutual Fund")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,9 @@ SUPPORTED_RULES = (RULES_VERSION, LEGACY_RULES_VERSION)
 def table_fingerprint(df: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
     """One row: row count and the sum of per-row digests, independent of row order and partitioning."""
     columns = sorted(columns or df.columns)
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+    # Each cell leads with its length, so no two rows share a text and a missing cell is no text at all.
+    cell = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    text = F.concat_ws("|", *[cell(F.col(c).cast("string")) for c in columns])
     digest = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(digest).cast("string").alias("digest")).select(
         F.lit(name).alias("table_name"), "n_rows", F.coalesce("digest", F.lit("0")).alias("digest"))
@@ -42,12 +45,18 @@ def write_release(spark: SparkSession, root: str, tables: dict[str, DataFrame],
     fingerprint = content_fingerprint(tables)
     rid = release_id(fingerprint, rules_version)
     base = f"{root.rstrip('/')}/release={rid}"
+    manifest_path = f"{base}/manifest_rows"
+    try:
+        spark.read.parquet(manifest_path)
+        return rid
+    except AnalysisException:
+        pass  # no manifest: whatever an earlier attempt has left is written anew
     for name, df in tables.items():
-        df.write.mode("ignore").parquet(f"{base}/{name}")
+        df.write.mode("overwrite").parquet(f"{base}/{name}")
     manifest = (fingerprint.withColumn("release_id", F.lit(rid)).withColumn("rules_version", F.lit(rules_version))
                 .withColumn("parent", F.lit(parent).cast("string")))
     # The manifest is written last: a release without one is incomplete and is never read.
-    manifest.coalesce(1).write.mode("ignore").parquet(f"{base}/manifest_rows")
+    manifest.coalesce(1).write.mode("overwrite").parquet(manifest_path)
     return rid
 
 

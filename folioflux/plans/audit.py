@@ -324,7 +324,7 @@ def _(d):
 
 
 def _digest(table, source, columns):
-    text = " || '|' || ".join(f"coalesce({c}::VARCHAR, '~')" for c in sorted(columns))
+    text = " || '|' || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in sorted(columns))
     return f"SELECT '{table}' AS table_name, count(*) AS n_rows, sum(('0x' || substr(md5({text}), 1, 15))::BIGINT)::VARCHAR AS digest FROM {source}"
 
 

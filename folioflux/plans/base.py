@@ -40,7 +40,7 @@ def query(name: str, sql: str | None = None):
 
 # Computed once on the SQL side, so joins above them are not reordered into their inputs.
 FENCES = {"v_holdings", "v_pairs", "v_deltas", "v_eligible_any", "v_cmp", "v_weights", "v_consensus", "v_joined", "v_periods", "v_entry",
-          "v_exit", "v_panel", "v_qperiods", "v_qentry", "v_qexit", "v_qpanel", "v_prices_daily", "v_filings"}
+          "v_exit", "v_panel", "v_qperiods", "v_qentry", "v_qexit", "v_qpanel", "v_prices_daily", "v_filings", "v_old_raw", "v_old_split", "v_old_status"}
 
 
 def cte(name: str, sql: str) -> None:

@@ -416,7 +416,7 @@ def _(d):
 
 def bhavcopy_of(d, layout):
     """Exchange rows in one layout: two series per security and day, one unlisted series, one unusable close."""
-    isin, symbol, series, close, volume, value = layout
+    isin, symbol, series, close, volume, value = layout.values()
     rows = F.array(*[F.struct(F.lit(s).alias(series), (F.col("close_price") * k).cast("string").alias(close), (F.col("traded_value") * v).cast("string").alias(volume))
                      for s, k, v in (("EQ", 1.0, 1.0), ("BE", 1.1, 0.1), ("GB", 1.2, 9.0), (" BZ ", 0.0, 5.0))])
     return d.prices_daily.select("trade_date", F.concat(F.lit(" "), F.lower("isin")).alias(isin), F.lit("SYM").alias(symbol), F.explode(rows).alias("r"),
@@ -428,12 +428,12 @@ BHAV_SQL = f"""SELECT trade_date, isin, {r('close_price', 5)} AS close_price, CA
 
 @query("bhavcopy_current_layout", BHAV_SQL)
 def _(d):
-    return C.rounded(T.normalize_closes(bhavcopy_of(d, T.UDIFF_COLUMNS)).drop("symbol", "source"), 5, traded_value=2)
+    return C.rounded(T.normalize_closes(bhavcopy_of(d, T.LAYOUTS[0])).drop("symbol", "source"), 5, traded_value=2)
 
 
 @query("bhavcopy_older_layout", BHAV_SQL)
 def _(d):
-    return C.rounded(T.normalize_closes(bhavcopy_of(d, T.LEGACY_COLUMNS)).drop("symbol", "source"), 5, traded_value=2)
+    return C.rounded(T.normalize_closes(bhavcopy_of(d, T.LAYOUTS[1])).drop("symbol", "source"), 5, traded_value=2)
 
 
 @query("upsert_prices", f"SELECT isin, trade_date, {r('CASE WHEN month(trade_date) = 3 THEN close_price * 2 ELSE close_price END', 5)} AS close_price FROM v_prices_daily")

@@ -18,7 +18,7 @@ from folioflux.plans.signals import consensus_of, ranked_of
 from folioflux.sources.staging import cut
 
 TODAY = "2001-10-20"
-ITERATIONS = 300
+ITERATIONS = 5_000
 
 
 # -- summaries ------------------------------------------------------------------------------------

@@ -2,14 +2,14 @@
 
 A staged table is written once as Parquet below the shared folder named by
 ``spark.checkpoint.dir`` and read back, which cuts lineage and lets several
-queries start from the compact table. Without that setting staging is only
-used in local mode (a fresh temporary folder); elsewhere the lazy plan is
-returned unchanged.
+queries start from the compact table. Every master behaves alike: a cluster
+must name the folder, a local session without it uses a fresh temporary one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,31 +17,22 @@ from pyspark.sql import DataFrame, SparkSession
 _local_root: dict[str, str] = {}
 
 
-def shared_folder(spark: SparkSession) -> str | None:
+def required_folder(spark: SparkSession) -> str:
+    """The shared folder; only a local session, which is its own executor, may go without the setting."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        return None
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _local_root:
         _local_root[app] = tempfile.mkdtemp(prefix="spark-folioflux-")
     return _local_root[app]
 
 
-def required_folder(spark: SparkSession) -> str:
-    """The shared folder, for jobs whose result is a written table."""
-    root = shared_folder(spark)
-    if root is None:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return root
-
-
 def stage(spark: SparkSession, source: str, name: str, df: DataFrame) -> DataFrame:
     """Write ``df`` once per application and source folder, then read it back."""
-    root = shared_folder(spark)
-    if root is None:
-        return df
+    root = required_folder(spark)
     app = spark.sparkContext.applicationId
     where = hashlib.sha256(source.encode()).hexdigest()[:16]
     path = f"{root}/folioflux/{app}/{where}/{name}"
@@ -54,13 +45,10 @@ def cut(df: DataFrame) -> DataFrame:
 
     Used where one result feeds several branches of a plan, so its lineage is
     not planned and run once per branch. Checkpoint files live in the shared
-    folder, so a lost executor only re-reads them. Where no shared folder is
-    known the frame is returned unchanged.
+    folder, so a lost executor only re-reads them.
     """
     spark = df.sparkSession
-    root = shared_folder(spark)
-    if root is None:
-        return df
+    root = required_folder(spark)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(f"{root}/folioflux-checkpoints")
