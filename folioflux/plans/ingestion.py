@@ -276,11 +276,11 @@ def _(d):
 
 @query("xbrl_resolve", """
 SELECT isin, quarter_end, CASE WHEN n % 13 = 0 THEN 'conflicting_percentages' WHEN n % 11 = 0 THEN 'unreadable_total' END AS error,
-  CASE WHEN n % 13 <> 0 AND n % 11 <> 0 THEN floor(round(CASE WHEN n % 7 <> 0 THEN promoter_pct ELSE 0 END, 4) * 1e2 + 0.3217) / 1e2 END AS promoter_pct,
-  CASE WHEN n % 13 <> 0 AND n % 11 <> 0 THEN floor(round(fii_pct * 0.75, 4) * 1e2 + 0.3217) / 1e2 END AS fii_pct, CASE WHEN n % 13 <> 0 AND n % 11 <> 0 THEN floor(round(dii_pct * 0.75, 4) * 1e2 + 0.3217) / 1e2 END AS dii_pct,
-  CASE WHEN n % 13 <> 0 AND n % 11 <> 0 THEN floor(round(dii_pct * 0.5, 4) * 1e2 + 0.3217) / 1e2 END AS mf_pct FROM v_doc""")
+  CASE WHEN n % 13 <> 0 AND n % 11 <> 0 THEN floor(round(CASE WHEN n % 7 <> 0 THEN promoter_pct ELSE 0 END, 4) * 1e4 + 0.3217) / 1e4 END AS promoter_pct,
+  CASE WHEN n % 13 <> 0 AND n % 11 <> 0 THEN floor(round(fii_pct * 0.75, 4) * 1e4 + 0.3217) / 1e4 END AS fii_pct, CASE WHEN n % 13 <> 0 AND n % 11 <> 0 THEN floor(round(dii_pct * 0.75, 4) * 1e4 + 0.3217) / 1e4 END AS dii_pct,
+  CASE WHEN n % 13 <> 0 AND n % 11 <> 0 THEN floor(round(dii_pct * 0.5, 4) * 1e4 + 0.3217) / 1e4 END AS mf_pct FROM v_doc""")
 def _(d):
-    return C.rounded(B.xbrl_resolve(context_values_of(d), ["isin", "quarter_end"]).drop("public_pct"), 2)
+    return C.rounded(B.xbrl_resolve(context_values_of(d), ["isin", "quarter_end"]).drop("public_pct"), 4)
 
 
 TABLE_LABELS = (("Total Shareholding of Promoter and Promoter Group (A)", "promoter_pct", 1.0), ("(B)=(B)(1)+(B)(2)", "public_pct", 1.0),
@@ -290,8 +290,8 @@ TABLE_LABELS = (("Total Shareholding of Promoter and Promoter Group (A)", "promo
 
 
 @query("table_resolve", f"""
-SELECT isin, quarter_end, NULL AS error, {r('round(promoter_pct, 4)', 2)} AS promoter_pct, {r('round(fii_pct * 0.75, 4)', 2)} AS fii_pct, {r('round(dii_pct, 4)', 2)} AS dii_pct,
-  {r('round(public_pct, 4)', 2)} AS public_pct, {r('round(dii_pct * 0.5, 4)', 2)} AS mf_pct FROM v_filings""")
+SELECT isin, quarter_end, NULL AS error, {r('round(promoter_pct, 4)', 4)} AS promoter_pct, {r('round(fii_pct * 0.75, 4)', 4)} AS fii_pct, {r('round(dii_pct, 4)', 4)} AS dii_pct,
+  {r('round(public_pct, 4)', 4)} AS public_pct, {r('round(dii_pct * 0.5, 4)', 4)} AS mf_pct FROM v_filings""")
 def _(d):
     keys = ["isin", "quarter_end"]
     entries = F.array(*[F.struct(F.lit(i).alias("row_no"), F.lit(label).alias("label"), (F.col(c) * k).alias("v")) for i, (label, c, k) in enumerate(TABLE_LABELS)])
@@ -299,7 +299,7 @@ def _(d):
     tag = F.array(F.struct(F.lit("in-bse-shp:ShareholdingAsAPercentageOfTotalNumberOfShares").alias("tag"), F.format_string("%.10f", "v").alias("text")),
                   F.struct(F.lit("in-bse-shp:ShareholdingAsAPercentageAssumingFullConversion").alias("tag"), F.lit("1.0").alias("text")))
     tags = rows.select(*keys, "row_no", F.explode(tag).alias("t")).select(*keys, "row_no", "t.*")
-    return C.rounded(B.table_resolve(rows.select(*keys, "row_no", "label"), B.row_percentages(tags, keys), keys), 2)
+    return C.rounded(B.table_resolve(rows.select(*keys, "row_no", "label"), B.row_percentages(tags, keys), keys), 4)
 
 
 @query("filing_index_earliest", """
