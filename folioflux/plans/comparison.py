@@ -20,11 +20,11 @@ def bad_of(d):
 
 
 def eligible_of(d, instrument="equity"):
-    return E.eligible_deltas(d.deltas, d.schemes, d.stocks, d.status, bad_of(d), instrument)
+    return d.derived(f"eligible_{instrument}", lambda: E.eligible_deltas(d.deltas, d.schemes, d.stocks, d.status, bad_of(d), instrument))
 
 
 def comparison_of(d):
-    return D.comparison_rows(pairs_of(d), d.schemes, d.stocks, d.status, bad_of(d), d.actions)
+    return d.derived("comparison", lambda: D.comparison_rows(pairs_of(d), d.schemes, d.stocks, d.status, bad_of(d), d.actions))
 
 
 @query("holdings_table", f"SELECT scheme_id, isin, report_month, quantity, {r('market_value_lakhs', 2)} AS market_value_lakhs, "

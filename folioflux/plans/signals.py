@@ -21,18 +21,23 @@ def scored_of(d):
 
 
 def changes_of(d):
-    return A.active_weight_changes(scored_of(d), closes=d.prices_monthly, actions=d.actions, infer_splits=True)
+    return d.derived("active_changes", lambda: A.active_weight_changes(scored_of(d), closes=d.prices_monthly, actions=d.actions, infer_splits=True))
+
+
+def active_of(d):
+    return d.derived("active_by_stock", lambda: A.aggregate_by_stock(changes_of(d), d.schemes))
 
 
 def consensus_of(d):
-    eligible = eligible_of(d)
-    # Months x securities rows, read twice: cut once.
-    return S.rank_consensus(eligible, cut(S.previous_universe(eligible, d.holdings)),
-                            A.aggregate_by_stock(changes_of(d), d.schemes))
+    def make():
+        eligible = eligible_of(d)
+        # Months x securities rows, read twice: cut once.
+        return S.rank_consensus(eligible, cut(S.previous_universe(eligible, d.holdings)), active_of(d))
+    return d.derived("consensus", make)
 
 
 def ranked_of(d):
-    return S.ranked_consensus(consensus_of(d), d.filings)
+    return d.derived("ranked", lambda: S.ranked_consensus(consensus_of(d), d.filings))
 
 
 def activity_of(d):
@@ -157,7 +162,7 @@ def _(d):
 SELECT report_month, isin, active_amcs_buying, active_amcs_selling, net_active_amc_count,
   {r('discretionary_flow_lakhs', 3)} AS discretionary_flow_lakhs, {r('active_weight_change_pp_sum', 5)} AS active_weight_change_pp_sum FROM v_active""")
 def _(d):
-    return C.rounded(A.aggregate_by_stock(changes_of(d), d.schemes), 5, discretionary_flow_lakhs=3)
+    return C.rounded(active_of(d), 5, discretionary_flow_lakhs=3)
 
 
 @query("previous_universe", "SELECT report_month, isin FROM v_universe")

@@ -8,6 +8,7 @@ deltas, filings, prices) so later queries read them as tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,7 @@ class Domain:
 
     def __init__(self, spark: SparkSession, folder: str, staged: bool = True):
         self.spark, self.folder, self.staged = spark, folder.rstrip("/"), staged
+        self._derived: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -52,6 +54,12 @@ class Domain:
     def _stage(self, name: str, df: DataFrame) -> DataFrame:
         return stage(self.spark, self.folder, name, df) if self.staged else df
 
+    def derived(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that many queries start from, computed and staged on first use."""
+        if name not in self._derived:
+            self._derived[name] = self._stage(name, make())
+        return self._derived[name]
+
     # -- dimensions -------------------------------------------------------------
 
     @cached_property
@@ -77,7 +85,7 @@ class Domain:
             .select(brand_isin(b).alias("isin"),
                     F.when(b % 3 == 0, F.concat(F.lit("EQ - "), "p_brand")).otherwise(F.col("p_brand")).alias("name"),
                     "industry")
-            .withColumn("instrument_type", K.classify_isin("isin"))).coalesce(1))
+            .withColumn("instrument_type", K.classify_isin("isin"))))
 
     # -- holdings ----------------------------------------------------------------
 
