@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflux.functions.classify import active_by_title, classify_scheme, normalize_scheme_name, squeeze_spaces
+from folioflux.sources.staging import cut
+from folioflux.sources.tables import RefusedInput
 
 
 def backfill_identity(schemes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -16,6 +18,18 @@ def backfill_identity(schemes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed, aliases
 
 
+def consecutive(rows: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Numbers from 1 in the given order: a range-partitioned sort, then the rows before each partition.
+
+    The sorted rows are written once, so their places are fixed; the window runs over one row per partition.
+    """
+    placed = cut(rows.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    before = sizes.select("_p", (F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_c")).alias("_o"))
+    return placed.withColumn("_p", part).join(before, "_p").select(*rows.columns, (F.col("_o") + place + 1).alias(out))
+
+
 def resolve_schemes(names: DataFrame, schemes: DataFrame, aliases: DataFrame) -> DataFrame:
     """(amc_name, raw_name, scheme_id, matched_by) for each distinct raw name.
 
@@ -36,11 +50,7 @@ def resolve_schemes(names: DataFrame, schemes: DataFrame, aliases: DataFrame) ->
     found = joined.withColumn("matched_by", how).withColumn("scheme_id", F.when(how != "ambiguous", F.coalesce("_exact", "_alias", "_key")))
     fresh = found.filter(F.col("matched_by") == "new").select("amc_name", "key").distinct()
     top = schemes.agg(F.max("scheme_id")).scalar()
-    # Number within each house, then shift by the houses before it: no global sort.
-    within = W.partitionBy("amc_name").orderBy("key")
-    sizes = fresh.groupBy("amc_name").agg(F.count(F.lit(1)).alias("_c"))
-    offsets = sizes.select("amc_name", (F.sum("_c").over(W.orderBy("amc_name").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_c")).alias("_o"))
-    numbered = fresh.withColumn("_r", F.row_number().over(within)).join(offsets, "amc_name").select("amc_name", "key", (top + F.col("_o") + F.col("_r")).alias("_new"))
+    numbered = consecutive(fresh, ["amc_name", "key"], "_r").select("amc_name", "key", (top + F.col("_r")).alias("_new"))
     return (found.join(numbered, ["amc_name", "key"], "left")
             .select("amc_name", "raw_name", F.coalesce("scheme_id", F.when(F.col("matched_by") == "new", F.col("_new"))).alias("scheme_id"), "matched_by"))
 
@@ -67,18 +77,42 @@ def list_schemes(schemes: DataFrame, aliases: DataFrame, scheme_months: DataFram
             .withColumn("aliases", F.coalesce("aliases", empty)).withColumn("months", F.coalesce("months", empty)))
 
 
-def merge_conflicts(merges: DataFrame, schemes: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """Why each (source_id, target_id) merge is refused: another house, or rows both sides hold for one key."""
+def merge_problems(merges: DataFrame, schemes: DataFrame, tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """(source_id, target_id, reason, table_name, rows): why merges are refused; a merge without rows here may be done.
+
+    Refused are a scheme merged into itself, unknown schemes, schemes of two houses, a source named twice or also a
+    target, and rows that both sides hold for one key in any of ``tables`` (name -> frame and keys beside scheme_id).
+    """
     house = schemes.select("scheme_id", "amc_name")
+    pair = ["source_id", "target_id"]
     sides = (merges.join(house.withColumnsRenamed({"scheme_id": "source_id", "amc_name": "_a"}), "source_id", "left")
              .join(house.withColumnsRenamed({"scheme_id": "target_id", "amc_name": "_b"}), "target_id", "left"))
-    same = F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))
-    crossing = sides.filter(~same).select("source_id", "target_id", F.lit("different_house").alias("reason"), F.lit(1).cast("bigint").alias("rows"))
-    held = table.select("scheme_id", *keys)
-    both = (merges.join(held.withColumnRenamed("scheme_id", "source_id"), "source_id")
-            .join(held.withColumnRenamed("scheme_id", "target_id"), ["target_id", *keys])
-            .groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("rows")))
-    return crossing.unionByName(both.select("source_id", "target_id", F.lit("same_key_on_both").alias("reason"), "rows"))
+    named = merges.select(F.col("source_id").alias("_s"), F.lit(1).alias("_as")).unionByName(merges.select(F.col("target_id").alias("_s"), F.lit(0).alias("_as")))
+    uses = named.groupBy("_s").agg(F.sum("_as").alias("_sources"), F.count(F.lit(1)).alias("_uses"))
+    sides = sides.join(uses.withColumnRenamed("_s", "source_id"), "source_id")
+    alone = F.col("source_id") == F.col("target_id")
+    reason = (F.when(alone, "same_scheme").when(F.col("_a").isNull() | F.col("_b").isNull(), "unknown_scheme")
+              .when(F.col("_a") != F.col("_b"), "different_house").when((F.col("_sources") > 1) | (F.col("_uses") > F.col("_sources")), "named_again"))
+    out = sides.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select(
+        *pair, "reason", F.lit(None).cast("string").alias("table_name"), F.lit(1).cast("bigint").alias("rows"))
+    apart = merges.filter(F.col("source_id") != F.col("target_id"))
+    for name, (table, keys) in tables.items():
+        held = table.select("scheme_id", *keys)
+        both = (apart.join(held.withColumnRenamed("scheme_id", "source_id"), "source_id")
+                .join(held.withColumnRenamed("scheme_id", "target_id"), ["target_id", *keys])
+                .groupBy(*pair).agg(F.count(F.lit(1)).alias("rows")))
+        out = out.unionByName(both.select(*pair, F.lit("same_key_on_both").alias("reason"), F.lit(name).alias("table_name"), "rows"))
+    return out
+
+
+def merge_all(merges: DataFrame, schemes: DataFrame, aliases: DataFrame,
+              tables: dict[str, tuple[DataFrame, list[str]]]) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """Schemes without the sources, aliases with their names, and every table re-keyed; any problem refuses all of it."""
+    problems = merge_problems(merges, schemes, tables).count()
+    if problems:
+        raise RefusedInput(f"{problems} problems; merge_problems lists them all")
+    left = schemes.join(merges.select(F.col("source_id").alias("scheme_id")), "scheme_id", "left_anti").select(*schemes.columns)
+    return left, merged_aliases(aliases, schemes, merges), {name: merge_schemes(table, merges) for name, (table, _) in tables.items()}
 
 
 def merge_schemes(table: DataFrame, merges: DataFrame) -> DataFrame:

@@ -235,12 +235,24 @@ def _(d):
     return C.rounded(out.withColumn("n_adjustments", F.size("adjustments").cast("bigint")).drop("adjustments"), 3)
 
 
-@query("history_evidence")
+cte("v_cohort", f"""
+SELECT scheme_id FROM v_cmp WHERE report_month > '{HISTORY[0]}' AND report_month <= '{HISTORY[1]}' GROUP BY 1
+HAVING count(DISTINCT report_month) = {len(C.month_list(*HISTORY)) - 1}""")
+EVIDENCE_NUMBERS = ("funds", "raw_previous_shares", "adjusted_previous_shares", "current_shares", "net_share_change", "gross_added_shares",
+                    "gross_reduced_shares", "net_flow_lakhs")
+
+
+@query("history_evidence", f"""
+WITH e AS (SELECT isin, {EVIDENCE_SQL} FROM v_cmp WHERE report_month = '{HISTORY[1]}' AND scheme_id IN (SELECT scheme_id FROM v_cohort) GROUP BY isin)
+SELECT '{HISTORY[1]}' AS report_month, isin, {', '.join(f'CASE WHEN funds IS NULL THEN 0 ELSE {c} END AS {c}' for c in EVIDENCE_NUMBERS)}
+FROM v_stock LEFT JOIN e USING (isin) WHERE instrument_type = 'equity'""")
 def _(d):
-    return P.history_evidence(comparison_of(d), d.holdings, d.stocks, *HISTORY, HISTORY[1])
+    return C.rounded(P.history_evidence(comparison_of(d), d.holdings, d.stocks, *HISTORY, HISTORY[1]), 3)
 
 
-@query("history_scope_token")
+@query("history_scope_token", f"""
+SELECT count(*) AS cohort_count, sha256('{{"release":"latest","start":"{HISTORY[0]}","end":"{HISTORY[1]}","active":true,"cohort_count":' || count(*)
+  || coalesce(',"digest":"' || sum(('0x' || substr(md5(scheme_id::VARCHAR), 1, 15))::BIGINT)::VARCHAR || '"', '') || '}}') AS token FROM v_cohort""")
 def _(d):
     return P.cohort_token(P.history_cohort(comparison_of(d), C.month_list(*HISTORY)), "latest", *HISTORY)
 
@@ -323,29 +335,58 @@ def _(d):
     return G.activation_candidates(comparison_of(d), backed_of(d))
 
 
-def _digest(table, source, columns):
-    text = " || '|' || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in sorted(columns))
-    return f"SELECT '{table}' AS table_name, count(*) AS n_rows, sum(('0x' || substr(md5({text}), 1, 15))::BIGINT)::VARCHAR AS digest FROM {source}"
+# Columns that read the same in every engine, and numbers with the decimals at which they are compared.
+CONTENT = {
+    "schemes": ("v_scheme", "scheme_id amc_name scheme_name scheme_title is_active_equity", {}),
+    "stocks": ("v_stock", "isin name industry instrument_type", {}),
+    "mf_holdings_monthly": ("v_holdings", "scheme_id isin report_month", {"quantity": 0, "market_value_lakhs": 2, "pct_nav": 5}),
+    "mf_holding_deltas": ("v_deltas", "scheme_id isin report_month prev_month action",
+                          {"qty_change": 0, "value_change_lakhs": 2, "flow_lakhs": 4, "price_effect_lakhs": 4, "pct_nav_change": 5}),
+    "scheme_month_status": ("v_status", "scheme_id report_month status", {}),
+    "corporate_actions": ("v_actions", "isin effective_month kind detected_by confirmed", {"ratio": 4}),
+    "security_prices_monthly": ("v_prices_monthly", "isin report_month trade_date", {"close_price": 5}),
+    "shareholding_quarterly": ("v_filings", "isin quarter_end filing_type published_at",
+                               {"promoter_pct": 6, "fii_pct": 6, "dii_pct": 6, "public_pct": 6, "mf_pct": 6}),
+    "coverage_inventories": ("v_inventory", "amc_name report_month source_url exhaustive", {}),
+    "expected_funds": ("v_expected", "amc_name report_month official_key official_name scheme_id active_eligible equity_eligible exclusion_reason", {}),
+    "disclosure_sources": ("v_disclosures", "sha256 workbook_name source_url retrieved_at published_at", {}),
+    "snapshot_sources": ("v_snapsources", "scheme_id report_month source_sha256", {}),
+    "holding_evidence": ("v_evidence", "scheme_id report_month isin source_sha256", {}),
+}
+
 
+def _digest(table):
+    source, texts, numbers = CONTENT[table]
+    cells = {c: f"{c}::VARCHAR" for c in texts.split()} | {c: f"floor({c} * 1e{places} + 0.3217)::BIGINT::VARCHAR" for c, places in numbers.items()}
+    text = " || '|' || ".join(f"coalesce(length({x}) || ':' || {x}, '-')" for _, x in sorted(cells.items()))
+    return f"SELECT '{table}' AS table_name, count(*) AS n_rows, coalesce(sum(('0x' || substr(md5({text}), 1, 15))::BIGINT), 0)::VARCHAR AS digest FROM {source}"
 
-EXACT_COLUMNS = {"schemes": ["scheme_id", "amc_name", "scheme_name", "scheme_title", "is_active_equity"],
-                 "stocks": ["isin", "name", "industry", "instrument_type"], "scheme_month_status": ["scheme_id", "report_month", "status"],
-                 "mf_holdings_monthly": ["scheme_id", "isin", "report_month"], "mf_holding_deltas": ["scheme_id", "isin", "report_month", "prev_month", "action"]}
-SQL_TABLES = {"schemes": "v_scheme", "stocks": "v_stock", "scheme_month_status": "v_status", "mf_holdings_monthly": "v_holdings", "mf_holding_deltas": "v_deltas"}
+
+FINGERPRINT_SQL = " UNION ALL ".join(_digest(t) for t in CONTENT)
 
 
 def tables_of(d):
-    return {"schemes": d.schemes, "stocks": d.stocks, "scheme_month_status": d.status, "mf_holdings_monthly": d.holdings, "mf_holding_deltas": d.deltas}
+    return {"schemes": d.schemes, "stocks": d.stocks, "mf_holdings_monthly": d.holdings, "mf_holding_deltas": d.deltas, "scheme_month_status": d.status,
+            "corporate_actions": d.actions, "security_prices_monthly": d.prices_monthly, "shareholding_quarterly": d.filings,
+            "coverage_inventories": d.inventories, "expected_funds": d.expected_funds, "disclosure_sources": d.disclosure_sources,
+            "snapshot_sources": d.snapshot_sources, "holding_evidence": d.evidence}
+
+
+def comparable(tables):
+    def grid(c, places):
+        return F.floor(F.col(c) * F.lit(10.0 ** places) + C.SNAP_OFFSET).alias(c)
+    return {name: tables[name].select(*texts.split(), *[grid(c, places) for c, places in numbers.items()])
+            for name, (_, texts, numbers) in CONTENT.items()}
 
 
-@query("content_fingerprint", " UNION ALL ".join(_digest(t, SQL_TABLES[t], c) for t, c in EXACT_COLUMNS.items()))
+@query("content_fingerprint", FINGERPRINT_SQL)
 def _(d):
-    return R.content_fingerprint(tables_of(d), EXACT_COLUMNS)
+    return R.content_fingerprint(comparable(tables_of(d)))
 
 
-@query("release_roundtrip")
+@query("release_roundtrip", FINGERPRINT_SQL)
 def _(d):
     """Write a release of the stored tables, read it back by id and fingerprint what was read."""
     root = f"{required_folder(d.spark)}/releases"
     rid = R.write_release(d.spark, root, tables_of(d))
-    return R.content_fingerprint(R.read_release(d.spark, root, rid))
+    return R.content_fingerprint(comparable(R.read_release(d.spark, root, rid)))

@@ -13,6 +13,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 from folioflux.sources.domain import Domain
+from folioflux.sources.staging import folder_state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,12 +21,13 @@ CTES: dict[str, str] = {}
 
 
 @lru_cache(maxsize=8)
-def _domain(app: str, spark: SparkSession, folder: str) -> Domain:
-    return Domain(spark, folder)
+def _domain(app: str, spark: SparkSession, folder: str, state: str) -> Domain:
+    return Domain(spark, folder, state=state)
 
 
 def domain(spark: SparkSession, folder: str) -> Domain:
-    return _domain(spark.sparkContext.applicationId, spark, folder)
+    """The domain of a folder as it is now: changed input files are a new domain."""
+    return _domain(spark.sparkContext.applicationId, spark, folder, folder_state(spark, folder))
 
 
 def query(name: str, sql: str | None = None):
@@ -113,7 +115,7 @@ SELECT l_suppkey::BIGINT AS scheme_id, b, year(l_shipdate) * 12 + month(l_shipda
 FROM v_lines GROUP BY ALL""")
 cte("v_injected", """
 SELECT * FROM v_lots WHERE NOT (b = 9 AND midx = 1998 * 12 + 5)
-UNION ALL SELECT scheme_id, b, midx + 1, q * 2, cents FROM v_lots WHERE b = 9 AND midx = 1998 * 12 + 4""")
+UNION ALL SELECT scheme_id, b, midx + 1, q * 5, cents FROM v_lots WHERE b = 9 AND midx = 1998 * 12 + 4""")
 cte("v_holdings", f"""
 SELECT scheme_id, {ISIN} AS isin, {month_of('midx')} AS report_month,
   CASE WHEN b <> 9 AND (scheme_id * 7 + b * 13 + midx) % 97 = 0 THEN NULL ELSE q END::DOUBLE AS quantity,

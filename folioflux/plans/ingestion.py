@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioflux.functions import columns as C
@@ -336,8 +338,15 @@ def aliases_of(d):
     return own.unionByName(old)
 
 
+def known_aliases_of(d):
+    """Some schemes lack their own name as an alias, others share one alias."""
+    twins = d.schemes.filter(F.col("scheme_id") % 7 == 5).select("scheme_id", F.lit("Twin Fund").alias("alias"), I.normalize_scheme_name(F.lit("Twin Fund")).alias("alias_normalized"), F.lit("operator").alias("source"))
+    return aliases_of(d).filter((F.col("source") != "self") | (F.col("scheme_id") % 5 != 1)).unionByName(twins)
+
+
 def raw_names_of(d):
-    name = (F.when(F.col("scheme_id") % 7 == 2, F.concat(F.lit("OLD "), "scheme_name")).when(F.col("scheme_id") % 7 == 3, F.concat(F.lit("New "), "scheme_name"))
+    v = F.col("scheme_id") % 7
+    name = (F.when(v == 2, F.concat(F.lit("OLD "), "scheme_name")).when(v == 3, F.concat(F.lit("New "), "scheme_name")).when(v == 5, "TWIN fund")
             .when(F.col("scheme_id") % 2 == 0, F.upper(F.translate("scheme_name", "#", "-"))).otherwise(F.col("scheme_name")))
     return d.scheme_months.join(d.schemes, "scheme_id").select("amc_name", name.alias("raw_name"))
 
@@ -345,9 +354,12 @@ def raw_names_of(d):
 @query("resolve_scheme_id", """
 SELECT amc_name, raw_name, matched_by, CASE WHEN matched_by = 'new' THEN (SELECT max(scheme_id) FROM v_scheme) + row_number() OVER (PARTITION BY matched_by ORDER BY amc_name, 'new ' || scheme_key) ELSE scheme_id END AS scheme_id
 FROM (SELECT *, CASE WHEN scheme_id % 7 = 2 THEN 'OLD ' || scheme_name WHEN scheme_id % 7 = 3 THEN 'New ' || scheme_name WHEN scheme_id % 2 = 0 THEN upper(replace(scheme_name, '#', '-')) ELSE scheme_name END AS raw_name,
-  CASE WHEN scheme_id % 7 = 2 THEN 'alias' WHEN scheme_id % 7 = 3 THEN 'new' WHEN scheme_id % 2 = 0 THEN 'alias' ELSE 'exact' END AS matched_by FROM v_scheme WHERE scheme_id IN (SELECT scheme_id FROM v_months))""")
+  CASE WHEN scheme_id % 7 = 2 THEN 'alias' WHEN scheme_id % 7 = 3 THEN 'new' WHEN scheme_id % 2 = 0 THEN CASE WHEN scheme_id % 5 = 1 THEN 'key' ELSE 'alias' END ELSE 'exact' END AS matched_by
+  FROM v_scheme WHERE scheme_id % 7 <> 5 AND scheme_id IN (SELECT scheme_id FROM v_months))
+UNION ALL SELECT amc_name, 'TWIN fund', CASE WHEN count(*) > 1 THEN 'ambiguous' ELSE 'alias' END, CASE WHEN count(*) = 1 THEN min(scheme_id) END
+FROM v_scheme WHERE scheme_id % 7 = 5 GROUP BY amc_name HAVING bool_or(scheme_id IN (SELECT scheme_id FROM v_months))""")
 def _(d):
-    return I.resolve_schemes(raw_names_of(d), d.schemes, aliases_of(d))
+    return I.resolve_schemes(raw_names_of(d), d.schemes, known_aliases_of(d))
 
 
 @query("backfill_identity", "SELECT scheme_id, scheme_name AS alias, scheme_key AS alias_normalized, 'self' AS source FROM v_scheme")
@@ -372,22 +384,56 @@ def _(d):
 
 
 def merges_of(d):
-    """Every scheme proposed into the next id: mostly another house."""
-    return d.schemes.select(F.col("scheme_id").alias("source_id"), (F.col("scheme_id") + 1).alias("target_id"))
+    """Every scheme proposed into the next id, and the first into itself: all of them to be refused."""
+    one = d.schemes.agg(F.min("scheme_id").alias("source_id")).withColumn("target_id", F.col("source_id"))
+    return d.schemes.select(F.col("scheme_id").alias("source_id"), (F.col("scheme_id") + 1).alias("target_id")).unionAll(one)
+
 
+def keyed_tables(holdings, status):
+    return {"mf_holdings_monthly": (holdings, ["isin", "report_month"]), "scheme_month_status": (status, ["report_month"])}
 
-@query("merge_conflicts", """
-SELECT a.scheme_id AS source_id, a.scheme_id + 1 AS target_id, 'different_house' AS reason, 1 AS rows FROM v_scheme a LEFT JOIN v_scheme b ON b.scheme_id = a.scheme_id + 1 WHERE a.amc_name IS DISTINCT FROM b.amc_name
-UNION ALL SELECT a.scheme_id, a.scheme_id + 1, 'same_key_on_both', count(*) FROM v_holdings a JOIN v_holdings b ON b.scheme_id = a.scheme_id + 1 AND b.isin = a.isin AND b.report_month = a.report_month GROUP BY ALL""")
+
+def _both_sides(table, source, keys):
+    same = " AND ".join(f"b.{k} = a.{k}" for k in keys.split())
+    return f"SELECT source_id, target_id, 'same_key_on_both', '{table}', count(*) FROM m JOIN {source} a ON a.scheme_id = source_id JOIN {source} b ON b.scheme_id = target_id AND {same} WHERE source_id <> target_id GROUP BY ALL"
+
+
+@query("merge_problems", f"""
+WITH m AS (SELECT scheme_id AS source_id, scheme_id + 1 AS target_id FROM v_scheme UNION ALL SELECT min(scheme_id), min(scheme_id) FROM v_scheme),
+ u AS (SELECT s, sum(a) AS sources, count(*) AS uses FROM (SELECT source_id AS s, 1 AS a FROM m UNION ALL SELECT target_id, 0 FROM m) GROUP BY s)
+SELECT * FROM (SELECT source_id, target_id, CASE WHEN source_id = target_id THEN 'same_scheme' WHEN b.scheme_id IS NULL THEN 'unknown_scheme'
+   WHEN a.amc_name <> b.amc_name THEN 'different_house' WHEN sources > 1 OR uses > sources THEN 'named_again' END AS reason, NULL::VARCHAR AS table_name, 1::BIGINT AS rows
+ FROM m JOIN v_scheme a ON a.scheme_id = source_id LEFT JOIN v_scheme b ON b.scheme_id = target_id JOIN u ON s = source_id) WHERE reason IS NOT NULL
+UNION ALL {_both_sides("mf_holdings_monthly", "v_holdings", "isin report_month")} UNION ALL {_both_sides("scheme_month_status", "v_status", "report_month")}""")
 def _(d):
-    return I.merge_conflicts(merges_of(d), d.schemes, d.holdings, ["isin", "report_month"])
+    return I.merge_problems(merges_of(d), d.schemes, keyed_tables(d.holdings, d.status))
 
 
 @query("merge_schemes", """
-SELECT CASE WHEN scheme_id % 10 = 9 THEN scheme_id + 1000000 ELSE scheme_id END AS scheme_id, isin, report_month FROM v_holdings""")
-def _(d):
-    merges = d.schemes.filter(F.col("scheme_id") % 10 == 9).select(F.col("scheme_id").alias("source_id"), (F.col("scheme_id") + 1000000).alias("target_id"))
-    return I.merge_schemes(d.holdings, merges).select("scheme_id", "isin", "report_month")
+SELECT 'mf_holdings_monthly' AS part, scheme_id, report_month, isin AS name FROM v_holdings UNION ALL SELECT 'scheme_month_status', scheme_id, report_month, status FROM v_status
+UNION ALL SELECT 'schemes', scheme_id, NULL, scheme_name FROM v_scheme UNION ALL SELECT 'aliases', scheme_id, source, alias FROM (
+ SELECT scheme_id, 'self' AS source, scheme_name AS alias FROM v_scheme UNION ALL SELECT scheme_id, 'operator', 'Old ' || scheme_name FROM v_scheme WHERE scheme_id % 7 = 2
+ UNION ALL SELECT scheme_id, 'merge', 'Drifted ' || scheme_name FROM v_scheme WHERE scheme_id % 10 = 9)
+UNION ALL SELECT 'refused', NULL, NULL, NULL""")
+def _(d):
+    """A tenth of the schemes had drifted to a second id from 1996 on and is merged back; a batch with problems is refused whole."""
+    away = F.when((F.col("scheme_id") % 10 == 9) & (F.col("report_month") >= "1996-01"), F.col("scheme_id") + 1_000_000).otherwise(F.col("scheme_id"))
+    second = d.schemes.filter(F.col("scheme_id") % 10 == 9).withColumn("scheme_id", F.col("scheme_id") + 1_000_000) \
+        .withColumn("scheme_name", F.concat(F.lit("Drifted "), "scheme_name"))
+    merges = second.select(F.col("scheme_id").alias("source_id"), (F.col("scheme_id") - 1_000_000).alias("target_id"))
+    drifted = keyed_tables(d.holdings.withColumn("scheme_id", away), d.status.withColumn("scheme_id", away))
+    schemes, aliases, tables = I.merge_all(merges, d.schemes.unionByName(second), aliases_of(d), drifted)
+    text = F.lit(None).cast("string")
+    out = (tables["mf_holdings_monthly"].select(F.lit("mf_holdings_monthly").alias("part"), "scheme_id", "report_month", F.col("isin").alias("name"))
+           .unionAll(tables["scheme_month_status"].select(F.lit("scheme_month_status"), "scheme_id", "report_month", "status"))
+           .unionAll(schemes.select(F.lit("schemes"), "scheme_id", text, "scheme_name"))
+           .unionAll(aliases.select(F.lit("aliases"), "scheme_id", "source", "alias")))
+    try:
+        I.merge_all(merges_of(d), d.schemes, aliases_of(d), keyed_tables(d.holdings, d.status))
+    except T.RefusedInput:
+        refused = d.schemes.agg(F.lit("refused"), F.lit(None).cast("bigint"), text, text)
+        out = out.unionAll(refused)
+    return out
 
 
 @query("title_changes", """
@@ -496,6 +542,11 @@ def _(d):
     return V.track_source(parsed).select("amc_name", "scheme_name", "report_month", "dropped_non_isin_count", "error")
 
 
-@query("export_json")
+@query("export_json", """
+SELECT scheme_id, to_json(struct_pack(scheme_id := scheme_id, amc_name := amc_name, scheme_name := scheme_name, scheme_key := scheme_key,
+  scheme_title := scheme_title, is_active_equity := is_active_equity, house_no := house_no))::VARCHAR AS document FROM v_scheme""")
 def _(d):
-    return T.json_documents(d.schemes, "scheme_id")
+    """The schemes' JSON lines, written and read back."""
+    path = f"{required_folder(d.spark)}/exports/{uuid.uuid4().hex}"
+    T.export_json(d.schemes, path)
+    return T.json_documents(d.spark.read.schema(d.schemes.schema).json(path), "scheme_id")

@@ -44,15 +44,15 @@ def index_month(midx):
 class Domain:
     """The derived tables of one data folder."""
 
-    def __init__(self, spark: SparkSession, folder: str, staged: bool = True):
-        self.spark, self.folder, self.staged = spark, folder.rstrip("/"), staged
+    def __init__(self, spark: SparkSession, folder: str, staged: bool = True, state: str = ""):
+        self.spark, self.folder, self.staged, self.state = spark, folder.rstrip("/"), staged, state
         self._derived: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def _stage(self, name: str, df: DataFrame) -> DataFrame:
-        return stage(self.spark, self.folder, name, df) if self.staged else df
+        return stage(self.spark, f"{self.folder} {self.state}", name, df) if self.staged else df
 
     def derived(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A table that many queries start from, computed and staged on first use."""
@@ -100,10 +100,10 @@ class Domain:
                 .groupBy(F.col("l_suppkey").cast("bigint").alias("scheme_id"), "b", midx.alias("midx"))
                 .agg(F.sum(F.col("l_quantity").cast("bigint")).alias("q"),
                      F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents")))
-        # A 1:2 split of one brand: its natural rows of the month are replaced
-        # by last month's rows with twice the shares at the same value.
+        # A 1:5 split of one brand: its natural rows of the month are replaced
+        # by last month's rows with five times the shares at the same value.
         own = F.struct("midx", "q", "cents")
-        doubled = F.struct(F.lit(SPLIT_MONTH_INDEX).alias("midx"), (F.col("q") * 2).alias("q"), "cents")
+        doubled = F.struct(F.lit(SPLIT_MONTH_INDEX).alias("midx"), (F.col("q") * 5).alias("q"), "cents")
         split_row = F.col("b") == SPLIT_BRAND
         lots = (lots.filter(~(split_row & (F.col("midx") == SPLIT_MONTH_INDEX)))
                 .withColumn("lot", F.explode(F.when(split_row & (F.col("midx") == SPLIT_PREV_INDEX),

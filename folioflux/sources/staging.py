@@ -30,6 +30,14 @@ def required_folder(spark: SparkSession) -> str:
     return _local_root[app]
 
 
+def folder_state(spark: SparkSession, folder: str) -> str:
+    """A digest of the names, lengths and times of a folder's entries."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    entries = sorted(f"{x.getPath().getName()} {x.getLen()} {x.getModificationTime()}" for x in listed)
+    return hashlib.sha256("\n".join(entries).encode()).hexdigest()[:16]
+
+
 def stage(spark: SparkSession, source: str, name: str, df: DataFrame) -> DataFrame:
     """Write ``df`` once per application and source folder, then read it back."""
     root = required_folder(spark)
