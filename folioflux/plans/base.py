@@ -93,6 +93,18 @@ def r(x: str, places: int = 6) -> str:
     return f"(floor(({x})::DOUBLE * {scale} + 0.3217) / {scale})"
 
 
+def half_up(x: str, places: int) -> str:
+    """Text of a number rounded half up on its shortest decimal form."""
+    return f"round(({x})::DOUBLE::VARCHAR::DECIMAL(38,20), {places})::DECIMAL(38,{places})::VARCHAR"
+
+
+def rupees(x: str) -> str:
+    return f"(CASE WHEN {x} / 100.0::DOUBLE >= 0 THEN '+' ELSE '-' END || '₹' || {half_up(f'abs({x} / 100.0::DOUBLE)', 1)} || ' Cr')"
+
+
+SCHEME_LABEL = "trim(split_part(scheme_title, ' (', 1))"
+STOCK_LABEL = "trim(regexp_replace(name, '^EQ *- *', ''))"
+
 cte("v_scheme", """
 SELECT s_suppkey::BIGINT AS scheme_id, n_name AS amc_name, s_name AS scheme_name,
   trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')) AS scheme_key,

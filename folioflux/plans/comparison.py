@@ -8,7 +8,7 @@ from folioflux.functions import classify as K
 from folioflux.functions import columns as C
 from folioflux.operators import compare as D
 from folioflux.operators import eligibility as E
-from folioflux.plans.base import cte, index_of, month_of, query, r
+from folioflux.plans.base import cte, half_up, index_of, month_of, query, r, rupees
 
 
 def pairs_of(d):
@@ -99,7 +99,19 @@ def _(d):
     return K.parse_stocks(asked, key_cols=("scheme_id",)).select("scheme_id", "isin")
 
 
-@query("display_amounts")
+def _compact(x):
+    text = f"CASE WHEN {x} > 0 THEN '+' WHEN {x} < 0 THEN '\u2212' ELSE '' END || format('{{:,.0f}}', abs({x}))"
+    for unit, suffix in (("1e3", "K"), ("1e6", "M"), ("1e9", "B")):
+        size = f"abs({x}) / {unit}::DOUBLE"
+        text = f"""CASE WHEN abs({x}) >= {unit} OR round({size} * 1000, 1) >= 1000
+  THEN CASE WHEN {x} > 0 THEN '+' ELSE '\u2212' END || regexp_replace({half_up(size, 1)}, '[.]0$', '') || '{suffix}' ELSE {text} END"""
+    return f"coalesce({text}, '\u2013')"
+
+
+@query("display_amounts", f"""
+SELECT scheme_id, isin, report_month, coalesce(CASE WHEN crore < 0 THEN '\u2212' ELSE '' END || CASE WHEN abs(crore) >= 10 THEN format('{{:,.0f}}', abs(crore)) ELSE format('{{:,.1f}}', abs(crore)) END, '\u2013') AS flow_crore,
+  {rupees('value_change_lakhs')} AS value_crore, coalesce(CASE WHEN nav > 0 THEN '+' WHEN nav < 0 THEN '\u2212' ELSE '' END || format('{{:,.2f}}', abs(nav)), '\u2013') AS nav_change, {_compact('qty_change')} AS shares
+FROM (SELECT *, flow_lakhs / 100.0::DOUBLE AS crore, ({half_up('pct_nav_change', 2)})::DOUBLE AS nav FROM v_deltas)""")
 def _(d):
     return d.deltas.select("scheme_id", "isin", "report_month", K.crore_text("flow_lakhs").alias("flow_crore"),
                            K.rupee_crore("value_change_lakhs").alias("value_crore"),

@@ -12,7 +12,7 @@ from folioflux.operators import legacy as L
 from folioflux.operators import research as R
 from folioflux.operators import summary as T
 from folioflux.plans.audit import window_of
-from folioflux.plans.base import cte, query, r
+from folioflux.plans.base import SCHEME_LABEL, STOCK_LABEL, cte, half_up, query, r, rupees
 from folioflux.plans.comparison import RATIOS, eligible_of, pairs_of
 from folioflux.plans.signals import consensus_of, ranked_of
 from folioflux.sources.staging import cut
@@ -63,19 +63,73 @@ def _(d):
                     F.col("top_trimmed.qty_change").alias("trimmed_shares"), F.concat_ws(", ", "exit_names").alias("exit_names"), "exits_more", "priced_added")
 
 
-@query("scheme_summaries")
+def _facts(where):
+    def leader(action, order):
+        known = "CASE WHEN nf > 0 THEN flow_lakhs ELSE value_change_lakhs END"
+        return f"""l_{action} AS (SELECT scheme_id, report_month, stock_name, qty_change, flow_lakhs AS flow, value_change_lakhs AS val, price_effect_lakhs AS price, pct_nav_change AS nav,
+    CASE WHEN nf > 0 THEN nf ELSE nv END = n AS priced FROM e WHERE action = '{action}' QUALIFY row_number() OVER (PARTITION BY scheme_id, report_month ORDER BY {known} {order} NULLS LAST, isin) = 1)"""
+
+    def detail(t, with_price=False):
+        both = f"{t}.flow IS NOT NULL AND {t}.val IS NOT NULL"
+        flow, val, price = rupees(f"{t}.flow"), rupees(f"{t}.val"), rupees(f"{t}.price")
+        full = f"WHEN {both} AND abs({t}.price) >= 5 THEN ' (' || {flow} || ' flow, ' || {price} || ' price effect, ' || {val} || ' value change)'" if with_price else ""
+        return f"""CASE {full} WHEN {both} THEN ' (' || {flow} || ' flow, ' || {val} || ' value change)' WHEN {t}.val IS NOT NULL THEN ' (' || {val} || ')'
+    WHEN {t}.flow IS NOT NULL THEN ' (' || {flow} || ' flow)' ELSE '' END"""
+
+    def moved(t, n, verb, best, one, way):
+        return f"""CASE WHEN {n} > 0 THEN '- {verb} ' || {n} || CASE WHEN {t}.priced THEN '{best}' ELSE '{one}' END || {t}.stock_name || ', {way} ' || format('{{:,.0f}}', abs({t}.qty_change)) || ' shares'
+    || {detail(t, True)} || '.' END"""
+    value = "coalesce(a.flow, a.val)"
+    return f"""
+WITH e AS (SELECT d.*, {STOCK_LABEL} AS stock_name, count(flow_lakhs) OVER k AS nf, count(value_change_lakhs) OVER k AS nv, count(*) OVER k AS n
+   FROM v_deltas d JOIN v_stock USING (isin) WHERE {where} WINDOW k AS (PARTITION BY scheme_id, report_month, action)),
+ {leader('new', 'DESC')}, {leader('added', 'DESC')}, {leader('trimmed', 'ASC')},
+ x AS (SELECT scheme_id, report_month, stock_name, row_number() OVER (PARTITION BY scheme_id, report_month ORDER BY CASE WHEN nf > 0 THEN flow_lakhs ELSE value_change_lakhs END NULLS LAST, isin) AS rn
+   FROM e WHERE action = 'exited'),
+ xn AS (SELECT scheme_id, report_month, string_agg(stock_name, ', ' ORDER BY rn) FILTER (WHERE rn <= 5) || CASE WHEN count(*) > 5 THEN ', and ' || (count(*) - 5) || ' more' ELSE '' END || '.' AS gone FROM x GROUP BY ALL),
+ c AS (SELECT scheme_id, report_month, count(*) AS n_rows, count(*) FILTER (WHERE action = 'new') AS n_new, count(*) FILTER (WHERE action = 'added') AS n_added,
+   count(*) FILTER (WHERE action = 'trimmed') AS n_trimmed, count(*) FILTER (WHERE action = 'exited') AS n_exited FROM e GROUP BY ALL)
+SELECT c.*, gone, concat_ws(chr(10), CASE WHEN n_new > 0 THEN '- Opened ' || n_new || CASE WHEN a.priced THEN ' new position(s). The largest new entry was ' ELSE ' new position(s). One new entry was ' END || a.stock_name || ', '
+   || CASE WHEN {value} IS NOT NULL THEN 'a ₹' || {half_up(f'{value} / 100.0::DOUBLE', 1)} || ' Cr position' ELSE format('{{:,.0f}}', a.qty_change) || ' shares; value unavailable' END
+   || ' (' || coalesce({half_up('a.nav', 2)} || '% of NAV', 'NAV weight unavailable') || ')' || {detail('a')} || '.' END,
+  {moved('b', 'n_added', 'Added to', ' existing position(s). The biggest addition was ', ' existing position(s). One addition was ', 'up')},
+  {moved('t', 'n_trimmed', 'Trimmed', ' position(s). The largest cut was ', ' position(s). One cut was ', 'down')}, '- Fully exited: ' || gone) AS lines
+FROM c LEFT JOIN l_new a USING (scheme_id, report_month) LEFT JOIN l_added b USING (scheme_id, report_month) LEFT JOIN l_trimmed t USING (scheme_id, report_month)
+LEFT JOIN xn USING (scheme_id, report_month)"""
+
+
+cte("v_facts_equity", _facts("instrument_type = 'equity'"))
+cte("v_facts_other", _facts("instrument_type <> 'equity'"))
+HEAD = f"{SCHEME_LABEL} || ' (' || amc_name || ') — ' || report_month"
+QUIET = "'- No material changes versus the previous month.'"
+cte("v_summaries", f"""
+SELECT scheme_id, report_month, CASE WHEN reason IN ('quarantined', 'nonfinite_or_invalid_data') THEN {HEAD} || ' data withheld: ' || CASE reason WHEN 'quarantined'
+    THEN 'the current or referenced previous month is quarantined' ELSE 'holding-change data contains invalid numeric values or actions' END || '. Not zero activity — the numbers did not pass checks.'
+  WHEN n_rows IS NULL THEN 'No holding-change data available for ' || {SCHEME_LABEL} || ' in ' || report_month || ' yet (data may not have been ingested for this month, or this is the first month tracked).'
+  ELSE {HEAD} || ' portfolio changes:' || chr(10) || CASE WHEN lines = '' THEN {QUIET} ELSE lines END END AS text, reason IS NULL AS eligible, reason
+FROM v_assess JOIN v_scheme USING (scheme_id) LEFT JOIN v_facts_equity USING (scheme_id, report_month)""")
+
+
+@query("scheme_summaries", "SELECT * FROM v_summaries")
 def _(d):
     return T.scheme_summaries(d.deltas, d.stocks, d.schemes, window_of(d))
 
 
-@query("summaries_all_instruments")
+@query("summaries_all_instruments", f"""
+SELECT scheme_id, report_month, concat_ws(chr(10), {HEAD} || ' portfolio changes:', CASE WHEN q.n_rows IS NULL THEN '- No material equity changes versus the previous month.'
+   WHEN q.lines = '' THEN {QUIET} ELSE q.lines END,
+  '- Non-equity holdings (money-market/bond maturities, not equity calls): ' || o.n_rows || ' change(s) (' || o.n_new || ' new, ' || o.n_added || ' added, ' || o.n_trimmed || ' trimmed, ' || o.n_exited || ' exited).',
+  '- Non-equity exits (maturities, not equity exits): ' || o.gone) AS text
+FROM v_facts_equity q FULL JOIN v_facts_other o USING (scheme_id, report_month) JOIN v_scheme USING (scheme_id)""")
 def _(d):
     equity = T.summary_facts(d.deltas, d.stocks)
     other = T.summary_facts(d.deltas, d.stocks.filter(F.col("instrument_type") != "equity"), None)
     return T.render_summary(equity, d.schemes, other)
 
 
-@query("digest")
+@query("digest", """
+SELECT report_month, scheme_id, 'Monthly digest — ' || report_month || ' (' || count(*) OVER (PARTITION BY report_month) || ' scheme(s))' AS header, text
+FROM v_summaries JOIN v_scheme USING (scheme_id) WHERE is_active_equity = 1""")
 def _(d):
     return T.digest(T.scheme_summaries(d.deltas, d.stocks, d.schemes, window_of(d)),
                     E.active_equity(d.schemes).select("scheme_id"))
