@@ -179,6 +179,20 @@ def data_inventory(holdings: DataFrame, deltas: DataFrame) -> DataFrame:
     return counts.join(marks, "report_month", "left").select("report_month", "schemes", "holdings", F.col("_d").isNotNull().alias("has_deltas"))
 
 
+def inventory_lists(holdings: DataFrame, deltas: DataFrame, filings: DataFrame, withheld: DataFrame) -> DataFrame:
+    """(part, period, scheme_id, latest): loaded and compared months, filing quarters and quarantined scheme-months."""
+    none = F.lit(None).cast("bigint")
+
+    def listed(part: str, df: DataFrame, column: str) -> DataFrame:
+        period = F.col(column).cast("string")
+        last = df.agg(F.max(period)).scalar()
+        return df.filter(period.isNotNull()).select(period.alias("period")).distinct().select(
+            F.lit(part).alias("part"), "period", none.alias("scheme_id"), (F.col("period") == last).alias("latest"))
+    return (listed("month", holdings, "report_month").unionByName(listed("delta_month", deltas, "report_month"))
+            .unionByName(listed("quarter", filings, "quarter_end"))
+            .unionByName(withheld.select(F.lit("quarantined").alias("part"), F.col("report_month").alias("period"), "scheme_id", F.lit(False).alias("latest"))))
+
+
 # -- source backing ---------------------------------------------------------------------------------
 
 def source_backed(holdings: DataFrame, stocks: DataFrame, status: DataFrame, snapshot_sources: DataFrame,

@@ -37,17 +37,32 @@ def comparison_rows(pairs: DataFrame, schemes: DataFrame, stocks: DataFrame, sta
         legs["qty_change"].alias("qty_change"), F.when(adjusted, legs["flow_lakhs"]).otherwise(F.col("_plain_flow")).alias("flow_lakhs"))
 
 
-def guard(pairs: DataFrame, schemes: DataFrame, stocks: DataFrame, status: DataFrame, include_nav: bool = False) -> DataFrame:
-    """Per month: whether an earlier-rules replay would conceal an unavailable input."""
+def guard(pairs: DataFrame, schemes: DataFrame, stocks: DataFrame, status: DataFrame, include_nav: bool = False,
+          requested: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """Per month: whether an earlier-rules replay would conceal an unavailable input.
+
+    Quantities of every compared equity count; values (and NAV weights) count for the ``requested`` securities (isin;
+    default all). ``stored`` comparison rows count when a quantity, change or flow of theirs is no finite number.
+    """
     votes = schemes.filter(F.col("is_active_equity") == 1).select("scheme_id")
     equity = stocks.filter(F.col("instrument_type") == "equity").select("isin")
     none_bad = status.select("scheme_id", "report_month").limit(0)
     rows = (pairs.join(comparable_scheme_months(status, none_bad), ["scheme_id", "report_month"], "left_semi")
             .join(equity, "isin", "left_semi").join(votes, "scheme_id", "left_semi"))
-    names = ("quantity", "market_value_lakhs", *(["pct_nav"] if include_nav else []))
+    asked = F.lit(True)
+    if requested is not None:
+        rows = rows.join(requested.select("isin").distinct().withColumn("_asked", F.lit(True)), "isin", "left")
+        asked = F.col("_asked").isNotNull()
     bad = F.lit(False)
     for side in ("prev", "curr"):
-        for name in names:
-            bad = bad | (F.col(f"in_{side}") & C.non_negative(f"{name}_{side}").isNull())
-    return (rows.groupBy("report_month").agg(C.flag_count(bad).alias("unavailable_inputs"))
+        for name in ("quantity", "market_value_lakhs", *(["pct_nav"] if include_nav else [])):
+            unknown = F.col(f"in_{side}") & C.non_negative(f"{name}_{side}").isNull()
+            bad = bad | (unknown if name == "quantity" else asked & unknown)
+    found = rows.select("report_month", bad.alias("_bad"))
+    if stored is not None:
+        lost = F.lit(False)
+        for name in ("quantity_prev", "quantity_curr", "qty_change", "flow_lakhs"):
+            lost = lost | C.finite(name).isNull()
+        found = found.unionAll(stored.select("report_month", lost))
+    return (found.groupBy("report_month").agg(C.flag_count(F.col("_bad")).alias("unavailable_inputs"))
             .withColumn("replay", F.when(F.col("unavailable_inputs") > 0, "refused").otherwise("reproducible")))

@@ -74,10 +74,12 @@ SELECT report_month, count(*) FILTER (WHERE sc) AS in_scope, count(*) FILTER (WH
   count(*) FILTER (WHERE act AND held_prev AND NOT held_now AND month_prev IS NOT NULL) AS dropped_out,
   count(*) FILTER (WHERE sc AND pass_now) AS passed, count(*) FILTER (WHERE sc AND status_now IS NULL) AS not_validated,
   max(month_prev) AS prev_month, last_day((report_month || '-01')::DATE) + 10 AS public_on,
-  CASE WHEN count(*) FILTER (WHERE cmp) > 0 THEN 'unknown_completeness' ELSE 'unavailable' END AS coverage_state
+  CASE WHEN count(*) FILTER (WHERE cmp) > 0 THEN 'unknown_completeness' ELSE 'unavailable' END AS coverage_state,
+  (SELECT max(retrieved_at) FROM v_disclosures) AS last_ingest
 FROM f GROUP BY report_month HAVING count(*) FILTER (WHERE held_now) > 0""")
 def _(d):
-    return G.month_coverage(window_of(d), d.schemes, d.deltas, E.voting_schemes(eligible_of(d)))
+    return G.month_coverage(window_of(d), d.schemes, d.deltas, E.voting_schemes(eligible_of(d)),
+                            d.disclosure_sources.select(F.col("retrieved_at").alias("started_at")))
 
 
 cte("v_invflags", f"""
@@ -147,6 +149,17 @@ def _(d):
     return G.data_inventory(d.holdings, d.deltas)
 
 
+def _periods(part, source, column):
+    return f"SELECT '{part}' AS part, p::VARCHAR AS period, NULL::BIGINT AS scheme_id, p = max(p) OVER () AS latest FROM (SELECT DISTINCT {column} AS p FROM {source})"
+
+
+@query("data_inventory_lists", f"""
+{_periods("month", "v_holdings", "report_month")} UNION ALL {_periods("delta_month", "v_deltas", "report_month")} UNION ALL {_periods("quarter", "v_filings", "quarter_end")}
+UNION ALL SELECT 'quarantined', report_month, scheme_id, false FROM v_status WHERE status = 'quarantined'""")
+def _(d):
+    return G.inventory_lists(d.holdings, d.deltas, d.filings, E.quarantined(d.status))
+
+
 @query("snapshot_evidence", """
 WITH req AS (SELECT scheme_id, report_month, isin FROM v_deltas),
  e AS (SELECT e.scheme_id, e.report_month, e.isin, count(*) AS n FROM v_evidence e JOIN v_snapsources s USING (scheme_id, report_month, source_sha256) GROUP BY ALL)

@@ -292,12 +292,14 @@ TABLE_LABELS = (("Total Shareholding of Promoter and Promoter Group (A)", "promo
 
 
 @query("table_resolve", f"""
-SELECT isin, quarter_end, NULL AS error, {r('round(promoter_pct, 4)', 4)} AS promoter_pct, {r('round(fii_pct * 0.75, 4)', 4)} AS fii_pct, {r('round(dii_pct, 4)', 4)} AS dii_pct,
-  {r('round(public_pct, 4)', 4)} AS public_pct, {r('round(dii_pct * 0.5, 4)', 4)} AS mf_pct FROM v_filings""")
+SELECT isin, quarter_end, CASE WHEN month(quarter_end) = 3 THEN 'no_aggregate_rows' END AS error, {', '.join(f"CASE WHEN month(quarter_end) <> 3 THEN {r(f'round({x}, 4)', 4)} END AS {c}" for c, x in (
+  ("promoter_pct", "promoter_pct"), ("fii_pct", "fii_pct * 0.75"), ("dii_pct", "dii_pct"), ("public_pct", "public_pct"), ("mf_pct", "dii_pct * 0.5")))} FROM v_filings""")
 def _(d):
     keys = ["isin", "quarter_end"]
     entries = F.array(*[F.struct(F.lit(i).alias("row_no"), F.lit(label).alias("label"), (F.col(c) * k).alias("v")) for i, (label, c, k) in enumerate(TABLE_LABELS)])
     rows = d.filings.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.*")
+    # Filings of March lack the promoters' row.
+    rows = rows.filter((F.col("row_no") > 0) | (F.month("quarter_end") != 3))
     tag = F.array(F.struct(F.lit("in-bse-shp:ShareholdingAsAPercentageOfTotalNumberOfShares").alias("tag"), F.format_string("%.10f", "v").alias("text")),
                   F.struct(F.lit("in-bse-shp:ShareholdingAsAPercentageAssumingFullConversion").alias("tag"), F.lit("1.0").alias("text")))
     tags = rows.select(*keys, "row_no", F.explode(tag).alias("t")).select(*keys, "row_no", "t.*")
@@ -398,7 +400,7 @@ def _both_sides(table, source, keys):
     return f"SELECT source_id, target_id, 'same_key_on_both', '{table}', count(*) FROM m JOIN {source} a ON a.scheme_id = source_id JOIN {source} b ON b.scheme_id = target_id AND {same} WHERE source_id <> target_id GROUP BY ALL"
 
 
-@query("merge_problems", f"""
+@query("merge_conflicts", f"""
 WITH m AS (SELECT scheme_id AS source_id, scheme_id + 1 AS target_id FROM v_scheme UNION ALL SELECT min(scheme_id), min(scheme_id) FROM v_scheme),
  u AS (SELECT s, sum(a) AS sources, count(*) AS uses FROM (SELECT source_id AS s, 1 AS a FROM m UNION ALL SELECT target_id, 0 FROM m) GROUP BY s)
 SELECT * FROM (SELECT source_id, target_id, CASE WHEN source_id = target_id THEN 'same_scheme' WHEN b.scheme_id IS NULL THEN 'unknown_scheme'
@@ -525,20 +527,30 @@ def _(d):
 
 
 @query("evidence_append", """
-SELECT 'evidence' AS part, count(*) AS n FROM v_evidence UNION ALL SELECT 'sources', count(*) FROM v_disclosures
-UNION ALL SELECT 'published', count(*) FROM v_disclosures WHERE published_at IS NOT NULL""")
-def _(d):
-    again = d.evidence.withColumn("raw_json", F.lit("changed"))
-    rows = T.append_evidence(d.evidence, again)
+SELECT 'evidence' AS part, count(*) + count(*) FILTER (WHERE scheme_id % 2 = 0) AS n FROM v_evidence UNION ALL SELECT 'changed', count(*) FROM v_evidence WHERE scheme_id % 2 = 0
+UNION ALL SELECT 'snapshots', count(*) FROM v_snapsources UNION ALL SELECT 'replaced', count(*) FROM v_snapsources WHERE scheme_id % 3 = 0
+UNION ALL SELECT 'sources', count(*) FROM v_disclosures UNION ALL SELECT 'published', count(*) FROM v_disclosures WHERE published_at IS NOT NULL""")
+def _(d):
+    """Known keys stay as they are, those of a new parser are added; a third of the snapshots get new sources."""
+    parser = F.when(F.col("scheme_id") % 2 == 0, "p3").otherwise(F.col("parser_version"))
+    rows = T.append_evidence(d.evidence, d.evidence.withColumn("raw_json", F.lit("changed")).withColumn("parser_version", parser))
+    snapshots = T.replace_snapshot_sources(d.snapshot_sources, d.snapshot_sources.filter(F.col("scheme_id") % 3 == 0).withColumn("parser_version", F.lit("p3")))
     merged = T.merge_disclosure_sources(d.disclosure_sources, d.disclosure_sources.withColumn("published_at", F.lit(None).cast("string")))
-    return (rows.agg(F.lit("evidence").alias("part"), F.count(F.lit(1)).alias("n")).unionAll(merged.agg(F.lit("sources"), F.count(F.lit(1))))
+    return (rows.agg(F.lit("evidence").alias("part"), F.count(F.lit(1)).alias("n")).unionAll(rows.agg(F.lit("changed"), F.count_if(F.col("raw_json") == "changed")))
+            .unionAll(snapshots.agg(F.lit("snapshots"), F.count(F.lit(1)))).unionAll(snapshots.agg(F.lit("replaced"), F.count_if(F.col("parser_version") == "p3")))
+            .unionAll(merged.agg(F.lit("sources"), F.count(F.lit(1))))
             .unionAll(merged.agg(F.lit("published"), F.count("published_at"))))
 
 
 @query("track_source", """
-SELECT amc_name, sheet AS scheme_name, report_month, 1 AS dropped_non_isin_count, NULL AS error FROM v_sheets""")
+SELECT amc_name, sheet AS scheme_name, report_month, CASE WHEN error IS NULL THEN 1 END AS dropped_non_isin_count, error
+FROM (SELECT t.*, CASE WHEN report_month LIKE '%-03' AND n > 1 THEN 'inconsistent' WHEN report_month LIKE '%-05' THEN 'non_finite' END AS error FROM v_sheet_totals t)""")
 def _(d):
+    """March weights differ from line to line, those of May have no number."""
     parsed = N.parsed_holdings(d.raw_rows).withColumnRenamed("sheet", "scheme_name").withColumn("source_sha256", F.sha2(F.concat_ws("|", "amc_name", "report_month"), 256))
+    weight = (F.when(F.col("report_month").endswith("-03"), F.col("row_number").cast("double")).when(F.col("report_month").endswith("-05"), float("inf"))
+              .otherwise(F.col("dropped_non_isin_pct_nav")))
+    parsed = parsed.withColumn("dropped_non_isin_pct_nav", weight)
     return V.track_source(parsed).select("amc_name", "scheme_name", "report_month", "dropped_non_isin_count", "error")
 
 

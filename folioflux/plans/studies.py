@@ -327,12 +327,34 @@ def report_lists(d) -> dict:
 
 def monthly_report(d) -> dict:
     """The frames of the monthly report, one per section."""
-    results = R.evaluate(panel_of(d))
+    results = cut(R.evaluate(panel_of(d)))
     return {"coverage": G.month_coverage(window_of(d), d.schemes, d.deltas, E.voting_schemes(eligible_of(d))), **report_lists(d),
             "evidence": R.evidence_table(quarter_results_of(d)), "track_record": R.track_record(results, periods_of(d)),
             "pooled": R.pooled(results, R.GROUPS + R.ACTIVE_GROUPS)}
 
 
+@query("monthly_report", f"""
+SELECT 'coverage' AS section, m.report_month AS period, NULL AS name, count(DISTINCT scheme_id) AS number FROM (SELECT DISTINCT report_month FROM v_months) m LEFT JOIN v_eligible e USING (report_month) GROUP BY m.report_month
+UNION ALL SELECT 'buying', report_month, isin, rank FROM v_ranked WHERE rank <= 15
+UNION ALL SELECT 'selling', report_month, isin, p FROM (SELECT *, row_number() OVER (PARTITION BY report_month ORDER BY net_amc_count, accumulation_flow_lakhs NULLS LAST, rank) AS p FROM v_ranked) WHERE p <= 15
+UNION ALL SELECT 'evidence', NULL, group_name, count(excess_mean) FILTER (WHERE NOT partial_period AND n > 0) FROM v_qresults WHERE group_name IN ('mf_up_fii_up', 'mf_up_only', 'mf_down') GROUP BY group_name
+UNION ALL SELECT 'pooled', NULL, group_name, count(excess_mean) FILTER (WHERE NOT partial_period AND n > 0) FROM v_results GROUP BY group_name
+UNION ALL SELECT 'track_record', report_month, group_name, n FROM v_results WHERE n > 0
+UNION ALL SELECT 'track_record', report_month, reason, NULL FROM v_periods WHERE reason IS NOT NULL""")
+def _(d):
+    """All sections of the report as one long frame, each with its leading number."""
+    frames = monthly_report(d)
+    out = None
+    for section, period, name, number in (
+            ("coverage", "report_month", None, "compared"), ("buying", "report_month", "isin", "rank"), ("selling", "report_month", "isin", "sell_rank"),
+            ("evidence", None, "group_name", "periods"), ("pooled", None, "group_name", "periods"), ("track_record", "report_month", ("group_name", "reason"), "n")):
+        label = F.coalesce(*name) if isinstance(name, tuple) else F.col(name) if name else F.lit(None)
+        part = frames[section].select(F.lit(section).alias("section"), (F.col(period) if period else F.lit(None)).cast("string").alias("period"),
+                                      label.cast("string").alias("name"), F.col(number).cast("bigint").alias("number"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("monthly_report_lists", """
 SELECT report_month, 'buying' AS section, rank AS position, isin, net_amc_count FROM v_ranked WHERE rank <= 15
 UNION ALL SELECT report_month, 'selling', p, isin, net_amc_count FROM (SELECT *, row_number() OVER (PARTITION BY report_month
@@ -376,7 +398,12 @@ def _(d):
 
 
 @query("earlier_rules_guard", """
-SELECT report_month, count(*) FILTER (WHERE rq0 IS NULL OR rq1 IS NULL) AS unavailable_inputs,
-  CASE WHEN count(*) FILTER (WHERE rq0 IS NULL OR rq1 IS NULL) > 0 THEN 'refused' ELSE 'reproducible' END AS replay FROM v_old_raw GROUP BY 1""")
+WITH f AS (SELECT report_month, rq0 IS NULL OR rq1 IS NULL OR (isin = 'INE005A01015' AND in_curr AND report_month LIKE '%-07') AS bad FROM v_old_raw
+ UNION ALL SELECT report_month, qty_change IS NULL OR flow_lakhs IS NULL FROM v_deltas WHERE report_month LIKE '%-08')
+SELECT report_month, count(*) FILTER (WHERE bad) AS unavailable_inputs, CASE WHEN count(*) FILTER (WHERE bad) > 0 THEN 'refused' ELSE 'reproducible' END AS replay FROM f GROUP BY 1""")
 def _(d):
-    return L.guard(pairs_of(d), d.schemes, d.stocks, old_status_of(d))
+    """Unknown values of an unrequested security do not refuse, those of a requested one do, as do unknown stored flows."""
+    lost = (F.col("isin") == "INE003A01013") | ((F.col("isin") == "INE005A01015") & F.col("report_month").endswith("-07"))
+    pairs = pairs_of(d).withColumn("market_value_lakhs_curr", F.when(~(lost & F.col("in_curr")), F.col("market_value_lakhs_curr")))
+    stored = d.deltas.filter(F.col("report_month").endswith("-08")).select("report_month", F.lit(0.0).alias("quantity_prev"), F.lit(0.0).alias("quantity_curr"), "qty_change", "flow_lakhs")
+    return L.guard(pairs, d.schemes, d.stocks, old_status_of(d), requested=d.stocks.filter(F.col("isin").isin("INE005A01015", "INE006A01016")), stored=stored)
