@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from folioflux.functions import columns as C
 from folioflux.operators.compare import split_candidate
 from folioflux.operators.exact import leave_one_out_median
+from folioflux.sources.staging import cut
 
 # Detector label of a peer-agreed candidate.
 PEER_DETECTOR = "peer_ratio_agreement"
@@ -32,7 +33,8 @@ def peer_median_ratios(holdings: DataFrame) -> DataFrame:
     month_pairs = wanted.select("report_month", "prev_month").distinct()
     positive = holdings.select("scheme_id", "isin", "report_month", C.non_negative("quantity").alias("quantity")).filter(F.col("quantity") > 0)
     before = positive.select("scheme_id", "isin", F.col("report_month").alias("prev_month"), F.col("quantity").alias("q0"))
-    ratios = (positive.join(month_pairs, "report_month")
+    # Counted, ordered and joined back: computed once.
+    ratios = cut(positive.join(month_pairs, "report_month")
               .join(before, ["scheme_id", "isin", "prev_month"])
               .select("scheme_id", "isin", "report_month", "prev_month", C.finite(F.col("quantity") / F.col("q0")).alias("ratio"))
               .filter(F.col("ratio").isNotNull()))

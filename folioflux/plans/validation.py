@@ -13,11 +13,11 @@ from folioflux.plans.comparison import RATIOS, pairs_of
 
 
 def peers_of(d):
-    return X.peer_median_ratios(d.holdings)
+    return d.derived("peers", lambda: X.peer_median_ratios(d.holdings))
 
 
 def issues_of(d):
-    return V.gate_issues(d.holdings, d.stocks, d.actions, peers_of(d))
+    return d.derived("issues", lambda: V.gate_issues(d.holdings, d.stocks, d.actions, peers_of(d)))
 
 
 def report_of(d):

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,15 +50,13 @@ def stage(spark: SparkSession, source: str, name: str, df: DataFrame) -> DataFra
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute a frame once and continue from a reliable checkpoint of it.
+    """Compute a frame once, write it and continue from the written table.
 
     Used where one result feeds several branches of a plan, so its lineage is
-    not planned and run once per branch. Checkpoint files live in the shared
-    folder, so a lost executor only re-reads them.
+    not planned and run once per branch; each branch reads only its columns.
+    The files live in the shared folder, so a lost executor only re-reads them.
     """
     spark = df.sparkSession
-    root = required_folder(spark)
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(f"{root}/folioflux-checkpoints")
-    return df.checkpoint(eager=True)
+    path = f"{required_folder(spark)}/folioflux/cuts/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
