@@ -11,7 +11,7 @@ from folioflux.operators import filings as B
 from folioflux.operators import gate as V
 from folioflux.operators import identity as I
 from folioflux.operators import normalize as N
-from folioflux.plans.base import cte, query, r
+from folioflux.plans.base import cte, half_up, query, r
 from folioflux.sources import tables as T
 from folioflux.sources.staging import required_folder
 
@@ -276,11 +276,16 @@ def _(d):
     return context_values_of(d).groupBy("isin", "quarter_end").agg(F.count(F.lit(1)).alias("names"), F.count("error").alias("conflicts"))
 
 
-@query("xbrl_resolve", """
+def _printed(x):
+    """A percentage as the document prints it, a fraction with ten decimals, then at four."""
+    return f"round({half_up(x, 8)}::DECIMAL(38,8), 4)::DOUBLE"
+
+
+@query("xbrl_resolve", f"""
 SELECT isin, quarter_end, CASE WHEN n % 13 = 0 THEN 'conflicting_percentages' WHEN n % 11 = 0 THEN 'unreadable_total' END AS error,
-  CASE WHEN n % 13 <> 0 AND n % 11 <> 0 THEN floor(round(CASE WHEN n % 7 <> 0 THEN promoter_pct ELSE 0 END, 4) * 1e4 + 0.3217) / 1e4 END AS promoter_pct,
-  CASE WHEN n % 13 <> 0 AND n % 11 <> 0 THEN floor(round(fii_pct * 0.75, 4) * 1e4 + 0.3217) / 1e4 END AS fii_pct, CASE WHEN n % 13 <> 0 AND n % 11 <> 0 THEN floor(round(dii_pct * 0.75, 4) * 1e4 + 0.3217) / 1e4 END AS dii_pct,
-  CASE WHEN n % 13 <> 0 AND n % 11 <> 0 THEN floor(round(dii_pct * 0.5, 4) * 1e4 + 0.3217) / 1e4 END AS mf_pct FROM v_doc""")
+  CASE WHEN n % 13 <> 0 AND n % 11 <> 0 THEN floor({_printed('CASE WHEN n % 7 <> 0 THEN promoter_pct ELSE 0 END')} * 1e4 + 0.3217) / 1e4 END AS promoter_pct,
+  CASE WHEN n % 13 <> 0 AND n % 11 <> 0 THEN floor({_printed('fii_pct * 0.75')} * 1e4 + 0.3217) / 1e4 END AS fii_pct, CASE WHEN n % 13 <> 0 AND n % 11 <> 0 THEN floor({_printed('dii_pct * 0.75')} * 1e4 + 0.3217) / 1e4 END AS dii_pct,
+  CASE WHEN n % 13 <> 0 AND n % 11 <> 0 THEN floor({_printed('dii_pct * 0.5')} * 1e4 + 0.3217) / 1e4 END AS mf_pct FROM v_doc""")
 def _(d):
     return C.rounded(B.xbrl_resolve(context_values_of(d), ["isin", "quarter_end"]).drop("public_pct"), 4)
 
