@@ -277,8 +277,8 @@ def _(d):
 
 
 def _printed(x):
-    """A percentage as the document prints it, a fraction with ten decimals, then at four."""
-    return f"round({half_up(x, 8)}::DECIMAL(38,8), 4)::DOUBLE"
+    """A percentage as the document prints it, with ten decimals, every third one as a fraction of one; then at four."""
+    return f"(CASE WHEN n % 3 = 0 THEN round({half_up(x, 8)}::DECIMAL(38,8), 4) ELSE round({half_up(x, 10)}::DECIMAL(38,10), 4) END)::DOUBLE"
 
 
 @query("xbrl_resolve", f"""
