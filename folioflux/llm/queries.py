@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioflux.llm import chat, decontaminate, importance, licenses, packing, pii, repetition, secrets, simhash, substring
+from folioflux.llm import bpe, chat, clusters, decontaminate, importance, licenses, packing, phrases, pii, repetition, secrets, simhash, substring
 from folioflux.llm.rows import read
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -251,10 +251,75 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# -- 11: phrases ------------------------------------------------------------------------
+
+
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+OP11 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(coalesce({LOWERED}, ''), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, w FROM (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p) WHERE len(w) > 0),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+f AS (SELECT lang, g, size, count(*) AS f FROM (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS g FROM (
+    SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS size)))
+  GROUP BY lang, g, size HAVING count(*) >= 30),
+c AS (SELECT lang, g, string_split(g, ' ') AS w, size, f AS a FROM f WHERE size > 1),
+cuts AS (SELECT lang, g, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+scored AS (SELECT c.lang, c.g, c.a, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.a) // (x.f + y.f))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = c.x JOIN f y ON y.lang = c.lang AND y.g = c.y),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+around AS (SELECT lang, g, max(a) AS m FROM (SELECT lang, a, array_to_string(w[i:i + s - 1], ' ') AS g FROM (
+    SELECT lang, a, w, s, unnest(range(1, size - s + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS s FROM c))) GROUP BY lang, g),
+kept AS (SELECT b.* FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.g = b.g WHERE o.m IS NULL OR 100::HUGEINT * o.m < 80::HUGEINT * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept)
+SELECT lang, rank, g AS phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+# -- 12: clusters -----------------------------------------------------------------------
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clusters.cluster(read(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _op12(k: int = 16, rounds: int = 3) -> str:
+    near = lambda c: f"""SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min(struct_pack(d := d, c := c)) AS m FROM (
+  SELECT v.*, c.c, list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - c.v[i]) * (v.v[i] - c.v[i])))::BIGINT AS d FROM v CROSS JOIN c{c} c) GROUP BY r"""
+    parts = []
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS ({near(i)})")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS (SELECT c.c, coalesce(any_value(x.v), c.v) AS v FROM c{i} c LEFT JOIN (
+  SELECT c, list(((s - ((s % n + n) % n)) // n)::BIGINT ORDER BY i) AS v FROM (SELECT c, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (
+    SELECT m.c AS c, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{i}) GROUP BY c, i) GROUP BY c) x ON x.c = c.c GROUP BY c.c, c.v)""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM v QUALIFY c < {k}),
+{", ".join(p.replace(" AS (", " AS MATERIALIZED (", 1) for p in parts)},
+i AS (SELECT m.c AS c, sum(m.d)::BIGINT AS s FROM a{rounds} GROUP BY 1)
+SELECT vec_id, m.c::INTEGER AS cluster, m.d AS distance, i.s AS cluster_inertia, (SELECT sum(s)::BIGINT FROM i) AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN i ON i.c = a.m.c JOIN c{rounds} c ON c.c = a.m.c"""
+
+# -- 13: encoding -----------------------------------------------------------------------
+
+
+def op13_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    tokens = bpe.encode(read(spark, sf_dir, "documents"), path, keep=["doc_id"])
+    tokens = tokens.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
+    return bpe.decode(tokens, path, keep=["doc_id", "n_tokens", "ids_sha256"]) \
+        .select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_tool_links, op2_secrets, op3_substrings, op4_decontaminate, op5_surrogates, op6_packing, op7_resample,
-                            op8_repetition, op9_licenses, op10_simhash)}
-ORACLES = {"op1_tool_links": OP1, "op2_secrets": OP2, "op3_substrings": OP3, "op4_decontaminate": OP4, "op8_repetition": OP8, "op9_licenses": _op9()}
+                            op8_repetition, op9_licenses, op10_simhash, op11_phrases, op12_clusters, op13_encoding)}
+ORACLES = {"op1_tool_links": OP1, "op2_secrets": OP2, "op3_substrings": OP3, "op4_decontaminate": OP4, "op8_repetition": OP8, "op9_licenses": _op9(),
+           "op11_phrases": OP11, "op12_clusters": _op12()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
