@@ -7,14 +7,14 @@ within the budget, which is checked. One task builds the subtree of one group by
 suffixes, the count of a phrase is the total of the leaves below its node. Only nodes above the prefixes, which several
 groups share, are added up again.
 
-A phrase of at least ``least`` occurrences has only words of at least ``least`` occurrences. A bit table of fixed size,
-filled from the counted words, ends suffixes before words that are rarer; a false hit costs rows, never a count.
+Prefixes of one and two words are counted before, in one pass. A phrase of at least ``least`` occurrences has only pairs
+of words of at least ``least`` occurrences, so a suffix ends before a pair that is rarer, and one of a single word needs no
+tree. Pairs are counted by a hash, in ranges whose number follows the text, and leave a bit table of fixed size; a false
+hit there costs rows, never a count.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,124 +27,152 @@ DEPTH = 4                   # words of the longest phrase
 LEAST = 30                  # occurrences of a candidate
 TOP = 2000                  # phrases reported for each language
 BUDGET = 1_000_000          # distinct suffixes a group holds at most
-FILTER_BITS = 1 << 25       # bits of the table of frequent words: 4 MB, whatever the input
-HELD = 1_600_000            # words a task gathers before it adds them up and sends them
+BITS = 27                   # the table of frequent pairs has 2 to the power of this many bits: 16 MB, whatever the input
+RANGE_BYTES = 16 << 20      # text for each range of pair hashes, which one task adds up
+HELD = 2_000_000            # words a task gathers before it adds them up and sends them
 HELD_BYTES = 64 << 20       # bytes of distinct words a task gathers
 # A-Z in lower case; what ends a piece becomes a line feed, a tab becomes a space.
 PIECES = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\v\f\r" else 32 if b == 9 else b for b in range(256))
-JOINED = [f"w{i}" for i in range(1, DEPTH + 1)]
 
 
-def pieces(text: bytes | None) -> list[list[bytes]]:
-    """The words of each piece of a text; a null text has none."""
-    return [words for p in text.translate(PIECES).split(b"\n") if (words := p.split())] if text else []
+class Numbers(dict):
+    """Numbers of the words a task meets, from 1; the end of a piece is 0, nothing between two spaces -1."""
 
+    def __init__(self):
+        super().__init__({b"\n": 0, b"": -1})
+        self.words, self.size = [b""], 0
 
-def _rows(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    return docs.select(F.coalesce(quoted(lang), F.lit("und")).alias("lang"), quoted(text).cast("binary").alias("text"))
+    def __missing__(self, word: bytes) -> int:
+        self.words.append(word)
+        self.size += len(word)
+        number = self[word] = len(self.words) - 1
+        return number
 
+    def stream(self, text: bytes | None) -> np.ndarray:
+        """The numbers of a text's words with 0 behind each piece; a null text has none."""
+        parts = (text or b"").translate(PIECES).replace(b"\n", b" \n ").split(b" ")
+        ids = np.fromiter(map(self.__getitem__, parts), np.int32, len(parts))
+        return np.append(ids[ids >= 0], np.int32(0))
 
-def word_counts(rows: DataFrame, least: int) -> DataFrame:
-    """(lang, word, f) of the words with ``least`` occurrences; the row of a null word has all of its language."""
-    def run(batches):
-        held, totals, size = Counter(), Counter(), 0
-
-        def flush():
-            keys = [*held, *((lang, None) for lang in totals)]
-            values = [*held.values(), *totals.values()]
-            held.clear(), totals.clear()
-            for lo in range(0, len(keys), 50_000):
-                some = keys[lo:lo + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in some], pa.string()), pa.array([k[1] for k in some], pa.binary()),
-                                                  pa.array(values[lo:lo + 50_000], pa.int64())], names=["lang", "word", "f"])
-
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                seen = Counter(w for words in pieces(text) for w in words)
-                totals[lang] += seen.total()
-                for w, n in seen.items():
-                    if (lang, w) not in held:
-                        size += len(w) + 100
-                    held[lang, w] += n
-                if size > HELD_BYTES:
-                    yield from flush()
-                    size = 0
-        yield from flush()
-
-    counts = rows.mapInArrow(run, "lang string, word binary, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
-    return table(counts.filter(F.col("word").isNull() | (F.col("f") >= least)), "words")
-
-
-def frequent_bits(words: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits, set at the hash of each counted word of any language."""
-    at = F.pmod(F.xxhash64(F.col("word")), F.lit(FILTER_BITS))
-    rows = words.filter(F.col("word").isNotNull()).select(at.alias("h")) \
-        .groupBy(F.shiftright("h", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("h").bitwiseAND(32767)).alias("bits")).collect()
-    bits = np.zeros((FILTER_BITS >> 15, 4096), np.uint8)
-    for r in rows:
-        bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
-    return np.unpackbits(bits.ravel(), bitorder="little").astype(bool)
 
+def pair_keys(left: np.ndarray, right: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    """32-bit keys of pairs of words of a language, from 64-bit hashes of the three."""
+    odd = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+    mixed = (left * odd[0] ^ (right * odd[1] >> np.uint64(29))) + right * odd[2] + lang
+    mixed ^= mixed >> np.uint64(32)
+    return (mixed * odd[0] >> np.uint64(32)).astype(np.uint32)
 
-class Numbers(dict):
-    """Numbers of the words a task meets, from 1; 0 for a word that is not frequent."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits, self.words, self.size = bits, [b""], 0
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
-    def __missing__(self, word: bytes) -> int:
-        # The session hashes binary values with seed 42, as a signed number; the bit count is a power of two.
-        known = self.bits[xxhash.xxh64_intdigest(word, 42) % FILTER_BITS]
-        self.size += len(word) + 100
-        if known:
-            self.words.append(word)
-        number = self[word] = len(self.words) - 1 if known else 0
-        return number
+
+def gathered(batches, use):
+    """Calls ``use(numbers, stream, langs, lang of each word)`` for every HELD words or HELD_BYTES of distinct ones."""
+    numbers, parts, langs, at, count = Numbers(), [], {}, [], 0
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            line = numbers.stream(text)
+            parts.append(line)
+            at.append((langs.setdefault(lang, len(langs)), len(line)))
+            count += len(line)
+            if count > HELD or numbers.size > HELD_BYTES:
+                yield from use(numbers, np.concatenate(parts), [*langs], np.repeat(*np.array(at, np.int64).T))
+                numbers, parts, langs, at, count = Numbers(), [], {}, [], 0
+    if parts:
+        yield from use(numbers, np.concatenate(parts), [*langs], np.repeat(*np.array(at, np.int64).T))
+
+
+def _rows(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    return docs.select(F.coalesce(quoted(lang), F.lit("und")).alias("lang"), quoted(text).cast("binary").alias("text"))
+
+
+def prefix_counts(rows: DataFrame, least: int) -> tuple[DataFrame, np.ndarray]:
+    """One pass over the text: (lang, word, f) of the words with ``least`` occurrences, where the row of a null word has
+    all of its language, and the packed bits of the pairs that may have as many."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = 1 << min(20, max(6, (size // RANGE_BYTES).bit_length()))
+    shift = 32 - ranges.bit_length() + 1
+    names = ["lang", "word", "f", "part", "keys", "counts"]
+    types = [pa.string(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+
+    def send(columns):
+        n = max(map(len, columns.values()))
+        for lo in range(0, n, 20_000):
+            m = min(20_000, n - lo)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[k][lo:lo + m], t) if k in columns else pa.nulls(m, t)
+                                              for k, t in zip(names, types, strict=True)], names=names)
+
+    def use(numbers, stream, langs, lang):
+        # Words, and all words of each language as the word 0.
+        real = stream > 0
+        keys, f = np.unique(lang[real] * len(numbers.words) + stream[real], return_counts=True)
+        of, word = np.divmod(keys, len(numbers.words))
+        named = np.array([None, *numbers.words[1:]], object)
+        yield from send({"lang": np.array(langs, object)[of], "word": named[word], "f": f})
+        totals = np.bincount(lang[real], minlength=len(langs))
+        yield from send({"lang": langs, "f": totals})
+        h, hl = _hashes(numbers.words), _hashes([x.encode() for x in langs])
+        both = np.flatnonzero(real[:-1] & real[1:])
+        keys, f = np.unique(pair_keys(h[stream[both]], h[stream[both + 1]], hl[lang[both]]), return_counts=True)
+        part, f = (keys >> np.uint32(shift)).astype(np.int64), np.minimum(f, 255).astype(np.uint8)
+        seen, first = np.unique(part, return_index=True)
+        ends = [*first[1:].tolist(), len(keys)]
+        # Sorted keys are sent as their distances.
+        yield from send({"part": seen, "keys": [np.diff(keys[a:b], prepend=np.uint32(0)).tobytes() for a, b in zip(first.tolist(), ends, strict=True)],
+                         "counts": [f[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)]})
+
+    def add_up(group: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.cumsum(np.frombuffer(k, np.uint32), dtype=np.uint32) for k in group.column("keys").to_pylist()])
+        counts = np.concatenate([np.frombuffer(c, np.uint8) for c in group.column("counts").to_pylist()])
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order].astype(np.int64)
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        # A task's count above 255 was sent as 255.
+        often = keys[first][np.add.reduceat(counts, first) >= min(least, 255)]
+        part = group.column("part")[0].as_py()
+        bits = np.zeros((1 << BITS) // ranges, np.uint8)
+        bits[(often >> np.uint32(32 - BITS)).astype(np.int64) - part * len(bits)] = 1
+        return pa.table({"part": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    sent = table(rows.mapInArrow(lambda batches: gathered(batches, use), "lang string, word binary, f long, part int, keys binary, counts binary"), "prefixes")
+    words = sent.filter(F.col("part").isNull()).groupBy("lang", "word").agg(F.sum("f").alias("f"))
+    words = table(words.filter(F.col("word").isNull() | (F.col("f") >= least)), "words")
+    found = sent.filter(F.col("part").isNotNull()).select("part", "keys", "counts").groupBy("part").applyInArrow(add_up, "part int, bits binary")
+    bits = np.zeros((ranges, (1 << BITS) // ranges // 8), np.uint8)
+    for r in found.collect():           # the table of fixed size, a range a row
+        bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return words, bits.ravel()
 
 
 def suffixes(rows: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(lang, w1..w4, c): how often each run of words, cut after DEPTH words, at the end of its piece and before a rare
-    word, starts anywhere. Tasks add up before the shuffle."""
-    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(bits))
-
-    def run(batches):
-        known = Numbers(np.unpackbits(shared.value).astype(bool))
-        held: dict[str, list[np.ndarray]] = {}
-        count = 0
-
-        def flush():
-            nonlocal count, known
-            words = np.array(known.words, object)
-            words[0] = None
-            for lang, parts in held.items():
-                stream = np.concatenate(parts)
-                padded = np.concatenate([stream, np.zeros(DEPTH, stream.dtype)])
-                grams = np.stack([padded[i:i + len(stream)] for i in range(DEPTH)], 1)[stream > 0]
-                for i in range(1, DEPTH):
-                    grams[:, i] *= grams[:, i - 1] > 0
-                order = np.lexsort(grams.T[::-1])
-                grams = grams[order]
-                first = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]).any(1)])) if len(grams) else np.zeros(0, np.int64)
-                c = np.diff(np.append(first, len(grams)))
-                for lo in range(0, len(first), 50_000):
-                    some = grams[first[lo:lo + 50_000]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(some), pa.string()), *[pa.array(words[some[:, i]], pa.binary()) for i in range(DEPTH)],
-                         pa.array(c[lo:lo + 50_000])], names=["lang", *JOINED, "c"])
-            held.clear()
-            count, known = 0, Numbers(known.bits)
-
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                line = [x for words in pieces(text) for x in (*map(known.__getitem__, words), 0)]
-                held.setdefault(lang, []).append(np.array(line, np.int32))
-                count += len(line)
-                if count > HELD or known.size > HELD_BYTES:
-                    yield from flush()
-        yield from flush()
-
-    schema = "lang string, " + ", ".join(f"{w} binary" for w in JOINED) + ", c long"
-    return table(rows.mapInArrow(run, schema).groupBy("lang", *JOINED).agg(F.sum("c").alias("c")), "suffixes")
+    """(lang, s, c): how often each run of two to DEPTH words, as long as its piece and its frequent pairs reach, starts
+    anywhere; the words of ``s`` are joined by a space. Tasks add up before the shuffle."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def use(numbers, stream, langs, lang):
+        h, hl = _hashes(numbers.words), _hashes([x.encode() for x in langs])
+        good = np.append((stream[:-1] > 0) & (stream[1:] > 0), False)
+        at = np.flatnonzero(good)
+        key = pair_keys(h[stream[at]], h[stream[at + 1]], hl[lang[at]]) >> np.uint32(32 - BITS)
+        good[at] = shared.value[key >> np.uint32(3)] >> (7 - (key & np.uint32(7))).astype(np.uint8) & 1
+        at = np.flatnonzero(good)
+        padded, goes = np.append(stream, np.zeros(DEPTH, stream.dtype)), np.append(good, np.zeros(DEPTH, bool))
+        grams, on = [lang[at], padded[at], padded[at + 1]], np.ones(len(at), bool)
+        for i in range(2, DEPTH):
+            on = on & goes[at + i - 1]
+            grams.append(padded[at + i] * on)
+        order = np.lexsort(grams[::-1])
+        grams = np.stack(grams, 1)[order]
+        first = np.flatnonzero(np.append(len(grams) > 0, (grams[1:] != grams[:-1]).any(1))) if len(grams) else np.zeros(0, np.int64)
+        c, words = np.diff(np.append(first, len(grams))), numbers.words
+        for lo in range(0, len(first), 20_000):
+            some = grams[first[lo:lo + 20_000]].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([langs[g[0]] for g in some], pa.string()), pa.array([b" ".join([words[i] for i in g[1:] if i]) for g in some], pa.binary()),
+                                              pa.array(c[lo:lo + 20_000])], names=["lang", "s", "c"])
+
+    found = rows.mapInArrow(lambda batches: gathered(batches, use), "lang string, s binary, c long")
+    return table(found.groupBy("lang", "s").agg(F.sum("c").alias("c")), "suffixes")
 
 
 def partition(leaves: DataFrame, budget: int) -> DataFrame:
@@ -153,18 +181,20 @@ def partition(leaves: DataFrame, budget: int) -> DataFrame:
     A prefix over a quarter of the budget is lengthened; at full depth it is one suffix. The lengthened ones are at
     most 4 x suffixes / budget at each length, so joining them back is joining a small table.
     """
-    least, now = budget // 4, leaves.withColumn("depth", F.lit(1))
+    most, now = budget // 4, leaves.withColumn("depth", F.lit(1))
+    prefix = lambda d: F.substring_index(F.col("s").cast("string"), " ", d)
     for d in range(1, DEPTH):
-        keys = ["lang", *JOINED[:d]]
-        hot = table(now.filter(F.col("depth") == d).groupBy(*keys).count().filter(F.col("count") > least).select(*keys), f"prefixes{d}")
-        if hot.isEmpty():
+        hot = table(now.filter(F.col("depth") == d).groupBy("lang", prefix(d).alias("p")).count().filter(F.col("count") > most).select("lang", "p"), f"prefixes{d}")
+        n = hot.count()
+        if not n:
             break
-        same = [F.col(f"l.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
-        side = F.broadcast(hot) if hot.count() <= 100_000 else hot
-        now = now.alias("l").join(side.withColumn("hot", F.lit(True)).alias("h"), same, "left") \
-            .select(*[f"l.{c}" for c in leaves.columns], F.when(F.col("hot") & (F.col("depth") == d), d + 1).otherwise(F.col("depth")).alias("depth"))
-    key = F.xxhash64("lang", *[F.when(F.col("depth") >= i + 1, F.col(w)) for i, w in enumerate(JOINED)])
-    now = now.withColumn("key", key)
+        hot = hot.withColumn("hot", F.lit(True))
+        now = now.withColumn("p", prefix(d)).join(F.broadcast(hot) if n <= 100_000 else hot, ["lang", "p"], "left") \
+            .select("lang", "s", "c", F.when(F.col("hot") & (F.col("depth") == d), d + 1).otherwise(F.col("depth")).alias("depth"))
+    own = F.when(F.col("depth") == 1, prefix(1))
+    for d in range(2, DEPTH + 1):
+        own = own.when(F.col("depth") == d, prefix(d))
+    now = now.withColumn("key", F.xxhash64("lang", own))
     weights = table(now.groupBy("key").count(), "weights")
     groups = max(1, -(-2 * (weights.agg(F.sum("count")).first()[0] or 0) // budget))
     # No prefix has over a quarter of the budget, so more groups end the search.
@@ -174,33 +204,42 @@ def partition(leaves: DataFrame, budget: int) -> DataFrame:
 
 
 def subtree(group: pa.Table, least: int) -> pa.Table:
-    """(lang, phrase, size, f) of the nodes of one group that have ``least`` occurrences or lie above a prefix."""
-    columns = [group.column("lang").combine_chunks(), *[group.column(w).combine_chunks() for w in JOINED]]
-    codes, names = [], []
-    for column in columns:
-        coded = column.dictionary_encode()
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.combine_chunks()
-        # Only equality matters: nodes are runs of equal prefixes in any fixed order of the words.
-        codes.append(coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64))
-        names.append(coded.dictionary)
-    order = np.lexsort(codes[::-1])
-    codes = [c[order] for c in codes]
+    """(lang, phrase, size, f) of the nodes of one group, from two words on, that have ``least`` occurrences or lie above
+    a prefix."""
+    words = pc.split_pattern(group.column("s").cast(pa.large_binary()).combine_chunks(), b" ")
+    words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+    sizes = pc.list_value_length(words).to_numpy()
+    flat = pc.list_flatten(words).dictionary_encode()
+    # Only equality matters: nodes are runs of equal prefixes in any fixed order of the words.
+    codes = np.full((DEPTH, len(sizes)), -1, np.int64)
+    starts = np.cumsum(sizes) - sizes
+    numbers = flat.indices.to_numpy().astype(np.int64)
+    for i in range(DEPTH):
+        has = sizes > i
+        codes[i, has] = numbers[starts[has] + i]
+    langs = group.column("lang").combine_chunks()
+    langs = (langs.combine_chunks() if isinstance(langs, pa.ChunkedArray) else langs).dictionary_encode()
+    lang = langs.indices.to_numpy()
+    order = np.lexsort([*codes[::-1], lang])
+    codes, lang = codes[:, order], lang[order]
     c, depth = (group.column(n).to_numpy()[order] for n in ("c", "depth"))
-    new = np.concatenate([[True], codes[0][1:] != codes[0][:-1]])
+    new = np.append(True, lang[1:] != lang[:-1])
     out = {k: [] for k in ("lang", "phrase", "size", "f")}
     for d in range(1, DEPTH + 1):
-        new = new | np.concatenate([[True], codes[d][1:] != codes[d][:-1]])
-        starts = np.flatnonzero(new)
-        totals = np.add.reduceat(c, starts)
-        keep = (codes[d][starts] >= 0) & ((totals >= least) | (depth[starts] > d))
-        starts, totals = starts[keep], totals[keep]
-        words = [names[i].take(pa.array(codes[i][starts])) for i in range(1, d + 1)]
-        out["lang"].append(names[0].take(pa.array(codes[0][starts])))
-        out["phrase"].append(pc.binary_join_element_wise(*words, pa.scalar(b" ", words[0].type)) if d > 1 else words[0])
-        out["size"].append(pa.array(np.full(len(starts), d, np.int32)))
+        new = new | np.append(True, codes[d - 1, 1:] != codes[d - 1, :-1])
+        first = np.flatnonzero(new)
+        totals = np.add.reduceat(c, first)
+        keep = (codes[d - 1, first] >= 0) & ((totals >= least) | (depth[first] > d)) & (d > 1)
+        first, totals = first[keep], totals[keep]
+        if not len(first):
+            continue
+        node = [flat.dictionary.take(pa.array(codes[i, first])) for i in range(d)]
+        out["lang"].append(langs.dictionary.take(pa.array(lang[first])))
+        out["phrase"].append(pc.binary_join_element_wise(*node, pa.scalar(b" ", pa.large_binary())).cast(pa.binary()))
+        out["size"].append(pa.array(np.full(len(first), d, np.int32)))
         out["f"].append(pa.array(totals))
-    return pa.table({k: pa.chunked_array(v) for k, v in out.items()})
+    types = {"lang": pa.string(), "phrase": pa.binary(), "size": pa.int32(), "f": pa.int64()}
+    return pa.table({k: pa.chunked_array(v, types[k]) for k, v in out.items()})
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, budget: int = BUDGET, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -210,12 +249,13 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, budget: int = BUDGET, tex
     counts as ``und``; repeated rows count each; an empty table has no phrases.
     """
     rows = _rows(docs, text, lang)
-    words = word_counts(rows, least)
-    leaves = partition(suffixes(rows, frequent_bits(words)), budget)
+    words, bits = prefix_counts(rows, least)
+    leaves = partition(suffixes(rows, bits), budget)
     nodes = leaves.groupBy("group").applyInArrow(lambda t: subtree(t, least), "lang string, phrase binary, size int, f long")
     # Nodes below a prefix are whole; those above come once from each group that shares them.
     counts = nodes.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
-    return table(counts, "phrases"), words.filter(F.col("word").isNull()).select("lang", F.col("f").alias("n"))
+    single = words.filter(F.col("word").isNotNull()).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f")
+    return table(counts.unionByName(single), "phrases"), words.filter(F.col("word").isNull()).select("lang", F.col("f").alias("n"))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, budget: int = BUDGET, text: str = "text", lang: str = "lang") -> DataFrame:

@@ -69,7 +69,7 @@ def test_phrases(spark, monkeypatch, budget, held):
 def test_groups_keep_within_the_budget(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     rows = phrases._rows(docs, "text", "lang")
-    leaves = phrases.suffixes(rows, phrases.frequent_bits(phrases.word_counts(rows, 5)))
+    leaves = phrases.suffixes(rows, phrases.prefix_counts(rows, 5)[1])
     budget = leaves.count() // 6
     placed = phrases.partition(leaves, budget)
     sizes = [r["count"] for r in placed.groupBy("group").count().collect()]
