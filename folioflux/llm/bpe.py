@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding; long unsplit text by tree concatenation.
 
-Words between safe cuts encode alone and are remembered. An unsplit run, one that the vocabulary's pattern does not cut,
-is encoded as a tree: its halves encode by themselves, and at each join the last tokens of the one and the first of the
+Text without a long unsplit run, one that the vocabulary's pattern does not cut, is encoded by ``tiktoken`` from the same
+file, where all its characters have had their classes since before any of the libraries' tables; other text is cut as
+``tokenizers`` cuts it. A long unsplit run is encoded as a tree: its halves encode by themselves, and at each join the last tokens of the one and the first of the
 other are encoded again as one window, which grows until its first token is the left half's and its last token the
 right half's. Where merges are numbered in order a sequence of tokens is the encoding of its bytes if each two
 neighbours are, so all beyond such a window stands.
@@ -29,10 +30,12 @@ LONG = 100_000          # characters from which a text is dealt to many tasks
 LEAF = 32_768           # characters of a dealt leaf
 UNSPLIT = 256           # bytes of a run from which it is encoded as a tree, and of the tree's leaves
 WINDOW = 8              # tokens first looked at on each side of a join
-KNOWN = 250_000         # encoded parts a worker remembers
-KNOWN_CHARS = 48        # the longest of them
+SETTLED = "\u0500"      # characters below, Latin, Greek and Cyrillic, are classed alike by all tables of characters
+# Fixed value: the pattern by which this byte-level vocabulary cuts texts into words.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # A place before a single space between two other characters is a cut in any text.
 SAFE = re.compile(r"(?<=\S)(?= \S)")
+RUN = re.compile(rf"\S{{{UNSPLIT}}}|\s{{{UNSPLIT}}}")
 
 
 def byte_letters() -> list[str]:
@@ -46,6 +49,7 @@ class Codec:
     """Encodes and decodes as ``tokenizers`` does with the same file; its parts must be a byte-level BPE."""
 
     def __init__(self, path: str):
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -75,7 +79,10 @@ class Codec:
             self.bytes[i] = bytes(back[c] for c in w) if all(c in back for c in w) else w.encode()
         for s, i in self.special.items():
             self.bytes[i] = s.encode()
-        self.known: dict[str, bytes] = {}
+        ranks = {self.bytes[i]: i for w, i in model["vocab"].items() if w not in self.special}
+        # Its own merges follow the ids, so it stands in where every id is that of its merge.
+        same = len(ranks) == 256 + len(merges) == 256 + numbers[-1] - 255 and numbers[0] == 256
+        self.quick = Encoding("words", pat_str=CUT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if same else None
 
     # -- runs ---------------------------------------------------------------------------
 
@@ -106,23 +113,20 @@ class Codec:
 
     # -- texts --------------------------------------------------------------------------
 
-    def part(self, text: str) -> bytes:
-        """Ids, as native 32-bit numbers, of a text that begins and ends at cuts and names no special token."""
-        ids = self.known.get(text)
-        if ids is None:
-            out: list[int] = []
-            for letters, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
-                out += self.tree(letters)
-            ids = array("I", out).tobytes()
-            if len(text) <= KNOWN_CHARS:
-                if len(self.known) >= KNOWN:
-                    self.known.clear()
-                self.known[text] = ids
-        return ids
-
     def plain(self, text: str) -> bytes:
-        known = self.known.get
-        return b"".join([known(p) or self.part(p) for p in SAFE.split(text)]) if text else b""
+        """Ids, as native 32-bit numbers, of a text that begins and ends at cuts and names no special token."""
+        if not text:
+            return b""
+        if self.quick and max(text) < SETTLED and not RUN.search(text):
+            return array("I", self.quick(text)).tobytes()
+        out: list[int] = []
+        for part in SAFE.split(text):
+            if self.quick and len(part) < UNSPLIT and max(part) < SETTLED:
+                out += self.quick(part)
+            else:
+                for letters, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(part):
+                    out += self.tree(letters)
+        return array("I", out).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text."""
@@ -279,7 +283,8 @@ def decode(tokens: DataFrame, tokenizer: str, ids: str = "ids", out: str = "deco
         one = codec(tokenizer).decode
         for batch in batches:
             column = batch.column("ids")
-            texts = [None if x is None else one(x) for x in column.to_pylist()]
+            flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
+            texts = [one(flat[a:b].tolist()) if known else None for a, b, known in zip(ends, ends[1:], column.is_valid().to_pylist(), strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=schema.names)
 
     return source.mapInArrow(run, schema).toDF(*keep, out)
