@@ -15,6 +15,7 @@ from folioflux.functions.classify import classify_isin
 from folioflux.operators.actions import previous_snapshots
 
 # Gate limits.
+CELLS = ("quantity", "market_value_lakhs", "pct_nav")
 NAV_MIN, NAV_MAX, NAV_QUARANTINE = 95.0, 105.0, 110.0
 PRICE_CV_WARN = 0.01
 QTY_RATIO_LOW, QTY_RATIO_HIGH = 0.5, 2.0
@@ -120,6 +121,47 @@ def quantity_ratio_issues(holdings: DataFrame, peers: DataFrame, actions: DataFr
                                       prev=F.col("prev_month")))
 
 
+def delivered_cells(delivered: DataFrame) -> DataFrame:
+    """Holdings as they came, cells as text, with numbers in place of the cells and ``unreadable`` beside them.
+
+    A blank cell is unknown; any other that is no number is unknown too, and ``unreadable`` lists it as (cell, text). No
+    cell can stop the run.
+    """
+    text = lambda c: F.trim(F.col(c).cast("string"))
+    bad = F.array_compact(F.array(*[F.when((text(c) != "") & text(c).try_cast("double").isNull(), F.struct(F.lit(c).alias("cell"), text(c).alias("text")))
+                                    for c in CELLS]))
+    return delivered.withColumn("unreadable", bad).withColumns({c: text(c).try_cast("double") for c in CELLS})
+
+
+def crashed_checks(cells: DataFrame) -> DataFrame:
+    """Issues of the checks that could not run: one error for each scheme-month and check.
+
+    The quantity ratio needs the number of every security that the snapshot and the one before it share; where one of the
+    two quantities is no number it has not validated the month. The other checks pass over cells that are no numbers,
+    which ``unavailable_cells`` reports. A row that no check can place, without security, is a crash of the gate itself.
+    """
+    own = W.partitionBy("scheme_id", "isin").orderBy("report_month")
+    text = F.get(F.filter("unreadable", lambda u: u["cell"] == "quantity"), F.lit(0))["text"]
+    nameless = F.trim(F.coalesce("isin", F.lit(""))) == ""
+    rows = cells.select(*KEYS, "isin", text.alias("_text"), F.lag("report_month").over(own).alias("_m"), F.lag(text).over(own).alias("_before"))
+    # Only snapshots with such a cell, and the ones after them, are looked up.
+    found = rows.filter(~nameless & F.col("_m").isNotNull() & (F.col("_text").isNotNull() | F.col("_before").isNotNull())) \
+        .join(previous_snapshots(cells), KEYS).filter(F.col("_m") == F.col("prev_month"))
+    first = found.groupBy(*KEYS).agg(F.min(F.struct("isin", F.coalesce("_text", "_before").alias("text"), "prev_month")).alias("f"))
+    ratio = first.select(*KEYS, *_issue("qty_ratio_crashed", "error", F.concat(F.lit("qty_ratio check: "), "f.isin", F.lit(": "), "f.text", F.lit(" is no number")),
+                                        isin=F.col("f.isin"), prev=F.col("f.prev_month")))
+    # Counted, so that an unreadable name does not end the reduction.
+    whole = cells.filter(nameless & (F.size("unreadable") > 0)).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+    return ratio.unionByName(whole.select(*KEYS, *_issue("gate_crashed", "error", F.format_string("%d rows without security hold cells that are no numbers", "n"))))
+
+
+def isolated(issues: DataFrame, crashed: DataFrame) -> DataFrame:
+    """The issues with each crashed check's own findings replaced by its crash; other scheme-months keep theirs."""
+    ratio = crashed.filter(F.col("code") == "qty_ratio_crashed").select(*KEYS).withColumn("_x", F.lit(True))
+    kept = issues.join(ratio, KEYS, "left").filter(F.col("_x").isNull() | ~F.startswith(F.col("code"), F.lit("qty_ratio"))).drop("_x")
+    return kept.unionByName(crashed)
+
+
 def gate_issues(holdings: DataFrame, stocks: DataFrame, actions: DataFrame, peers: DataFrame) -> DataFrame:
     parts = [unavailable_cells(holdings, stocks), nav_issues(nav_sum(holdings)), in_scheme_price_issues(holdings),
              quantity_ratio_issues(holdings, peers, actions)]

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflux.functions import columns as C
-from folioflux.functions.classify import is_holding_isin, normalize_scheme_name
+from folioflux.functions.classify import is_holding_isin
 from folioflux.operators.running import last_marker
 from folioflux.sources.staging import cut
 
@@ -282,32 +282,3 @@ def months_named(raw: DataFrame) -> DataFrame:
     number = F.create_map(*[x for i, m in enumerate(MONTH_NAMES, 1) for x in (F.lit(m[:3]), F.lit(f"{i:02d}"))])
     hits = raw.filter(F.col("row_number") <= HEADER_ROWS).select(*SHEET, F.explode(found).alias("hit"))
     return hits.select(*SHEET, F.concat(F.substring(F.col("hit"), -4, 4), F.lit("-"), number[F.substring("hit", 1, 3)]).alias("named_month")).distinct()
-
-
-def intake_checks(sheets: DataFrame, named: DataFrame, registry: DataFrame) -> DataFrame:
-    """Problems of each (house, month) delivery: (amc_name, report_month, problem, detail).
-
-    ``sheets``: (amc_name, report_month, file, sheet, scheme_title); ``named``:
-    (amc_name, report_month, file, named_month); ``registry``: (amc_name, brand).
-    """
-    house = ["amc_name", "report_month"]
-    places = (sheets.groupBy(*house, normalize_scheme_name("sheet").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-              .filter(F.col("n") > 1).select(*house, F.lit("scheme_in_two_files").alias("problem"), F.col("key").alias("detail")))
-    first_word = F.substring_index(normalise_text(F.col("scheme_title")), " ", 1)
-    brands = registry.select(F.col("amc_name").alias("owner"), F.col("brand"), F.substring_index("brand", " ", 1).alias("_w"))
-    titled = sheets.filter(F.col("scheme_title").isNotNull()).select(*house, "sheet", normalise_text(F.col("scheme_title")).alias("_t"), first_word.alias("_w"))
-    matched = titled.join(brands, "_w").filter(F.startswith(F.concat("_t", F.lit(" ")), F.concat("brand", F.lit(" "))))
-    owners = matched.groupBy(*house, "sheet", "_t").agg(F.min("owner").alias("owner"), F.bool_or(F.col("owner") == F.col("amc_name")).alias("_own"))
-    other = owners.filter(~F.col("_own")).select(*house, F.lit("belongs_to_another_house").alias("problem"), F.col("sheet").alias("detail"))
-    dated = (named.groupBy(*house, "file").agg(F.bool_or(F.col("named_month") == F.col("report_month")).alias("_ok"))
-             .filter(~F.col("_ok")).select(*house, F.lit("dated_another_month").alias("problem"), F.col("file").alias("detail")))
-    unknown = (sheets.select(*house).distinct().join(registry.select("amc_name"), "amc_name", "left_anti")
-               .select(*house, F.lit("unknown_house").alias("problem"), F.col("amc_name").alias("detail")))
-    return places.unionByName(other).unionByName(dated).unionByName(unknown)
-
-
-def missing_houses(sheets: DataFrame, registry: DataFrame) -> DataFrame:
-    """Registered houses with no delivery, per month."""
-    months = sheets.agg(F.collect_set("report_month")).scalar()
-    wanted = registry.select("amc_name").distinct().select("amc_name", F.explode(months).alias("report_month"))
-    return wanted.join(sheets.select("amc_name", "report_month").distinct(), ["amc_name", "report_month"], "left_anti")

@@ -10,10 +10,11 @@ from folioflux.functions import columns as C
 from folioflux.operators import filings as B
 from folioflux.operators import gate as V
 from folioflux.operators import identity as I
+from folioflux.operators import intake as K
 from folioflux.operators import normalize as N
 from folioflux.plans.base import cte, half_up, query, r
 from folioflux.sources import tables as T
-from folioflux.sources.staging import required_folder
+from folioflux.sources.staging import cut, required_folder
 
 cte("v_sheets", "SELECT scheme_id, amc_name, report_month, scheme_name AS sheet, scheme_title FROM v_months JOIN v_scheme USING (scheme_id)")
 cte("v_sheet_rows", """
@@ -204,39 +205,106 @@ def _(d):
     return kept.groupBy("scheme_id", "report_month").agg(F.count(F.lit(1)).alias("kept"))
 
 
-# Deliveries: the files of house and month, some under a neighbour's folder, one scheme twice.
+# Deliveries: the folders of house and month with their workbooks. Some schemes come twice or under a neighbour's title, some folders
+# have a name of their own, and some workbooks are dated wrong, unreadable, without a scheme or notes from an archive.
 def deliveries_of(d):
+    """(folders, files, sheets, named) of every house and month."""
     rows = (d.scheme_months.join(d.schemes, "scheme_id")
-            .select("scheme_id", "report_month", F.when(F.col("scheme_id") % 23 == 0, F.concat("amc_name", F.lit("X"))).otherwise(F.col("amc_name")).alias("amc_name"),
-                    F.col("scheme_name").alias("sheet"),
-                    F.when(F.col("scheme_id") % 19 == 0, F.concat(F.lit("NATION_0 "), F.lit("Flexi Fund"))).otherwise(F.col("scheme_title")).alias("scheme_title")))
-    files = F.when(F.col("scheme_id") % 17 == 0, F.array(F.lit("a.xlsx"), F.lit("b.xlsx"))).otherwise(F.array(F.lit("a.xlsx")))
-    return rows.withColumn("file", F.explode(files))
+            .select("scheme_id", "house_no", "report_month", F.substring("report_month", 6, 2).alias("mm"),
+                    F.when(F.col("scheme_id") % 23 == 0, F.concat("amc_name", F.lit("X"))).otherwise(F.col("amc_name")).alias("amc_name"), F.col("scheme_name").alias("sheet"),
+                    F.when(F.col("scheme_id") % 19 == 0, "Nation-0 Flexi Fund").otherwise(F.translate("scheme_title", "_", " ")).alias("scheme_title")))
+    mm, house = F.col("mm"), F.col("house_no")
+    empty = ((mm == "11") & (house % 5 == 3)) | ((mm == "12") & (house % 7 == 4))
+    folders = rows.select("amc_name", "report_month", "house_no", "mm", empty.alias("_empty")).distinct()
+    places = F.when(F.col("scheme_id") % 17 == 0, F.array(F.lit("a.xlsx"), F.lit("b.xlsx"))).otherwise(F.array(F.lit("a.xlsx")))
+    sheets = rows.filter(~empty).select("amc_name", "report_month", F.explode(places).alias("file"), "sheet", "scheme_title", F.lit(3).alias("n_rows"))
+    book = lambda name, archived, error: F.struct(F.lit(name).alias("file"), F.lit(archived).alias("archived"), F.lit(error).cast("string").alias("error"))
+    more = F.array_compact(F.array(
+        F.when((mm == "04") | (mm == "12") & (house % 7 == 4), book("notes.xlsx", True, None)), F.when((mm == "05") & (house % 4 == 1), book("index.xlsx", False, None)),
+        F.when((mm == "06") & (house % 6 == 2), book("broken.xlsx", False, "BadZipFile"))))
+    added = folders.select("amc_name", "report_month", F.explode(more).alias("b")).select("amc_name", "report_month", "b.*")
+    loose = folders.filter(F.col("house_no") == 1).select(F.lit(None).cast("string").alias("amc_name"), "report_month", F.lit("readme.txt").alias("file"),
+                                                          F.lit(False).alias("archived"), F.lit(None).cast("string").alias("error")).distinct()
+    files = (sheets.select("amc_name", "report_month", "file").distinct().withColumn("archived", F.lit(False)).withColumn("error", F.lit(None).cast("string"))
+             .unionByName(added).unionByName(loose))
+    dated = F.when(F.substring("report_month", 6, 2) == "07", C.prev_month("report_month")).otherwise(F.col("report_month"))
+    named = sheets.filter("file = 'a.xlsx'").select("amc_name", "report_month", "file").distinct().withColumn("named_month", dated)
+    return folders.select("amc_name", "report_month"), files, sheets, named
 
 
 def registry_of(d):
-    return d.raw("nation").select(F.col("n_name").alias("amc_name"), F.translate(F.lower("n_name"), "_", " ").alias("brand"))
+    """The nations in order; houses 6 and 13 deliver archives of which only the workbooks named a* hold portfolios."""
+    rule = F.when(F.col("n_nationkey").isin(6, 13), "^a")
+    return d.raw("nation").select(F.col("n_nationkey").alias("position"), F.col("n_name").alias("amc_name"),
+                                  F.array(F.translate(F.lower("n_name"), "_", " "), F.lit("nation first")).alias("brands"), rule.alias("holdings_file"))
+
+
+cte("v_delivered", """
+SELECT scheme_id, house_no AS h, report_month, substr(report_month, 6, 2) AS mm, CASE WHEN scheme_id % 23 = 0 THEN amc_name || 'X' ELSE amc_name END AS amc_name, scheme_id % 23 = 0 AS strange,
+  scheme_name AS sheet, scheme_key, CASE WHEN scheme_id % 19 = 0 THEN 0 ELSE house_no END AS brand, (substr(report_month, 6, 2) = '11' AND house_no % 5 = 3) OR (substr(report_month, 6, 2) = '12' AND house_no % 7 = 4) AS empty
+FROM v_months JOIN v_scheme USING (scheme_id)""")
+cte("v_taken", """
+SELECT amc_name, report_month, sheet, scheme_key, mm, f AS file, h, scheme_id FROM (SELECT *, unnest(CASE WHEN scheme_id % 17 = 0 THEN ['a.xlsx', 'b.xlsx'] ELSE ['a.xlsx'] END) AS f FROM v_delivered
+ WHERE NOT strange AND NOT empty) WHERE NOT (f = 'a.xlsx' AND mm = '07') AND NOT (f = 'b.xlsx' AND h IN (6, 13))""")
+cte("v_intake", """
+WITH hm AS (SELECT DISTINCT amc_name, report_month, h, mm, strange, empty FROM v_delivered),
+ two AS (SELECT amc_name, report_month, 'scheme_in_two_files' AS problem, 'a.xlsx [' || sheet || '] and b.xlsx [' || sheet || ']' AS detail FROM v_taken GROUP BY amc_name, report_month, sheet HAVING count(*) > 1)
+SELECT * FROM two
+UNION ALL SELECT DISTINCT amc_name, report_month, 'belongs_to_another_house', sheet || ': NATION_0' FROM v_taken WHERE h <> 0 AND scheme_id % 19 = 0
+UNION ALL SELECT amc_name, report_month, 'unknown_house', NULL FROM hm WHERE strange
+UNION ALL SELECT DISTINCT amc_name, report_month, 'dated_another_month', 'a.xlsx: ' || substr(report_month, 1, 5) || '06' FROM hm WHERE NOT strange AND NOT empty AND mm = '07'
+UNION ALL SELECT amc_name, report_month, 'no_workbook', NULL FROM hm WHERE NOT strange AND empty AND mm = '11'
+UNION ALL SELECT amc_name, report_month, 'no_portfolio', NULL FROM hm WHERE NOT strange AND empty AND mm = '12' AND h NOT IN (6, 13)
+UNION ALL SELECT amc_name, report_month, 'no_scheme_sheets', 'index.xlsx' FROM hm WHERE NOT strange AND mm = '05' AND h % 4 = 1 AND h NOT IN (6, 13)
+UNION ALL SELECT amc_name, report_month, 'unreadable_workbook', 'broken.xlsx: BadZipFile' FROM hm WHERE NOT strange AND mm = '06' AND h % 6 = 2 AND h NOT IN (6, 13)
+UNION ALL SELECT DISTINCT NULL, report_month, 'file_outside_a_folder', 'readme.txt' FROM hm WHERE h = 1""")
+
+
+def intake_of(d):
+    made = []
+
+    def part(i):
+        made[:] = made or K.intake(*deliveries_of(d), registry_of(d))
+        return made[i]
+    return d.derived("intake_problems", lambda: part(0)), d.derived("intake_verdicts", lambda: part(1))
+
+
+@query("intake_checks", "SELECT * FROM v_intake")
+def _(d):
+    return intake_of(d)[0]
+
+
+@query("intake_verdicts", """
+WITH hm AS (SELECT DISTINCT amc_name, report_month, h, mm, strange, empty FROM v_delivered),
+ t AS (SELECT amc_name, report_month, count(DISTINCT sheet) AS n_schemes, 3 * count(*) AS n_rows FROM v_taken GROUP BY ALL),
+ f AS (SELECT amc_name, report_month, count(DISTINCT CASE WHEN h NOT IN (6, 13) OR f = 'a.xlsx' THEN f END) AS n FROM (SELECT *, unnest(CASE WHEN scheme_id % 17 = 0 THEN ['a.xlsx', 'b.xlsx'] ELSE ['a.xlsx'] END) AS f
+   FROM v_delivered WHERE NOT strange AND NOT empty) GROUP BY ALL),
+ p AS (SELECT amc_name, report_month, string_agg(problem, ',' ORDER BY problem, detail) AS problems FROM v_intake GROUP BY ALL)
+SELECT amc_name, report_month, CASE WHEN strange THEN 'unknown' WHEN problems IS NOT NULL THEN 'refused' ELSE 'ok' END AS status,
+  CASE WHEN strange THEN 0 ELSE coalesce(f.n, 0) + CASE WHEN h NOT IN (6, 13) AND (mm = '05' AND h % 4 = 1 OR mm = '06' AND h % 6 = 2) THEN 1 ELSE 0 END END AS n_files,
+  CASE WHEN NOT strange AND h NOT IN (6, 13) AND (mm = '04' OR mm = '12' AND h % 7 = 4) THEN 1 ELSE 0 END AS n_skipped, coalesce(n_schemes, 0) AS n_schemes, coalesce(n_rows, 0) AS n_rows, coalesce(problems, '') AS problems
+FROM hm LEFT JOIN t USING (amc_name, report_month) LEFT JOIN f USING (amc_name, report_month) LEFT JOIN p USING (amc_name, report_month)
+UNION ALL SELECT n_name, x.report_month, 'missing', 0, 0, 0, 0, '' FROM nation, (SELECT DISTINCT report_month FROM v_months) x
+WHERE NOT EXISTS (SELECT 1 FROM hm WHERE hm.amc_name = n_name AND hm.report_month = x.report_month)""")
+def _(d):
+    return intake_of(d)[1].withColumn("problems", F.array_join(F.transform("problems", lambda p: p["problem"]), ","))
 
 
-@query("intake_checks", """
-WITH s AS (SELECT scheme_id, report_month, CASE WHEN scheme_id % 23 = 0 THEN amc_name || 'X' ELSE amc_name END AS amc_name, scheme_name, scheme_key,
-   CASE WHEN scheme_id % 19 = 0 THEN 'NATION_0' ELSE amc_name END AS owner FROM v_months JOIN v_scheme USING (scheme_id))
-SELECT amc_name, report_month, 'scheme_in_two_files' AS problem, scheme_key AS detail FROM s WHERE scheme_id % 17 = 0
-UNION ALL SELECT amc_name, report_month, 'belongs_to_another_house', scheme_name FROM s WHERE owner <> amc_name
-UNION ALL SELECT DISTINCT amc_name, report_month, 'unknown_house', amc_name FROM s WHERE scheme_id % 23 = 0
-UNION ALL SELECT DISTINCT amc_name, report_month, 'dated_another_month', 'a.xlsx' FROM s WHERE substr(report_month, 6, 2) = '07'""")
+@query("missing_houses", """
+SELECT n_name AS amc_name, x.report_month FROM nation, (SELECT DISTINCT report_month FROM v_months) x
+WHERE NOT EXISTS (SELECT 1 FROM v_delivered v WHERE v.amc_name = n_name AND v.report_month = x.report_month)""")
 def _(d):
-    sheets = deliveries_of(d)
-    named = sheets.select("amc_name", "report_month", "file").distinct().filter(F.col("file") == "a.xlsx").withColumn(
-        "named_month", F.when(F.substring("report_month", 6, 2) == "07", C.prev_month("report_month")).otherwise(F.col("report_month")))
-    return N.intake_checks(sheets, named, registry_of(d))
+    return intake_of(d)[1].filter("status = 'missing'").select("amc_name", "report_month")
 
 
-@query("missing_houses", """
-SELECT n_name AS amc_name, report_month FROM nation, (SELECT DISTINCT report_month FROM v_months)
-WHERE NOT EXISTS (SELECT 1 FROM v_months m JOIN v_scheme s USING (scheme_id) WHERE s.scheme_id % 23 <> 0 AND s.amc_name = n_name AND m.report_month = report_month)""".replace("m.report_month = report_month", "m.report_month = x.report_month").replace("(SELECT DISTINCT report_month FROM v_months)\n", "(SELECT DISTINCT report_month FROM v_months) x\n").replace("AS amc_name, report_month FROM", "AS amc_name, x.report_month FROM"))
+@query("brand_owners", """
+SELECT scheme_id, CASE WHEN scheme_id % 3 = 0 THEN 'NATION_0' WHEN scheme_id % 3 = 1 THEN amc_name END AS owner FROM v_scheme WHERE scheme_id % 3 < 2""")
 def _(d):
-    return N.missing_houses(deliveries_of(d), registry_of(d))
+    """Titles of a third of the schemes begin with a word that several brands share, a third with the house's own, the others with no brand."""
+    text = (F.when(F.col("scheme_id") % 3 == 0, F.concat(F.lit("Shared "), "amc_name", F.lit(" Fund"))).when(F.col("scheme_id") % 3 == 1, F.concat(F.translate("amc_name", "_", "-"), F.lit("  Fund")))
+            .otherwise(F.concat(F.lit("Sharedly "), "amc_name")))
+    registry = registry_of(d).withColumn("brands", F.array(F.element_at("brands", 1), F.lit("shared"), F.lit("no such brand")))
+    return K.brand_owners(d.schemes.withColumn("scheme_title", text), registry, ["scheme_id"])
 
 
 # -- ownership filings --------------------------------------------------------------------------------
@@ -457,14 +525,23 @@ def _(d):
 
 # -- keyed table updates --------------------------------------------------------------------------------------
 
+def folder_of(d, name):
+    return f"{required_folder(d.spark)}/folioflux/files/{uuid.uuid4().hex}/{name}"
+
+
 @query("read_parsed_holdings", f"""
-SELECT scheme_name, amc_name, report_month, isin, quantity, {r('market_value_lakhs', 3)} AS market_value_lakhs, {r('pct_nav', 5)} AS pct_nav FROM v_holdings JOIN v_scheme USING (scheme_id)""")
+SELECT scheme_name, amc_name, report_month, isin, quantity, {r('market_value_lakhs', 3)} AS market_value_lakhs, {r('pct_nav', 5)} AS pct_nav,
+  CASE WHEN scheme_id % 2 = 0 THEN 'Sector, "' || (scheme_id % 5) || '"' END AS industry FROM v_holdings JOIN v_scheme USING (scheme_id)""")
 def _(d):
-    path = f"{required_folder(d.spark)}/folioflux/parsed_csv"
-    named = (d.holdings.join(d.schemes.select("scheme_id", "amc_name", "scheme_name"), "scheme_id")
-             .withColumn("instrument_name", F.col("isin")).select(*T.PARSED_REQUIRED))
-    named.write.mode("overwrite").option("header", True).csv(path)
-    return C.rounded(T.read_parsed_holdings(d.spark, path).drop("instrument_name"), 5, market_value_lakhs=3)
+    """Files in a folder with spaces in its name: half of the schemes with an extra column and their columns the other way round, half with a byte order mark."""
+    named = (d.holdings.join(d.schemes.select("scheme_id", "amc_name", "scheme_name"), "scheme_id").withColumn("instrument_name", F.col("isin"))
+             .withColumn("industry", F.concat(F.lit('Sector, "'), F.col("scheme_id") % 5, F.lit('"'))))
+    path = folder_of(d, "HDFC AMC files")
+    more = [*reversed(T.PARSED_REQUIRED), "industry", "checked by"]
+    named.filter("scheme_id % 2 = 0").withColumn("checked by", F.lit("x")).select(*more).write.option("header", True).option("escape", '"').csv(f"{path}/with sector")
+    named.filter("scheme_id % 2 = 1").select(F.col(T.PARSED_REQUIRED[0]).alias("\ufeff" + T.PARSED_REQUIRED[0]), *T.PARSED_REQUIRED[1:]).write.option("header", True).csv(f"{path}/bom")
+    rows = T.read_parsed_holdings(d.spark, [f"{path}/with sector", f"{path}/bom"])
+    return C.rounded(rows.select("scheme_name", "amc_name", "report_month", "isin", "quantity", "market_value_lakhs", "pct_nav", "industry"), 5, market_value_lakhs=3)
 
 
 def bhavcopy_of(d, layout):
@@ -489,6 +566,45 @@ def _(d):
     return C.rounded(T.normalize_closes(bhavcopy_of(d, T.LAYOUTS[1])).drop("symbol", "source"), 5, traded_value=2)
 
 
+@query("read_bhavcopy", BHAV_SQL)
+def _(d):
+    """Days of odd months in one layout, of even months in the other with its columns the other way round, all in one folder."""
+    path = folder_of(d, "daily files")
+    old = bhavcopy_of(d, T.LAYOUTS[1]).filter(F.month("trade_date") % 2 == 0).withColumn("TradDt", F.col("trade_date").cast("string")).drop("trade_date")
+    new = bhavcopy_of(d, T.LAYOUTS[0]).filter(F.month("trade_date") % 2 == 1).withColumn("TradDt", F.col("trade_date").cast("string")).drop("trade_date")
+    for rows in (new, old.select(*reversed(old.columns))):
+        rows.write.mode("append").option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
+    return C.rounded(T.read_bhavcopy(d.spark, path).drop("symbol", "source"), 5, traded_value=2)
+
+
+@query("merge_prices", f"""
+SELECT isin, trade_date, {r('CASE WHEN month(trade_date) = 3 THEN close_price * 2 ELSE close_price END', 5)} AS close_price, month(trade_date) = 3 AS rewritten FROM v_prices_daily""")
+def _(d):
+    """Two corrections of each March close in one batch, the later one counts; merged twice. Other months keep their files."""
+    path, keys = folder_of(d, "prices"), ["isin", "trade_date"]
+    T.merge_prices(d.spark, path, d.prices_daily, keys, parts=1)
+    before = cut(d.spark.read.parquet(path).select(F.col("_metadata.file_name").alias("file")).distinct()).withColumn("kept", F.lit(True))
+    march = d.prices_daily.filter(F.month("trade_date") == 3)
+    batch = march.withColumn("fetched_at", F.lit("2002-01-02")).withColumn("close_price", F.col("close_price") * 2) \
+        .unionByName(march.withColumn("fetched_at", F.lit("2002-01-01")).withColumn("close_price", F.col("close_price") * 3))
+    for _ in range(2):
+        T.merge_prices(d.spark, path, batch, keys, ["fetched_at"], parts=1)
+    rows = d.spark.read.parquet(path).select(*keys, "close_price", F.col("_metadata.file_name").alias("file"))
+    return C.rounded(rows.join(before, "file", "left").select(*keys, "close_price", F.col("kept").isNull().alias("rewritten")), 5)
+
+
+@query("merge_shareholding", f"""
+SELECT isin, quarter_end, {r('CASE WHEN month(quarter_end) = 6 THEN 2 ELSE fii_pct END', 5)} AS fii_pct, CASE WHEN month(quarter_end) = 6 THEN 'x' END AS source_sha256 FROM v_filings""")
+def _(d):
+    """Filings of June corrected twice in one batch and merged into the table by quarter and key digest."""
+    path = folder_of(d, "filings")
+    T.merge_shareholding(d.spark, path, d.filings.withColumn("source", F.lit("test")))
+    new = d.filings.filter(F.month("quarter_end") == 6).withColumn("source", F.lit("test")).withColumn("ixbrl_sha256", F.lit("x")).withColumn(
+        "at", F.explode(F.array(F.lit(2), F.lit(1)))).withColumn("fii_pct", F.col("at").cast("double"))
+    T.merge_shareholding(d.spark, path, new, ["at"])
+    return C.rounded(T.read_keyed(d.spark, path).select("isin", "quarter_end", "fii_pct", "source_sha256"), 5)
+
+
 @query("upsert_prices", f"SELECT isin, trade_date, {r('CASE WHEN month(trade_date) = 3 THEN close_price * 2 ELSE close_price END', 5)} AS close_price FROM v_prices_daily")
 def _(d):
     corrected = d.prices_daily.filter(F.month("trade_date") == 3).withColumn("close_price", F.col("close_price") * 2)

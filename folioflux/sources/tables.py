@@ -7,17 +7,16 @@ touching only the partitions involved.
 
 from __future__ import annotations
 
-import csv
 from functools import reduce
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflux.functions import columns as C
 from folioflux.functions.classify import EXCHANGE_ISIN_PATTERN
+from folioflux.sources.staging import cut
 
 # Required columns, exchange layouts and series.
 PARSED_REQUIRED = ("isin", "instrument_name", "quantity", "market_value_lakhs", "pct_nav", "scheme_name", "amc_name", "report_month")
@@ -46,103 +45,190 @@ def _refuse(df: DataFrame, checks: dict[str, Column], what: str) -> None:
         raise RefusedInput(f"{what}: {failed}")
 
 
-def by_header(spark: SparkSession, paths: list[str] | str, accepted: list[list[str]]) -> list[DataFrame]:
-    """CSV files as text columns by name, one frame for each header that occurs.
+WIDTH = 96          # columns of the widest file
 
-    A file is refused when its header lacks names of every accepted list. Headers are found in one distributed
-    pass; only file names and header lines reach the driver.
+
+def wide_schema() -> T.StructType:
+    return T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(WIDTH + 1)])
+
+
+def wide_rows(rows: DataFrame) -> DataFrame:
+    """(file, line, first_block, cells) of CSV rows read with ``wide_schema``: lines of a file ascend in its order."""
+    return rows.select(F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") == 0).alias("first_block"),
+                       F.array(*wide_schema().names).alias("cells"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("line", F.monotonically_increasing_id())
+
+
+def by_header(rows: DataFrame, accepted: list[list[str]], wanted: dict[str, list[str]]) -> DataFrame:
+    """(file, line, the wanted columns) of numbered wide rows, as text.
+
+    A file's header is its first line. It fits the first of the ``accepted`` lists whose names it all has, whatever their
+    order; a file that fits none, or is wider than WIDTH, refuses the batch. ``wanted`` gives each column's name under
+    each list. Headers are rows like the others, found by file and joined back: no file name reaches the driver, and a
+    column that a file lacks is NULL there.
     """
-    lines = spark.read.text(paths)
-    names_all = lambda names: reduce(and_, [F.col("value").contains(n) for n in names])
-    heads = lines.select(F.col("_metadata.file_path").alias("file"), "value").filter(reduce(or_, map(names_all, accepted)))
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for row in heads.groupBy("file").agg(F.min("value").alias("value")).collect():
-        names = tuple(c.strip().lstrip("\ufeff") for c in next(csv.reader([row.value])))
-        if any(set(need) <= set(names) for need in accepted):
-            groups.setdefault(names, []).append(row.file)
-    wrong = lines.select("_metadata.file_path").distinct().count() - sum(map(len, groups.values()))
-    if wrong or not groups:
-        raise RefusedInput(f"{wrong} files are missing columns of {accepted}")
-    return [spark.read.option("header", True).schema(T.StructType([T.StructField(c, T.StringType()) for c in names])).csv(files)
-            for names, files in groups.items()]
+    rows = cut(rows)        # read once: for the headers and for the lines
+    names = F.transform("cells", lambda c: F.trim(F.regexp_replace(c, "^\ufeff", "")))
+    heads = rows.filter("first_block").groupBy("file").agg(F.min("line").alias("_head"), F.min_by("cells", "line").alias("cells")).withColumn("_names", names)
+    fits = F.lit(None).cast("int")
+    for i, need in reversed(list(enumerate(accepted))):
+        fits = F.when(reduce(and_, [F.coalesce(F.array_contains("_names", n), F.lit(False)) for n in need]), i).otherwise(fits)
+    heads = heads.withColumn("_fits", F.when(F.get("cells", F.lit(WIDTH)).isNull(), fits))
+    _refuse(heads, {"files_without_the_columns": F.col("_fits").isNull()}, f"columns of {accepted}")
+    at = {c: F.array_position("_names", F.element_at(F.array(*map(F.lit, under)), F.col("_fits") + 1)) for c, under in wanted.items()}
+    heads = heads.select("file", "_head", *[F.when(n > 0, n.cast("int") - 1).alias(f"_at_{c}") for c, n in at.items()])
+    return rows.join(heads, "file").filter(F.col("line") != F.col("_head")) \
+        .select("file", "line", *[F.get("cells", F.col(f"_at_{c}")).alias(c) for c in wanted])
+
+
+def _csv_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    return numbered(wide_rows(spark.read.schema(wide_schema()).option("escape", '"').csv(paths)))
 
 
 # -- parsed holdings --------------------------------------------------------------------
 
-def read_parsed_holdings(spark: SparkSession, path: str) -> DataFrame:
-    """Parser output CSV: all columns as text, numbers parsed, the whole input refused when malformed."""
-    text = None
-    for part in by_header(spark, path, [list(PARSED_REQUIRED)]):
-        text = part if text is None else text.unionByName(part, allowMissingColumns=True)
+def parsed_holdings_of(rows: DataFrame) -> DataFrame:
+    """Parser output from numbered wide rows: numbers parsed, the whole input refused when malformed."""
+    text = by_header(rows, [list(PARSED_REQUIRED)], {c: [c] for c in PARSED_REQUIRED + PARSED_OPTIONAL})
     _refuse(text, {"blank_amc_name": F.coalesce(F.trim("amc_name") == "", F.lit(True)),
                    "blank_scheme_name": F.coalesce(F.trim("scheme_name") == "", F.lit(True)),
                    "bad_report_month": ~C.is_report_month("report_month")}, "parsed holdings")
-    numbers = ("quantity", "market_value_lakhs", "pct_nav", "pct_nav_raw")
-    return text.withColumns({c: C.finite(c) for c in numbers if c in text.columns})
+    return text.withColumns({c: C.finite(c) for c in ("quantity", "market_value_lakhs", "pct_nav", "pct_nav_raw")})
 
 
-# -- exchange closes ----------------------------------------------------------------------
+def read_parsed_holdings(spark: SparkSession, path: str) -> DataFrame:
+    """Parser output CSV files by name; optional columns that a file lacks are NULL."""
+    return parsed_holdings_of(_csv_files(spark, path)).drop("file", "line")
 
-def normalize_closes(raw: DataFrame, keys: tuple[str, ...] = ("trade_date",)) -> DataFrame:
-    """Equity closes from text columns of either exchange layout.
 
-    One quote per (day, security), the most traded: a keyed max_by, combined
-    map-side, so a busy day is not sorted in one task.
-    """
-    layout = next((x for x in LAYOUTS if all(x[c] in raw.columns for c in QUOTE_REQUIRED)), None)
-    if layout is None:
-        raise RefusedInput(f"neither exchange layout matches columns {sorted(raw.columns)}")
-    cleaned = {"isin": lambda c: F.upper(F.trim(c)), "symbol": F.trim, "series": F.trim, "close_price": C.finite,
-               "_volume": lambda c: F.coalesce(C.non_negative(c), F.lit(0.0)), "traded_value": C.non_negative}
-    absent = {"_volume": F.lit(0.0), "traded_value": F.lit(None).cast("double")}
-    rows = raw.select(*keys, *[(absent[name] if layout[name] not in raw.columns else clean(layout[name])).alias(name)
-                               for name, clean in cleaned.items()])
+# -- exchange closes ----------------------------------------------------------------------
+
+def _closes(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """One quote per (day, security) of text columns, the most traded: a keyed max_by, combined map-side."""
+    cleaned = {"isin": F.upper(F.trim("isin")), "symbol": F.trim("symbol"), "series": F.trim("series"), "close_price": C.finite("close_price"),
+               "_volume": F.coalesce(C.non_negative("_volume"), F.lit(0.0)), "traded_value": C.non_negative("traded_value")}
+    rows = rows.select(*keys, *[c.alias(name) for name, c in cleaned.items()])
     rows = rows.filter(F.col("series").isin(*EQUITY_SERIES) & F.col("isin").rlike(EXCHANGE_ISIN_PATTERN) & (F.col("close_price") > 0))
     quote = F.struct("close_price", "traded_value", "series", "symbol")
     return (rows.groupBy(*keys, "isin").agg(F.max_by(quote, F.struct("_volume", "series", "symbol")).alias("q"))
             .select(*keys, "isin", "q.*", F.lit("nse_bhavcopy").alias("source")))
 
 
+def normalize_closes(raw: DataFrame, keys: tuple[str, ...] = ("trade_date",)) -> DataFrame:
+    """Equity closes from text columns of either exchange layout."""
+    layout = next((x for x in LAYOUTS if all(x[c] in raw.columns for c in QUOTE_REQUIRED)), None)
+    if layout is None:
+        raise RefusedInput(f"neither exchange layout matches columns {sorted(raw.columns)}")
+    column = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
+    return _closes(raw.select(*keys, *[column(layout[name]).alias(name) for name in layout]), keys)
+
+
 def read_bhavcopy(spark: SparkSession, paths: list[str] | str, trade_date: Column | None = None) -> DataFrame:
     """Daily exchange files of either layout, mixed as they come; the day comes from a column or from the caller."""
-    closes = None
-    for raw in by_header(spark, paths, [[x[c] for c in QUOTE_REQUIRED] for x in LAYOUTS]):
-        day = trade_date if trade_date is not None else F.col("TradDt").cast("date")
-        part = normalize_closes(raw.withColumn("trade_date", day))
-        closes = part if closes is None else closes.unionByName(part)
-    return closes
+    wanted = {c: [x[c] for x in LAYOUTS] for c in LAYOUTS[0]} | {"TradDt": ["TradDt"] * len(LAYOUTS)}
+    rows = by_header(_csv_files(spark, paths), [[x[c] for c in QUOTE_REQUIRED] for x in LAYOUTS], wanted)
+    day = trade_date if trade_date is not None else F.col("TradDt").try_cast("date")
+    return _closes(rows.withColumn("trade_date", day), ("trade_date",))
 
 
 # -- keyed replacement ------------------------------------------------------------------------
 
-def keyed_upsert(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Stored rows whose key is not replaced, plus the incoming rows."""
-    return stored.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming, allowMissingColumns=True)
+def latest_per_key(incoming: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Last write wins within one batch: by ``order``, or as the rows come."""
+    rest = [c for c in incoming.columns if c not in keys]
+    rows = incoming if order else incoming.withColumn("_row", F.monotonically_increasing_id())
+    last = F.struct(*(order or ["_row"]), *rest) if order else F.struct("_row")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), last).alias("r")).select(*[c if c in keys else f"r.{c}" for c in incoming.columns])
 
 
-def latest_per_key(incoming: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Last write wins within one batch."""
-    rest = [c for c in incoming.columns if c not in keys]
-    return incoming.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
+def keyed_upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Stored rows whose key is not replaced, plus the last incoming row of each key."""
+    return stored.join(incoming.select(*keys), keys, "left_anti").unionByName(latest_per_key(incoming, keys, order), allowMissingColumns=True)
 
 
-def upsert_prices(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Monthly or daily closes; the batch is refused when any close is not finite and positive."""
+def checked_prices(incoming: DataFrame) -> DataFrame:
+    """The batch with numbers; refused when any close is not finite and positive."""
     _refuse(incoming, {"bad_close": ~(C.finite("close_price") > 0)}, "prices")
     clean = incoming.withColumn("close_price", C.finite("close_price"))
-    if "traded_value" in incoming.columns:
-        clean = clean.withColumn("traded_value", C.non_negative("traded_value"))
-    return keyed_upsert(stored, clean, keys)
+    return clean.withColumn("traded_value", C.non_negative("traded_value")) if "traded_value" in incoming.columns else clean
 
 
-def upsert_shareholding(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+def checked_shareholding(incoming: DataFrame) -> DataFrame:
+    """The batch under its stored column names; refused when a required column is missing."""
     missing = set(FILING_REQUIRED) - set(incoming.columns)
     if missing:
         raise RefusedInput(f"shareholding records are missing columns {sorted(missing)}")
     if "ixbrl_sha256" in incoming.columns and "source_sha256" not in incoming.columns:
         incoming = incoming.withColumnRenamed("ixbrl_sha256", "source_sha256")
-    available = [c for c in FILING_REQUIRED + FILING_OPTIONAL if c in incoming.columns]
-    return keyed_upsert(stored, incoming.select(*available), ["isin", "quarter_end"])
+    return incoming.select(*[c for c in FILING_REQUIRED + FILING_OPTIONAL if c in incoming.columns])
+
+
+def upsert_prices(stored: DataFrame, incoming: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Monthly or daily closes."""
+    return keyed_upsert(stored, checked_prices(incoming), keys, order)
+
+
+def upsert_shareholding(stored: DataFrame, incoming: DataFrame, order: list[str] | None = None) -> DataFrame:
+    return keyed_upsert(stored, checked_shareholding(incoming), ["isin", "quarter_end"], order)
+
+
+PARTS = ["period", "part"]
+
+
+def merge_keyed(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str], period: Column, order: list[str] | None = None, parts: int = 8) -> None:
+    """Merge a batch into a Parquet table by key, rewriting only the partitions its keys belong to.
+
+    A row's partition follows from its key: ``period``, an expression of the key, and a digest of the key. The last row of
+    a key within the batch counts (see ``latest_per_key``). Untouched partitions keep their files; repeating the merge
+    after a failure gives the same table, as every touched partition is made from the old one and the batch and replaced at
+    the commit. Only the touched partitions' names reach the driver.
+    """
+    digest = {"period": period.cast("string"), "part": F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")}
+    new = cut(latest_per_key(incoming, keys, order).withColumns(digest))
+    touched = new.select(*PARTS).distinct().collect()
+    if not touched:
+        return
+    merged = new
+    if _exists(spark, path):
+        inside = reduce(or_, [(F.col("period") == r["period"]) & (F.col("part") == r["part"]) for r in touched])
+        stored = spark.read.schema(_with_parts(spark, path, new)).parquet(path).filter(inside)
+        # Written aside first: a partition cannot be replaced while it is read.
+        merged = cut(stored.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True))
+    merged.repartition(*PARTS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS).parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    """A merged table; columns that later batches added are NULL in older partitions."""
+    return spark.read.option("mergeSchema", True).parquet(path).drop(*PARTS)
+
+
+def _with_parts(spark: SparkSession, path: str, new: DataFrame) -> T.StructType:
+    """The stored columns and those the batch adds; the partition columns as they are written."""
+    stored = spark.read.option("mergeSchema", True).parquet(path).schema
+    named = {f.name for f in stored.fields}
+    kinds = {"period": T.StringType(), "part": T.IntegerType()}
+    return T.StructType([T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in stored.fields] + [f for f in new.schema.fields if f.name not in named])
+
+
+def merge_prices(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str], order: list[str] | None = None, parts: int = 8) -> None:
+    """Monthly or daily closes into their table, by month of the key."""
+    month = F.col("report_month") if "report_month" in keys else F.date_format("trade_date", "yyyy-MM")
+    merge_keyed(spark, path, checked_prices(incoming), keys, month, order, parts)
+
+
+def merge_shareholding(spark: SparkSession, path: str, incoming: DataFrame, order: list[str] | None = None, parts: int = 8) -> None:
+    """Ownership filings into their table, by quarter end."""
+    extra = [c for c in order or [] if c not in FILING_REQUIRED + FILING_OPTIONAL]
+    last = latest_per_key(incoming, ["isin", "quarter_end"], order) if extra else incoming
+    merge_keyed(spark, path, checked_shareholding(last), ["isin", "quarter_end"], F.col("quarter_end").cast("string"), None if extra else order, parts)
 
 
 def replace_months(stored: DataFrame, incoming: DataFrame, also: list[str] = ()) -> DataFrame:
@@ -241,8 +327,3 @@ def export_json(df: DataFrame, path: str) -> None:
 def json_documents(df: DataFrame, key: str) -> DataFrame:
     """One JSON document per row, keyed."""
     return df.select(key, F.to_json(F.struct(*df.columns)).alias("document"))
-
-
-def line_numbers(df: DataFrame, keys: list[str], order: list[str], out: str = "line_no") -> DataFrame:
-    """Stable line numbers within a small group, for inputs that carry none."""
-    return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))

@@ -9,13 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from folioflux.functions import columns as C
 from folioflux.operators.identity import resolve_schemes
 from folioflux.operators.normalize import combine_lots, loader_nav_rescale
 from folioflux.sources.staging import cut
-from folioflux.sources.tables import PARSED_OPTIONAL, PARSED_REQUIRED, write_months
+from folioflux.sources.tables import numbered, parsed_holdings_of, wide_rows, wide_schema, write_months
 
 HOLDING = ["scheme_id", "isin", "report_month"]
 STORED = [*HOLDING, "quantity", "market_value_lakhs", "pct_nav", "pct_nav_raw", "pct_nav_scale"]
@@ -50,10 +48,9 @@ def replace_snapshots(spark: SparkSession, path: str, incoming: DataFrame) -> No
 
 def load_inbox(spark: SparkSession, inbox: str, table: str, progress: str, schemes: DataFrame, aliases: DataFrame) -> None:
     """Process the files not seen before and stop."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in PARSED_REQUIRED + PARSED_OPTIONAL])
-    files = spark.readStream.option("header", True).option("enforceSchema", False).schema(schema).csv(inbox)
+    files = wide_rows(spark.readStream.schema(wide_schema()).option("escape", '"').csv(inbox))
 
     def load(batch: DataFrame, _batch_id: int) -> None:
-        numbers = ("quantity", "market_value_lakhs", "pct_nav", "pct_nav_raw")
-        replace_snapshots(spark, table, snapshots_of(batch.withColumns({c: C.finite(c) for c in numbers}), schemes, aliases))
+        # A file arrives whole in one micro-batch, so its header does too; columns are found by name.
+        replace_snapshots(spark, table, snapshots_of(parsed_holdings_of(numbered(batch)), schemes, aliases))
     files.writeStream.foreachBatch(load).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()

@@ -28,3 +28,13 @@ def test_corrected_file_replaces_its_snapshot(spark, tmp_path):
     load_inbox(spark, str(inbox), table, progress, schemes, aliases)
     got = {(r.scheme_id, r.report_month, r.isin): r.quantity for r in spark.read.parquet(table).collect()}
     assert got == {(1, "2026-07", "INE002A01018"): 12.0, (2, "2026-07", "INE002A01018"): 7.0, (1, "2026-08", "INE002A01018"): 11.0}
+
+
+def test_files_with_few_columns_in_any_order(spark, tmp_path):
+    inbox, table, progress = tmp_path / "in box", str(tmp_path / "table"), str(tmp_path / "progress")
+    inbox.mkdir()
+    schemes, aliases = I.backfill_identity(spark.createDataFrame([(1, "A AMC", "A Flexi")], "scheme_id bigint, amc_name string, scheme_name string"))
+    cells = dict(isin="INE002A01018", instrument_name='"N, ""x"""', quantity="3", market_value_lakhs="50", pct_nav="50", scheme_name="A Flexi", amc_name="A AMC", report_month="2026-07")
+    (inbox / "a b.csv").write_text(",".join(reversed(cells)) + "\n" + ",".join(reversed(cells.values())) + "\n")
+    load_inbox(spark, str(inbox), table, progress, schemes, aliases)
+    assert [(r.isin, r.quantity) for r in spark.read.parquet(table).collect()] == [("INE002A01018", 3.0)]

@@ -1,5 +1,7 @@
 """Readers by name, non-finite quantities and the verified bracket of the exact median."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +35,59 @@ def test_both_exchange_layouts_in_one_call(spark, tmp_path):
     assert sorted((r.isin, r.close_price, r.traded_value) for r in rows) == [("INE000A01011", 10.5, 70.0), ("INE001A01011", 10.5, 70.0)]
 
 
+def test_files_with_spaces_marks_and_header_words_in_the_data(spark, tmp_path):
+    folder = tmp_path / "HDFC AMC"
+    folder.mkdir()
+    required = list(HOLDING)
+    lines = [",".join(required), ",".join(HOLDING.values()), ",".join('"Zed, ""B"""' if k == "instrument_name" else v for k, v in HOLDING.items())]
+    (folder / "HDFC AMC 1.csv").write_text("\ufeff" + "\n".join(lines) + "\n", encoding="utf-8")
+    # A later line that holds all names is data, not a header: it makes the batch malformed.
+    (folder / "b%20c.csv").write_text(",".join(required) + "\n" + ",".join(HOLDING.values()) + "\n")
+    rows = T.read_parsed_holdings(spark, str(folder)).collect()
+    assert sorted(r.instrument_name for r in rows) == ['Zed, "B"', "x", "x"] and {r.quantity for r in rows} == {20.0} and {r.industry for r in rows} == {None}
+    (folder / "c.csv").write_text(",".join(required) + "\n" + ",".join(required) + "\n")
+    with pytest.raises(T.RefusedInput, match="bad_report_month"):
+        T.read_parsed_holdings(spark, str(folder))
+
+
+def test_too_wide_a_file_is_refused(spark, tmp_path):
+    csv_file(tmp_path, "a.csv", HOLDING | {f"x{i}": "1" for i in range(T.WIDTH)})
+    with pytest.raises(T.RefusedInput):
+        T.read_parsed_holdings(spark, str(tmp_path))
+
+
+def prices(spark, rows):
+    return spark.createDataFrame(rows, "isin string, trade_date string, close_price double, fetched_at int")
+
+
+def test_merge_touches_only_the_partitions_of_its_keys(spark, tmp_path):
+    table, keys = str(tmp_path / "a table"), ["isin", "trade_date"]
+    first = [(f"I{i}", f"2024-0{m}-05", 10.0 + i, 1) for i in range(30) for m in (1, 2, 3)]
+    T.merge_prices(spark, table, prices(spark, first), keys)
+    files = lambda: {p: p.stat().st_mtime_ns for p in Path(table).rglob("*.parquet")}
+    before = files()
+    batch = [("I3", "2024-02-05", 5.0, 2), ("I3", "2024-02-05", 7.0, 3), ("I3", "2024-02-05", 6.0, 1), ("N", "2024-02-07", 1.0, 1)]
+    for _ in range(2):
+        T.merge_prices(spark, table, prices(spark, batch), keys, ["fetched_at"])
+        got = {(r.isin, r.trade_date): r.close_price for r in T.read_keyed(spark, table).collect()}
+        assert got == {(i, d): x for i, d, x, _ in first} | {("I3", "2024-02-05"): 7.0, ("N", "2024-02-07"): 1.0}
+        assert T.read_keyed(spark, table).count() == len(got)
+    after = files()
+    gone = {p.parent for p in before if p not in after}
+    assert 1 <= len(gone) <= 2 and all("period=2024-02" in str(p) for p in gone)
+    assert all(after[p] == t for p, t in before.items() if p in after)
+    # A refused batch and an empty one leave the table alone.
+    with pytest.raises(T.RefusedInput):
+        T.merge_prices(spark, table, prices(spark, [("I1", "2024-01-05", float("nan"), 1)]), keys)
+    T.merge_prices(spark, table, prices(spark, []), keys)
+    assert files() == after
+
+
+def test_without_an_order_the_last_row_of_a_batch_counts(spark):
+    rows = prices(spark, [("I", "d", 1.0, 1), ("I", "d", 3.0, 1), ("I", "d", 2.0, 1), ("J", "d", 4.0, 1)]).coalesce(1)
+    assert {r.isin: r.close_price for r in T.upsert_prices(rows.limit(0), rows, ["isin", "trade_date"]).collect()} == {"I": 2.0, "J": 4.0}
+
+
 def test_non_finite_quantities_do_not_reach_peers(spark):
     rows = [(s, "I", m, q) for s, q0, q1 in ((1, 10.0, 20.0), (2, 10.0, 30.0), (3, 10.0, float("nan")), (4, float("inf"), 5.0)) for m, q in (("2024-01", q0), ("2024-02", q1))]
     out = peer_median_ratios(spark.createDataFrame(rows, "scheme_id long, isin string, report_month string, quantity double")).collect()
