@@ -22,25 +22,42 @@ FII_LEGACY = r"foreigninstitutionalinvestors?"
 DII_LABELS = ("mutual funds", "banks", "insurance companies", "other financial institutions")
 PROMOTER_LABEL = "total shareholding of promoter and promoter group"
 PUBLIC_LABEL = "(b)=(b)(1)+(b)(2)"
+FPI_LABEL = r"foreign\s+portfolio\s+investors?\b(?:\s*category\s*(i{1,3}|1|2|3))?"
+FII_LABEL = r"foreign\s+institutional\s+investors?\b"
+FPI_CATEGORIES = {"fii_i": ("1", "i"), "fii_ii": ("2", "ii"), "fii_iii": ("3", "iii")}
 SPLIT_TOLERANCE, WHOLE_TOLERANCE = 0.001, 0.01
 EXCHANGE_SITE = "https://www.bseindia.com"
 
 
 def xbrl_facts(documents: DataFrame, keys: list[str], xml: str = "xml") -> DataFrame:
-    """(keys, context, text) of every percentage element of XBRL documents."""
-    schema = f"{PERCENT_ELEMENT} ARRAY<STRUCT<_contextRef: STRING, _VALUE: STRING>>"
-    parsed = F.from_xml(F.col(xml), schema, {"ignoreNamespace": "true"})
-    facts = documents.select(*keys, F.explode(parsed[PERCENT_ELEMENT]).alias("f"))
-    return facts.select(*keys, F.col("f._contextRef").alias("context"), F.col("f._VALUE").alias("text"))
+    """(keys, context, text, reason): every percentage element of XBRL documents, or one row with the reason for having none.
+
+    A missing document, one that is no well-formed XML and one without percentage elements each keep a row, so no filing
+    is lost on the way to its percentages.
+    """
+    schema = f"{PERCENT_ELEMENT} ARRAY<STRUCT<_contextRef: STRING, _VALUE: STRING>>, _corrupt STRING"
+    # A byte order mark and white space may come before the document.
+    text = F.regexp_replace(F.col(xml), r"^[\ufeff\s]+", "")
+    parsed = documents.select(*keys, text.isNull().alias("_none"), F.from_xml(text, schema, {"ignoreNamespace": "true", "columnNameOfCorruptRecord": "_corrupt"}).alias("x"))
+    reason = (F.when(F.col("_none"), "no_document").when(F.col("x._corrupt").isNotNull(), "not_well_formed")
+              .when(F.coalesce(F.size(F.col(f"x.{PERCENT_ELEMENT}")), F.lit(0)) <= 0, "no_percentages"))
+    facts = parsed.select(*keys, reason.alias("reason"), F.explode_outer(F.when(reason.isNull(), F.col(f"x.{PERCENT_ELEMENT}"))).alias("f"))
+    return facts.select(*keys, F.col("f._contextRef").alias("context"), F.col("f._VALUE").alias("text"), "reason")
 
 
 def context_values(facts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, name, pct, error): one value per category; conflicting duplicates and unreadable text are errors."""
+    """(keys, name, pct, error): one value per category; conflicting duplicates and unreadable text are errors.
+
+    What belongs to no category -- facts of other contexts, blank ones, and refused documents -- is one row without name,
+    with the document's reason as its error.
+    """
     text = F.regexp_replace(F.trim("text"), ",", "")
-    rows = facts.filter(F.col("context").rlike(CONTEXT_PATTERN) & (text != "")).select(
-        *keys, F.lower(F.regexp_extract("context", CONTEXT_PATTERN, 1)).alias("name"), text.try_cast("double").alias("v"))
+    usable = F.coalesce(F.col("context").rlike(CONTEXT_PATTERN) & (text != ""), F.lit(False))
+    rows = facts.select(*keys, F.when(usable, F.lower(F.regexp_extract("context", CONTEXT_PATTERN, 1))).alias("name"),
+                        F.when(usable, text.try_cast("double")).alias("v"), "reason")
+    named = F.col("name").isNotNull()
     return rows.groupBy(*keys, "name").agg(
-        F.min("v").alias("pct"), F.when(F.count_if(F.col("v").isNull()) > 0, "invalid_percentage")
+        F.min("v").alias("pct"), F.when(F.max("reason").isNotNull(), F.max("reason")).when(F.count_if(named & F.col("v").isNull()) > 0, "invalid_percentage")
         .when(F.min("v") != F.max("v"), "conflicting_percentages").alias("error"))
 
 
@@ -94,11 +111,11 @@ def row_percentages(tags: DataFrame, keys: list[str]) -> DataFrame:
 def label_kind(label: Column) -> Column:
     """promoter, public, a DII label or an FII category of one normalised row label, else NULL."""
     flat = F.trim(F.regexp_replace(F.regexp_replace(label, r"[()\-–—/,]", " "), r"\s+", " "))
-    fpi = r"foreign\s+portfolio\s+investors?\b(?:\s*category\s*(i{1,3}|1|2|3))?"
-    category = F.regexp_extract(flat, fpi, 1)
-    fii = (F.when(flat.rlike(r"foreign\s+institutional\s+investors?\b"), "fii_legacy")
-           .when(flat.rlike(fpi), F.when(category == "", "fii_aggregate").when(category.isin("1", "i"), "fii_i")
-                 .when(category.isin("2", "ii"), "fii_ii").otherwise("fii_iii")))
+    category = F.regexp_extract(flat, FPI_LABEL, 1)
+    kind = F.lit("fii_aggregate")
+    for name, marks in FPI_CATEGORIES.items():
+        kind = F.when(category.isin(*marks), name).otherwise(kind)
+    fii = F.when(flat.rlike(FII_LABEL), "fii_legacy").when(flat.rlike(FPI_LABEL), kind)
     return (F.when(label.startswith(PROMOTER_LABEL), "promoter")
             .when(F.regexp_replace(label, " ", "").startswith(PUBLIC_LABEL), "public")
             .when(label.isin(*DII_LABELS), F.concat(F.lit("dii_"), label)).otherwise(fii))

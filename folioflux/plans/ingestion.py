@@ -326,7 +326,10 @@ def documents_of(d):
         element("InstitutionsForeignPortfolioInvestorCategoryTwo_ContextI", F.col("fii_pct") * k / 4),
         element("InstitutionsForeignPortfolioInvestor_ContextI", F.col("fii_pct") * k),
         F.when(n % 13 == 0, element("Banks_ContextI", F.lit(0.5))).otherwise(""), element("MutualFundsOrUTI_Context15", F.lit(99.0)))
-    return d.filings.select("isin", "quarter_end", F.concat(F.lit('<xbrl xmlns:in="urn:in">'), body, F.lit("</xbrl>")).alias("xml"))
+    whole = F.concat(F.lit('\ufeff\n<xbrl xmlns:in="urn:in">'), body, F.lit("</xbrl>"))
+    xml = (F.when(n % 17 == 3, F.substring_index(whole, "</xbrl>", 1)).when(n % 17 == 5, '<xbrl xmlns:in="urn:in"><in:Name>x</in:Name></xbrl>')
+           .when(n % 17 == 7, F.lit(None).cast("string")).when(n % 17 == 9, F.concat(F.lit('<xbrl xmlns:in="urn:in">'), element("Banks_Context2", F.lit(1.0)), F.lit("</xbrl>"))).otherwise(whole))
+    return d.filings.select("isin", "quarter_end", xml.alias("xml"))
 
 
 def context_values_of(d):
@@ -338,10 +341,16 @@ cte("v_doc", """
 SELECT isin, quarter_end, dayofyear(quarter_end) + substr(isin, 4, 3)::INT AS n, promoter_pct, fii_pct, dii_pct FROM v_filings""")
 
 
-@query("xbrl_facts", """
-SELECT isin, quarter_end, 7 + CASE WHEN n % 7 <> 0 THEN 1 ELSE 0 END AS names, CASE WHEN n % 13 = 0 THEN 1 ELSE 0 END AS conflicts FROM v_doc""")
+XBRL_REASON = "CASE n % 17 WHEN 3 THEN 'not_well_formed' WHEN 5 THEN 'no_percentages' WHEN 7 THEN 'no_document' END"
+
+
+@query("xbrl_facts", f"""
+SELECT isin, quarter_end, CASE WHEN n % 17 IN (3, 5, 7, 9) THEN 0 ELSE 7 + CASE WHEN n % 7 <> 0 THEN 1 ELSE 0 END END AS names, CASE WHEN n % 13 = 0 AND n % 17 NOT IN (3, 5, 7, 9) THEN 1 ELSE 0 END AS conflicts,
+  {XBRL_REASON} AS reason FROM v_doc""")
 def _(d):
-    return context_values_of(d).groupBy("isin", "quarter_end").agg(F.count(F.lit(1)).alias("names"), F.count("error").alias("conflicts"))
+    named = F.col("name").isNotNull()
+    return context_values_of(d).groupBy("isin", "quarter_end").agg(F.count("name").alias("names"), F.count(F.when(named, F.col("error"))).alias("conflicts"),
+                                                                   F.max(F.when(~named, F.col("error"))).alias("reason"))
 
 
 def _printed(x):
@@ -349,13 +358,15 @@ def _printed(x):
     return f"(CASE WHEN n % 3 = 0 THEN round({half_up(x, 8)}::DECIMAL(38,8), 4) ELSE round({half_up(x, 10)}::DECIMAL(38,10), 4) END)::DOUBLE"
 
 
+_XBRL_ERROR = f"coalesce({XBRL_REASON}, CASE WHEN n % 17 = 9 THEN 'no_aggregate_rows' WHEN n % 13 = 0 THEN 'conflicting_percentages' WHEN n % 11 = 0 THEN 'unreadable_total' END)"
+_XBRL_PARTS = {"promoter_pct": "CASE WHEN n % 7 <> 0 THEN promoter_pct ELSE 0 END", "fii_pct": "fii_pct * 0.75", "dii_pct": "dii_pct * 0.75",
+               "public_pct": "100 - CASE WHEN n % 7 <> 0 THEN promoter_pct ELSE 0 END", "mf_pct": "dii_pct * 0.5"}
+
+
 @query("xbrl_resolve", f"""
-SELECT isin, quarter_end, CASE WHEN n % 13 = 0 THEN 'conflicting_percentages' WHEN n % 11 = 0 THEN 'unreadable_total' END AS error,
-  CASE WHEN n % 13 <> 0 AND n % 11 <> 0 THEN floor({_printed('CASE WHEN n % 7 <> 0 THEN promoter_pct ELSE 0 END')} * 1e4 + 0.3217) / 1e4 END AS promoter_pct,
-  CASE WHEN n % 13 <> 0 AND n % 11 <> 0 THEN floor({_printed('fii_pct * 0.75')} * 1e4 + 0.3217) / 1e4 END AS fii_pct, CASE WHEN n % 13 <> 0 AND n % 11 <> 0 THEN floor({_printed('dii_pct * 0.75')} * 1e4 + 0.3217) / 1e4 END AS dii_pct,
-  CASE WHEN n % 13 <> 0 AND n % 11 <> 0 THEN floor({_printed('dii_pct * 0.5')} * 1e4 + 0.3217) / 1e4 END AS mf_pct FROM v_doc""")
+SELECT isin, quarter_end, {_XBRL_ERROR} AS error, {', '.join(f"CASE WHEN {_XBRL_ERROR} IS NULL THEN floor({_printed(x)} * 1e4 + 0.3217) / 1e4 END AS {c}" for c, x in _XBRL_PARTS.items())} FROM v_doc""")
 def _(d):
-    return C.rounded(B.xbrl_resolve(context_values_of(d), ["isin", "quarter_end"]).drop("public_pct"), 4)
+    return C.rounded(B.xbrl_resolve(context_values_of(d), ["isin", "quarter_end"]), 4)
 
 
 TABLE_LABELS = (("Total Shareholding of Promoter and Promoter Group (A)", "promoter_pct", 1.0), ("(B)=(B)(1)+(B)(2)", "public_pct", 1.0),

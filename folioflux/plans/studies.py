@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioflux.functions import columns as C
+from folioflux.functions.classify import SPLIT_RATIOS
 from folioflux.operators import consensus as S
 from folioflux.operators import coverage as G
 from folioflux.operators import eligibility as E
@@ -13,7 +14,7 @@ from folioflux.operators import research as R
 from folioflux.operators import summary as T
 from folioflux.plans.audit import window_of
 from folioflux.plans.base import SCHEME_LABEL, STOCK_LABEL, cte, half_up, query, r, rupees
-from folioflux.plans.comparison import RATIOS, eligible_of, pairs_of
+from folioflux.plans.comparison import eligible_of, pairs_of
 from folioflux.plans.signals import consensus_of, ranked_of
 from folioflux.sources.staging import cut
 
@@ -380,10 +381,12 @@ SELECT p.report_month, p.prev_month, p.scheme_id, p.isin, amc_name, in_prev, in_
 FROM v_pairs p JOIN v_stock s USING (isin) JOIN v_scheme k ON k.scheme_id = p.scheme_id
 JOIN v_old_status a ON a.scheme_id = p.scheme_id AND a.report_month = p.report_month AND a.status = 'ok'
 JOIN v_old_status b ON b.scheme_id = p.scheme_id AND b.report_month = p.prev_month AND b.status = 'ok' WHERE instrument_type = 'equity' AND is_active_equity = 1""")
+# One row for each security and month: the widest gap to each ratio as a column of its own, the first ratio that fits counts.
+_FITS = [f"WHEN g{i} <= 0.02 AND round(abs(px * {k} - 1), 9) <= 0.15 THEN {k}" for i, k in enumerate(SPLIT_RATIOS)]
 cte("v_old_split", f"""
-SELECT report_month, isin, k AS ratio FROM (SELECT report_month, isin, k, ord, max(round(abs(q1 / q0 - k) / k, 9)) AS gap, (sum(v1) / sum(q1)) / (sum(v0) / sum(q0)) AS px
-  FROM v_old_raw, (SELECT unnest({RATIOS}) AS k, generate_subscripts({RATIOS}, 1) AS ord) ks WHERE q0 > 0 AND q1 > 0 AND v0 > 0 AND v1 > 0 GROUP BY ALL)
-WHERE gap <= 0.02 AND round(abs(px * k - 1), 9) <= 0.15 QUALIFY row_number() OVER (PARTITION BY report_month, isin ORDER BY ord) = 1""")
+SELECT report_month, isin, ratio FROM (SELECT report_month, isin, (CASE {' '.join(_FITS)} END)::DOUBLE AS ratio FROM (
+  SELECT report_month, isin, (sum(v1) / sum(q1)) / (sum(v0) / sum(q0)) AS px, {', '.join(f"max(round(abs(q1 / q0 - {k}) / {k}, 9)) AS g{i}" for i, k in enumerate(SPLIT_RATIOS))}
+  FROM v_old_raw WHERE q0 > 0 AND q1 > 0 AND v0 > 0 AND v1 > 0 GROUP BY report_month, isin)) WHERE ratio IS NOT NULL""")
 
 
 @query("comparison_rows_earlier_rules", f"""
@@ -399,11 +402,12 @@ def _(d):
 
 @query("earlier_rules_guard", """
 WITH f AS (SELECT report_month, rq0 IS NULL OR rq1 IS NULL OR (isin = 'INE005A01015' AND in_curr AND report_month LIKE '%-07') AS bad FROM v_old_raw
- UNION ALL SELECT report_month, qty_change IS NULL OR flow_lakhs IS NULL FROM v_deltas WHERE report_month LIKE '%-08')
+ UNION ALL SELECT report_month, quantity_prev IS NULL OR quantity_curr IS NULL OR qty_change IS NULL OR flow_lakhs IS NULL FROM v_deltas JOIN v_pairs USING (scheme_id, isin, report_month))
 SELECT report_month, count(*) FILTER (WHERE bad) AS unavailable_inputs, CASE WHEN count(*) FILTER (WHERE bad) > 0 THEN 'refused' ELSE 'reproducible' END AS replay FROM f GROUP BY 1""")
 def _(d):
-    """Unknown values of an unrequested security do not refuse, those of a requested one do, as do unknown stored flows."""
+    """Unknown values of an unrequested security do not refuse, those of a requested one do, as do unknown stored quantities, changes and flows of any month."""
     lost = (F.col("isin") == "INE003A01013") | ((F.col("isin") == "INE005A01015") & F.col("report_month").endswith("-07"))
     pairs = pairs_of(d).withColumn("market_value_lakhs_curr", F.when(~(lost & F.col("in_curr")), F.col("market_value_lakhs_curr")))
-    stored = d.deltas.filter(F.col("report_month").endswith("-08")).select("report_month", F.lit(0.0).alias("quantity_prev"), F.lit(0.0).alias("quantity_curr"), "qty_change", "flow_lakhs")
+    keys = ["scheme_id", "isin", "report_month"]
+    stored = d.deltas.select(*keys, "qty_change", "flow_lakhs").join(d.pairs.select(*keys, "quantity_prev", "quantity_curr"), keys)
     return L.guard(pairs, d.schemes, d.stocks, old_status_of(d), requested=d.stocks.filter(F.col("isin").isin("INE005A01015", "INE006A01016")), stored=stored)
