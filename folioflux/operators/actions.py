@@ -29,15 +29,19 @@ def peer_median_ratios(holdings: DataFrame) -> DataFrame:
     months. The leave-one-out median comes from order statistics of the whole
     group, so the work is linear in the holders of a security.
     """
-    wanted = previous_snapshots(holdings).filter(F.col("prev_month").isNotNull())
-    month_pairs = wanted.select("report_month", "prev_month").distinct()
+    wanted = cut(previous_snapshots(holdings).filter(F.col("prev_month").isNotNull()))
+    pairs = wanted.select("report_month", "prev_month").distinct()
+    adjacent = F.col("prev_month") == C.prev_month("report_month")
     positive = holdings.select("scheme_id", "isin", "report_month", C.non_negative("quantity").alias("quantity")).filter(F.col("quantity") > 0)
+    own = W.partitionBy("scheme_id", "isin").orderBy("report_month")
+    lagged = positive.withColumn("prev_month", F.lag("report_month").over(own)).withColumn("q0", F.lag("quantity").over(own))
+    # Neighbouring months come from the row before; only comparisons over a gap, which few months have, are looked up.
+    near = lagged.filter(adjacent).join(pairs, ["report_month", "prev_month"], "left_semi")
     before = positive.select("scheme_id", "isin", F.col("report_month").alias("prev_month"), F.col("quantity").alias("q0"))
-    # Counted, ordered and joined back: computed once.
-    ratios = cut(positive.join(month_pairs, "report_month")
-              .join(before, ["scheme_id", "isin", "prev_month"])
-              .select("scheme_id", "isin", "report_month", "prev_month", C.finite(F.col("quantity") / F.col("q0")).alias("ratio"))
-              .filter(F.col("ratio").isNotNull()))
+    far = positive.join(pairs.filter(~adjacent), "report_month").join(before, ["scheme_id", "isin", "prev_month"])
+    columns = ["scheme_id", "isin", "report_month", "prev_month", C.finite(F.col("quantity") / F.col("q0")).alias("ratio")]
+    # Counted and ordered: computed once.
+    ratios = cut(near.select(*columns).unionByName(far.select(*columns)).filter(F.col("ratio").isNotNull()))
     medians = leave_one_out_median(ratios, ["isin", "report_month", "prev_month"], "ratio", "peer_median_ratio")
     return medians.join(wanted, ["scheme_id", "report_month", "prev_month"], "left_semi")
 

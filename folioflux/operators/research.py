@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from folioflux.functions import columns as C
 from folioflux.operators.exact import exact_median
+from folioflux.sources.staging import cut
 
 # Group names, thresholds and bands of the two tests.
 GROUPS = ("mf_and_fii", "mf_only", "mf_neutral", "mf_selling")
@@ -18,6 +19,8 @@ DECISION_LAG_DAYS = 30
 THRESHOLD_PP = 0.25
 FIFTHS, SIZE_BANDS, MIN_SIZED = 5, 3, 15
 ITERATIONS = 5000
+ITERATION_RANGE = 100    # iterations of a month dealt to a task together
+UNIVERSE = "universe"    # all securities of a month as a group
 FINDING_T = 2.0
 
 
@@ -102,16 +105,19 @@ def by_group(panel: DataFrame, *columns: str) -> DataFrame:
 def evaluate(panel: DataFrame) -> DataFrame:
     """Per (month, group): size, mean, median, excess over the universe, win and beat-median rates."""
     key = ["report_month"]
-    base = panel.groupBy(*key).agg(F.count(F.lit(1)).alias("universe_n"), F.avg("ret").alias("universe_mean"),
-                                   F.first("partial_period").alias("partial_period"))
-    base = base.join(exact_median(panel, key, "ret", "universe_median").drop("n"), key)
-    rows = by_group(panel, "group", "active_group").join(base.select(*key, "universe_median"), key)
-    stats = rows.groupBy(*key, "group_name").agg(
+    # The universe is a group like the others, so one selection gives every median.
+    rows = cut(panel.select(*key, "ret", "partial_period", F.explode(F.array(F.lit(UNIVERSE), "group", "active_group")).alias("group_name")))
+    medians = cut(exact_median(rows, [*key, "group_name"], "ret").drop("n"))
+    universe = medians.filter(F.col("group_name") == UNIVERSE).select(*key, F.col("median").alias("universe_median"))
+    stats = rows.join(universe, key).groupBy(*key, "group_name").agg(
         F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean"), F.avg(F.when(F.col("ret") > 0, 1.0).otherwise(0.0)).alias("win_rate"),
-        F.avg(F.when(F.col("ret") > F.col("universe_median"), 1.0).otherwise(0.0)).alias("beat_universe_rate"))
-    stats = stats.join(exact_median(rows, [*key, "group_name"], "ret").drop("n"), [*key, "group_name"])
+        F.avg(F.when(F.col("ret") > F.col("universe_median"), 1.0).otherwise(0.0)).alias("beat_universe_rate"),
+        F.first("partial_period").alias("partial_period")).join(medians, [*key, "group_name"])
+    stats = cut(stats)
+    base = stats.filter(F.col("group_name") == UNIVERSE).select(
+        *key, F.col("n").alias("universe_n"), F.col("mean").alias("universe_mean"), "partial_period", F.col("median").alias("universe_median"))
     spine = base.select("*", F.explode(F.array(*map(F.lit, GROUPS + ACTIVE_GROUPS))).alias("group_name"))
-    return (spine.join(stats, [*key, "group_name"], "left")
+    return (spine.join(stats.drop("partial_period"), [*key, "group_name"], "left")
             .withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
             .withColumn("excess_mean", F.col("mean") - F.col("universe_mean"))
             .withColumn("excess_median", F.col("median") - F.col("universe_median")))
@@ -125,24 +131,27 @@ def new_listings(panel: DataFrame) -> DataFrame:
 def permutation_p(panel: DataFrame, iterations: int = ITERATIONS, seed: int = 0) -> DataFrame:
     """Share of random same-size subsets whose mean return reaches the group's.
 
-    Every iteration orders a month's securities by a seeded digest; the running
-    mean at position n is a random subset of size n, so one ordering serves all
-    groups of the month. Work is spread over (month, iteration), each a single
-    universe of securities.
+    Every iteration orders a month's securities by a seeded digest; the sum of the first n is a random subset of size n,
+    so one ordering serves all groups of the month. A month is one universe of securities, held in a row; rows are dealt
+    by month and range of iterations, ordered and added up inside the row, and only hits are shuffled.
     """
     key = ["report_month"]
     groups = by_group(panel, "group", "active_group").groupBy(*key, "group_name").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("ret"), 12).alias("observed"))
-    sizes = panel.groupBy(*key).agg(F.count(F.lit(1)).alias("total"))
-    groups = groups.join(sizes, key).filter(F.col("n") < F.col("total"))
-    draws = panel.select(*key, "isin", "ret", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("iteration"))
-    shuffle = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col("iteration").cast("string"), "isin"))
-    order = W.partitionBy("report_month", "iteration").orderBy(shuffle, "isin")
-    placed = (draws.withColumn("n", F.row_number().over(order))
-              .withColumn("total", F.sum("ret").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))))
-    drawn = placed.select(*key, F.col("n").cast("bigint").alias("n"), F.round(F.col("total") / F.col("n"), 12).alias("drawn"))
-    return (drawn.join(groups.select(*key, "group_name", "n", "observed"), [*key, "n"])
-            .groupBy(*key, "group_name").agg((C.flag_count(F.col("drawn") >= F.col("observed")) / F.lit(iterations)).alias("p_vs_random")))
+    months = panel.groupBy(*key).agg(F.collect_list(F.struct("isin", "ret")).alias("rows"))
+    groups = groups.join(months.select(*key, F.size("rows").alias("total")), key).filter(F.col("n") < F.col("total"))
+    wanted = groups.groupBy(*key).agg(F.collect_list(F.struct("group_name", "n", "observed")).alias("groups"))
+    ranges = F.sequence(F.lit(1), F.lit(iterations), F.lit(ITERATION_RANGE))
+    last = F.least(F.col("first") + (ITERATION_RANGE - 1), F.lit(iterations))
+    dealt = months.join(wanted, key).withColumn("first", F.explode(ranges)).repartition(*key, "first") \
+        .select(*key, "rows", "groups", F.explode(F.sequence("first", last)).alias("iteration"))
+    digest = lambda x: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("iteration").cast("string"), x["isin"]))
+    order = F.array_sort(F.transform("rows", lambda x: F.struct(digest(x).alias("h"), x["isin"].alias("isin"), x["ret"].alias("ret"))))
+    total = lambda n: F.aggregate(F.slice("order", 1, n), F.lit(0.0), lambda a, x: a + x["ret"])
+    hits = F.transform("groups", lambda g: F.struct(
+        g["group_name"].alias("group_name"), F.when(F.round(total(g["n"].cast("int")) / g["n"], 12) >= g["observed"], 1).otherwise(0).alias("hit")))
+    drawn = dealt.withColumn("order", order).select(*key, F.explode(hits).alias("h"))
+    return drawn.groupBy(*key, F.col("h.group_name").alias("group_name")).agg((F.sum("h.hit") / F.lit(iterations)).alias("p_vs_random"))
 
 
 def pooled(results: DataFrame, names: tuple[str, ...], excess: str = "excess_mean", size: str = "n") -> DataFrame:

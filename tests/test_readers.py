@@ -1,12 +1,13 @@
 """Readers by name, non-finite quantities and the verified bracket of the exact median."""
 
+import statistics
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioflux.operators.actions import peer_median_ratios
-from folioflux.operators.exact import exact_median
+from folioflux.operators.exact import exact_median, ranked_values
 from folioflux.sources import tables as T
 
 HOLDING = {"isin": "INE001A01011", "instrument_name": "x", "quantity": "20", "market_value_lakhs": "77", "pct_nav": "1.5", "scheme_name": "s",
@@ -94,10 +95,16 @@ def test_non_finite_quantities_do_not_reach_peers(spark):
     assert {r.scheme_id: r.peer_median_ratio for r in out} == {1: 3.0, 2: 2.0}
 
 
-def test_a_missed_bracket_raises(spark, monkeypatch):
-    from folioflux.operators import exact
-    frame = spark.range(1001).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("v"))
-    assert exact_median(frame, ["k"], "v", small_group=10).first()["median"] == 500.0
-    monkeypatch.setattr(exact, "BRACKET", (0.7, 0.8))
-    with pytest.raises(Exception, match="outside the bracket"):
-        exact_median(frame, ["k"], "v", small_group=10).collect()
+def test_selection_narrows_any_shape_of_values(spark):
+    """Runs of equal values, far outliers and even spacing, every rank of the middle, narrowed in many rounds."""
+    shapes = {"even": [float(i) for i in range(1001)], "ties": [1.0] * 600 + [2.0] * 500 + [float(i) for i in range(300)], "far": [10.0 ** (i % 300) for i in range(700)], "none": [5.0] * 200,
+              "few": [1.0, 2.0], None: [float(i * i) for i in range(400)]}
+    frame = spark.createDataFrame([(k, v) for k, vs in shapes.items() for v in vs], "k string, v double")
+    got = {r.k: r.median for r in exact_median(frame, ["k"], "v", ordered=10).collect()}
+    assert got == {k: statistics.median(v) for k, v in shapes.items()}
+    groups = frame.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    ranks = {f"r{i}": F.ceil(F.col("n") * i / 7) for i in range(8)} | {"beyond": F.col("n") + 1}
+    for r in ranked_values(frame, groups, ["k"], "v", ranks, ordered=10).collect():
+        values = sorted(shapes[r.k])
+        assert r.r0 is None and r.beyond is None
+        assert [r[f"r{i}"] for i in range(1, 8)] == [values[-(-len(values) * i // 7) - 1] for i in range(1, 8)]

@@ -62,17 +62,16 @@ def test_history_range_is_bounded():
         C.month_list("2024-01", "2026-02")
 
 
-@pytest.mark.parametrize("small_group", [3, 100_000])
-def test_leave_one_out_median_against_brute_force(spark, small_group):
+@pytest.mark.parametrize("ordered", [3, 100_000])
+def test_leave_one_out_median_against_brute_force(spark, ordered):
     rng = random.Random(7)
     sizes = {"one": 1, "two": 2, "odd": 7, "even": 12, "hot": 400}
     rows = [(k, i, float(rng.choice([1, 1, 1, 2, rng.random()]))) for k, n in sizes.items() for i in range(n)]
     df = spark.createDataFrame(rows, "k string, i int, v double")
-    limit = small_group if small_group > 10 else 300
-    got = {(r.k, r.i): r.m for r in exact.leave_one_out_median(df, ["k"], "v", "m", limit).collect()}
+    got = {(r.k, r.i): r.m for r in exact.leave_one_out_median(df, ["k"], "v", "m", ordered).collect()}
     want = {(k, i): statistics.median([v for kk, j, v in rows if kk == k and j != i]) for k, i, _ in rows if sizes[k] > 1}
     assert got == pytest.approx(want)
-    medians = {r.k: r.median for r in exact.exact_median(df, ["k"], "v", small_group=limit).collect()}
+    medians = {r.k: r.median for r in exact.exact_median(df, ["k"], "v", ordered=ordered).collect()}
     assert medians == pytest.approx({k: statistics.median([v for kk, _, v in rows if kk == k]) for k in sizes})
 
 
