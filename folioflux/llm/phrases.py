@@ -26,10 +26,10 @@ from folioflux.llm.rows import quoted, table
 DEPTH = 4                   # words of the longest phrase
 LEAST = 30                  # occurrences of a candidate
 TOP = 2000                  # phrases reported for each language
-BUDGET = 1_000_000          # distinct suffixes a group holds at most
+BUDGET = 500_000            # distinct suffixes a group holds at most
 BITS = 27                   # the table of frequent pairs has 2 to the power of this many bits: 16 MB, whatever the input
 RANGE_BYTES = 16 << 20      # text for each range of pair hashes, which one task adds up
-HELD = 2_000_000            # words a task gathers before it adds them up and sends them
+HELD = 1_500_000            # words a task gathers before it adds them up and sends them
 HELD_BYTES = 64 << 20       # bytes of distinct words a task gathers
 # A-Z in lower case; what ends a piece becomes a line feed, a tab becomes a space.
 PIECES = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\v\f\r" else 32 if b == 9 else b for b in range(256))
@@ -200,7 +200,8 @@ def partition(leaves: DataFrame, budget: int) -> DataFrame:
     # No prefix has over a quarter of the budget, so more groups end the search.
     while groups > 1 and weights.groupBy(F.pmod("key", F.lit(groups))).agg(F.sum("count").alias("n")).filter(F.col("n") > budget).limit(1).count():
         groups *= 2
-    return now.withColumn("group", F.pmod("key", F.lit(groups))).drop("key")
+    # A group for each task, however many there are.
+    return now.withColumn("group", F.pmod("key", F.lit(groups))).drop("key").repartition(groups, "group")
 
 
 def subtree(group: pa.Table, least: int) -> pa.Table:
