@@ -11,8 +11,8 @@ family name is then also found without the title, alone or behind given names of
 particles, script and spacing stay; initials are moved along their alphabet by a keyed distance.
 
 Collisions are settled on the distinct entities: a surrogate that another entity has drawn too, or that is itself
-an entity of the corpus, is drawn again with the next attempt, which from the fourth on also lengthens it. Only
-the entities with a later attempt are joined back to the texts that mention them.
+an entity of the corpus, is drawn again with the next attempt, which from the fourth on also lengthens it, or from the
+twelfth on if it is a number. Only the entities with a later attempt are joined back to the texts that mention them.
 """
 
 from __future__ import annotations
@@ -29,20 +29,23 @@ NAME_KINDS = ["given_f", "given_m", "family"]
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 TITLES_F = "Mrs|Ms|Miss|Madame|Mme|Frau|Señora|Sra|Госпожа"
 TITLES_M = "Mr|Monsieur|Herr|Señor|Sr|Господин"
+WORDS = 6               # words of a name, and of what stands before a family name
+# An address is no longer than a thousand characters before and behind its sign.
 # A word of a name, without a possessive ending; initials may stand together.
-WORD = r"\p{Lu}\p{L}+(?:['’-](?!s\b)\p{L}+)*|\p{Lu}['’]\p{L}{2,}(?:-\p{L}+)*"
+# Loops over groups are possessive or bounded: Java walks any other with a stack frame a turn.
+WORD = r"\p{Lu}\p{L}+(?:['’-](?!s\b)\p{L}++)*+|\p{Lu}['’]\p{L}{2,}+(?:-\p{L}++)*+"
 WORD = f"(?:{WORD})"
 INITIAL = r"(?:\p{Lu}\.(?: +|(?=\p{Lu}))|\p{Lu} +)"
 PARTICLE = "(?:van|von|vom|zu|zur|de|den|der|del|della|di|da|do|dos|du|la|le|el|al|bin|ibn|ten|ter)"
 TITLE = rf"^(?:{TITLES_F}|{TITLES_M})\.? +"
 TOKEN = rf"{WORD}|\p{{Lu}}(?!\p{{L}})|(?<!\p{{L}}){PARTICLE}(?!\p{{L}})"
 PATTERNS = {
-    "email": r"[A-Za-z0-9À-ÖØ-öø-ÿ._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9À-ÖØ-öø-ÿ._%+-])[A-Za-z0-9À-ÖØ-öø-ÿ._%+-]{1,1000}+@(?=[A-Za-z0-9-])[A-Za-z0-9.-]{0,1000}(?<!\.)\.[A-Za-z]{2,}+",
     "card": r"(?<![\w.-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\w-])",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w.])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])",
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
-    "name": rf"\b(?:{TITLES_F}|{TITLES_M})\.? +(?:{INITIAL}|{PARTICLE} +|{WORD} +){{0,5}}{WORD}",
+    "name": rf"\b(?:{TITLES_F}|{TITLES_M})\.? +(?:{INITIAL}|{PARTICLE} +|{WORD} +){{0,{WORDS - 1}}}{WORD}",
 }
 ANY = "(?:" + ")|(?:".join(PATTERNS[k] for k in KINDS) + ")"
 
@@ -52,7 +55,9 @@ FIRST = {("f", "latin"): "Anna Clara Elena Emma Julia Laura Lena Lucia Maria Mar
          ("f", "cyrillic"): "Анна Вера Дарья Елена Ирина Мария Нина Ольга", ("m", "cyrillic"): "Антон Борис Виктор Денис Иван Олег Павел Юрий"}
 SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se ta te to".split(),
              "cyrillic": "ба бе бо да де до ка ке ко ла ле ло ма ме мо на не но па пе ра ре ро са се та те то ва ве во".split()}
-ATTEMPTS = 40
+LENGTHENED = 12         # attempt from which a number, whose space may be full, gets further digits
+ATTEMPTS = 200
+SMALL = 200_000         # later attempts that may be sent to every task
 
 
 def byte(digest: Column, i: Column) -> Column:
@@ -60,6 +65,19 @@ def byte(digest: Column, i: Column) -> Column:
     return F.conv(F.substring(digest, 2 * F.pmod(i, F.lit(32)) + 1, F.lit(2)), 16, 10).cast("int") + i
 
 
+def characters(x: Column) -> Column:
+    return F.split(x, "(?!^)(?!$)")
+
+
+def check_digit(body: Column) -> Column:
+    """The digit that makes 15 digits a card number."""
+    def weighed(c, i):
+        digit = c.try_cast("int")
+        return F.when(i % 2 == 0, F.floor(digit / 5).cast("int") + digit * 2 % 10).otherwise(digit)
+    total = F.aggregate(F.transform(characters(body), weighed), F.lit(0), lambda a, x: a + x)
+    return F.pmod(10 - F.pmod(total, F.lit(10)), F.lit(10)).cast("string")
+
+
 def pick(choices: list[str], at: Column) -> Column:
     return F.get(F.array(*[F.lit(c) for c in choices]), F.pmod(at, F.lit(len(choices))).cast("int"))
 
@@ -90,9 +108,14 @@ def drawn(digest: Column, kind: Column, norm: Column, attempt: Column) -> Column
             .when(F.instr(F.lit(accented), c) > 0, pick(list(accented), byte(digest, i))).otherwise(c)
     # The last label of an address stays, as does every separator.
     body, tail = F.regexp_extract(norm, r"^(.*)(\.[^.]*)$", 1), F.regexp_extract(norm, r"^(.*)(\.[^.]*)$", 2)
-    email = F.concat(longer, F.array_join(F.transform(F.split(body, "(?!^)"), letter), ""), tail)
-    # Numbers keep their first digit, which tells the network or the country.
-    number = F.array_join(F.transform(F.split(norm, "(?!^)"), lambda c, i: F.when(i == 0, c).otherwise(pick(list(DIGITS), byte(digest, i)))), "")
+    email = F.concat(longer, F.array_join(F.transform(characters(body), letter), ""), tail)
+    # Numbers keep their first digit, which tells the network or the country. Where a form is full they grow at the end.
+    more = F.when(attempt >= LENGTHENED, F.substring(F.translate(digest, "abcdef", "012345"), 1, F.floor((attempt - LENGTHENED) / 4).cast("int") + 1)).otherwise(F.lit(""))
+    plain = F.array_join(F.transform(characters(norm), lambda c, i: F.when(i == 0, c).otherwise(pick(list(DIGITS), byte(digest, i)))), "")
+    # A card number whose last digit checks the others gets one whose last digit does.
+    body16 = F.substring(plain, 1, 15)
+    checked = F.when((kind == "card") & (check_digit(F.substring(norm, 1, 15)) == F.substring(norm, 16, 1)), F.concat(body16, check_digit(body16))).otherwise(plain)
+    number = F.concat(checked, more)
     ip = F.array_join(F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: (F.pmod(byte(digest, i), F.lit(254)) + 1).cast("string")), ".")
     cyrillic = norm.rlike(r"\p{IsCyrillic}")
 
@@ -126,7 +149,8 @@ def formatted(kind: Column, x: Column, sur: Column) -> Column:
     def place(c, i):
         nth = F.length(F.regexp_replace(F.substring(x, F.lit(1), i + 1), r"\D", ""))
         return F.when(c.rlike(r"\d"), F.substring(sur, nth, F.lit(1))).otherwise(c)
-    number = F.array_join(F.transform(F.split(x, "(?!^)"), place), "")
+    digits = F.length(F.regexp_replace(x, r"\D", ""))
+    number = F.concat(F.array_join(F.transform(characters(x), place), ""), F.substring(sur, digits + 1, F.length(sur)))
     cased = F.when(x == F.upper(x), F.upper(sur)).when(x == F.lower(x), sur).otherwise(F.array_join(F.transform(F.split(sur, "-"), F.initcap), "-"))
     return F.when(kind.isin("card", "phone", "ssn"), number).when(kind == "email", F.when(x == F.upper(x), F.upper(sur)).otherwise(sur)) \
         .when(kind.isin(NAME_KINDS), cased).otherwise(sur)
@@ -155,7 +179,7 @@ def bare(names: Column) -> Column:
         return F.array_join(F.transform(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda e: e["w"]), "|")
     family, given = either(F.transform(names, lambda n: n["family"])), either(F.flatten(F.transform(names, lambda n: n["given"])))
     before = F.when(given == "", F.lit("")).otherwise(F.concat(F.lit("(?:"), given, F.lit(") +|")))
-    return F.concat(F.lit(r"(?<![\p{L}\p{N}_'’-])(?:"), before, F.lit(rf"{INITIAL}|{PARTICLE} +)*(?:"), family, F.lit(r")(?![\p{L}\p{N}_]|-\p{L})"))
+    return F.concat(F.lit(r"(?<![\p{L}\p{N}_'’-])(?:"), before, F.lit(rf"{INITIAL}|{PARTICLE} +){{0,{WORDS}}}(?:"), family, F.lit(r")(?![\p{L}\p{N}_]|-\p{L})"))
 
 
 def with_mentions(docs: DataFrame, body: Column) -> DataFrame:
@@ -230,8 +254,11 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     found = table(found.select("th", "x.kind", "x.norm").filter(~F.col("kind").isin("initial", "particle")).distinct(), "mentions")
     later = assigned(found.select("kind", "norm").distinct(), key).filter(F.col("attempt") > 0)
     entry = F.struct(F.concat_ws("\x1f", "kind", "norm").alias("key"), F.col("attempt").alias("value"))
-    tries = found.join(later, ["kind", "norm"]).groupBy("th").agg(F.map_from_entries(F.collect_set(entry)).alias("__tries"))
-    rows = with_mentions(docs.withColumn("__th", F.xxhash64(body)).join(tries, F.col("__th") == F.col("th"), "left"), body)
+    # A row for each distinct text with such entities. Copies of a text share one, so where there are few it goes to every task.
+    tries = table(found.join(later, ["kind", "norm"]).groupBy("th").agg(F.map_from_entries(F.collect_set(entry)).alias("__tries")), "tries")
+    size = tries.agg(F.sum(F.size("__tries"))).first()[0] or 0
+    joined = docs.withColumn("__th", F.xxhash64(body)).join(F.broadcast(tries) if size <= SMALL else tries, F.col("__th") == F.col("th"), "left")
+    rows = with_mentions(joined, body)
 
     # One step at a time, so that no expression is evaluated twice.
     step = lambda column, name, of: F.transform(column, lambda e: e.withField(name, of(e)))
