@@ -60,13 +60,30 @@ _APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); <<a
     <<optional>>this file<<end>> <<optional>>this work<<end>> except in compliance with the License"""
 _GPL = """you can redistribute it and/or modify it under the terms of the GNU <<optional>>Lesser<<end>>
     <<optional>>Affero<<end>> General Public License as published by the Free Software Foundation"""
+
+
+def _gnu(kind: str) -> str:
+    """The notice of a GNU license, whose name stands in it three times."""
+    return f"""you can redistribute it and/or modify it under the terms of the GNU {kind} General Public License as published by the
+        Free Software Foundation; <<optional>>either<<end>> version <<any 1 2>> of the License <<optional>>, or (at your option)
+        any later version<<end>>. <<any 1 6>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without
+        even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} General Public
+        License for more details. You should have received a copy of the GNU {kind} General Public License along with
+        <<any 1 6>> if not <<any 1 24>>"""
+
+
+def _creative(terms: str) -> str:
+    """The notice of a Creative Commons license of some terms."""
+    return f"""licensed under a Creative Commons Attribution {terms} <<optional>>3.0<<end>> <<optional>>4.0<<end>>
+        <<optional>>International<<end>> <<optional>>Unported<<end>> License"""
+
+
 _MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, <<optional>>v. 2.0<<end>>"
 
 # Public wording of well-known licenses, or of the notice a long license gives for use in its place, with the parts that
-# may vary marked. All are whole but mit and gpl, which end early; mit-whole and gpl-whole have the full wording of those.
+# may vary marked.
 TEMPLATES = {
-    "mit": _MIT,
-    "mit-whole": f"{_MIT}{_MIT_RIGHTS} {_MIT_DISCLAIMER}",
+    "mit": f"{_MIT}{_MIT_RIGHTS} {_MIT_DISCLAIMER}",
     "json": f"{_MIT}{_MIT_RIGHTS} The Software shall be used for Good, not Evil. {_MIT_DISCLAIMER}",
     "isc": f"""{_ISC}, provided that the above copyright notice and this permission notice appear in all copies.
         {_ISC_DISCLAIMER}""",
@@ -78,21 +95,16 @@ TEMPLATES = {
         in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
         CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions
         and limitations under the License""",
-    "gpl": f"{_GPL}<<optional>>; either version <<any 1 2>> of the License<<end>>",
-    "gpl-whole": f"""{_GPL}; <<optional>>either<<end>> version <<any 1 2>> of the License <<optional>>, or (at your option) any
-        later version<<end>>. <<any 1 6>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without
-        even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
-        <<optional>>Lesser<<end>> <<optional>>Affero<<end>> General Public License for more details. You should have received
-        a copy of the GNU <<optional>>Lesser<<end>> <<optional>>Affero<<end>> General Public License along with <<any 1 6>>
-        if not <<any 1 24>>""",
+    "gpl": _gnu(""), "lgpl": _gnu("Lesser"), "agpl": _gnu("Affero"),
     "mpl-2": f"""{_MPL}. If a copy of the MPL was not distributed with this file, You can obtain one at
         <<optional>>http<<end>> <<optional>>https<<end>> mozilla.org/MPL/2.0""",
-    "cc-by": """licensed under a Creative Commons Attribution <<any 0 3>> International License""",
+    "cc-by": _creative(""), "cc-by-sa": _creative("ShareAlike"), "cc-by-nc": _creative("NonCommercial"), "cc-by-nd": _creative("NoDerivatives"),
+    "cc-by-nc-sa": _creative("NonCommercial-ShareAlike"), "cc-by-nc-nd": _creative("NonCommercial-NoDerivatives"),
     "cc0": """<<optional>>to the extent possible under law<<end>> <<any 0 6>> has waived all copyright and related or
         neighboring rights <<optional>>to this work<<end>>""",
 }
 # How licenses open; these tell nothing about the conditions that follow and do not count for the score.
-EXCERPTS = {"isc": _ISC, "bsd": _BSD, "apache-2": _APACHE, "mpl-2": _MPL}
+EXCERPTS = {"mit": _MIT, "gnu": _GPL, "isc": _ISC, "bsd": _BSD, "apache-2": _APACHE, "mpl-2": _MPL}
 
 SPAN = StructType([StructField("label", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])
 FOUND = [StructField("n_words", LongType()), StructField("phrases", ArrayType(SPAN)), StructField("templates", ArrayType(SPAN)),

@@ -99,10 +99,11 @@ def test_licenses(spark):
     data = [*edge.ROWS, *[(100 + i, t, "x") for i, t in enumerate(texts)]]
     out = {r["doc_id"]: r for r in licenses.scan_licenses(edge.rows(spark, data)).collect()}
     assert [tuple(x) for x in out[100]["phrases"]] == [("mit", 1, 5)] and out[100]["score"] == 0.5
-    assert [x["label"] for x in out[101]["templates"]] == ["mit"] and out[101]["score"] == 1.0
+    # An opening alone tells nothing of the conditions.
+    assert not out[101]["templates"] and [x["label"] for x in out[101]["excerpts"]] == ["mit"] and out[101]["score"] == 0.0
     assert not out[102]["templates"] and out[102]["score"] == 0.0
     assert [x["label"] for x in out[103]["phrases"]] == ["cc-by-nc", "cc-by-nc", "apache-2"]
-    assert [x["label"] for x in out[104]["templates"]] == ["gpl"]
+    assert not out[104]["templates"] and [x["label"] for x in out[104]["excerpts"]] == ["gnu"]
     assert out[2]["n_words"] == 0 and out[5]["score"] == 0.0
     assert licenses.scan_licenses(edge.empty(spark)).count() == 0
     assert licenses.scan_licenses(edge.clashing(spark)).count() == len(edge.ROWS)

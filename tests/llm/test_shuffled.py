@@ -264,3 +264,26 @@ def test_tool_links(spark):
     messages = spark.createDataFrame([(1, 0, "user", None), (1, 1, "assistant", ""), (1, 2, "assistant", "plain"), (None, None, None, '{"tool_call_id":"a"}')], "conv_id long, turn long, role string, text string")
     made, answers = chat.parse_messages(messages)
     assert made.count() == 0 and answers.count() == 1
+
+
+def test_hostile_arguments(spark):
+    schemas = {"f": {"type": "object", "properties": {"a": {"minimum": 3}, "b": {"type": ["string", "null"]}, "c": {"enum": [1, None]}}}}
+    texts = ['{"a":"\\ud800"}', "[" * 100_000, '{"a":NaN}', '{"a":"x"}', '{"a":2}', '{"b":null}', '{"b":1}', '{"c":true}', '{"\\udfff":1}', "1" * 5000, '{"a":' + "[" * 900 + "]" * 900 + "}", "null"]
+    calls = spark.createDataFrame([(1, str(i), i, "f", t, None) for i, t in enumerate(texts)], "conv_id long, call_id string, position long, name string, arguments string, after array<string>")
+    none = spark.createDataFrame([], "conv_id long, call_id string, position long, content string")
+    out = {int(r["call_id"]): r for r in chat.link_tool_calls(calls.withColumn("problem", calls.name), none, schemas).collect()}
+    assert [out[i]["problem"] for i in range(10)] == [None, "not JSON", "not JSON", None, "arguments.a is too small", None, "arguments.b is no string or null",
+                                                      "arguments.c is not allowed", None, "not JSON"]
+    assert '"arguments":{"a":"\\ud800"}' in out[0]["canonical"] and "\\udfff" in out[8]["canonical"] and '"arguments":"{\\"a\\":NaN}"' in out[2]["canonical"]
+    assert out[11]["problem"] == "arguments is no object"
+
+
+def test_levels_of_long_chains_and_cycles(spark):
+    """One task a conversation, and rounds for conversations above the limit, give the same."""
+    chain = [("a", f"c{i}", [f"c{i - 1}", f"c{i // 2}"] if i else []) for i in range(2000)]
+    short = [("b", f"c{i}", [f"c{i - 1}"] if i else ["gone"]) for i in range(6)] + [("b", "x", ["y"]), ("b", "y", ["x"]), ("b", "z", ["x", "c1"]), ("b", "w", ["c5", "c1", None]), ("b", "s", ["s"])]
+    frame = lambda rows: spark.createDataFrame(rows, "conv_id string, call_id string, after array<string>")
+    got = {(r["conv_id"], r["call_id"]): r["level"] for r in chat.levels(frame(chain + short)).collect()}
+    want = {("b", f"c{i}"): i for i in range(6)} | {("b", "w"): 6}
+    assert got == {("a", f"c{i}"): i for i in range(2000)} | want
+    assert {(r["conv_id"], r["call_id"]): r["level"] for r in chat.levels(frame(short), together=3).collect()} == want

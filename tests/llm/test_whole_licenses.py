@@ -59,3 +59,36 @@ def test_openings_agree_with_regular_expressions():
         found = licenses.Automata([("x", markup)]).matches([w.encode() for w in words])
         assert bool(found) == bool(re.search(licenses.pattern(markup), " " + " ".join(words))), (markup, words)
         assert all(re.fullmatch(licenses.pattern(markup), "".join(" " + w for w in words[i:j])) for _, i, j in found)
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or
+sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright
+notice and this permission notice shall be included in all copies or substantial portions of the Software. """
+MIT_END = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+GNU = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free
+Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}General Public License for
+more details. You should have received a copy of the GNU {0}General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+
+
+def test_mit_and_what_is_made_of_it():
+    assert labels(MIT + MIT_END) == ["mit"] and labels(MIT + "The Software shall be used for Good, not Evil. " + MIT_END) == ["json"]
+    assert labels((MIT + MIT_END).replace("without restriction,", "without restriction, except for commercial use,")) == []
+    assert labels(MIT) == [] and labels(MIT, licenses.EXCERPTS) == ["mit"]
+
+
+def test_gnu_licenses_are_told_apart():
+    assert [labels(GNU.format(k, k)) for k in ("", "Lesser ", "Affero ")] == [["gpl"], ["lgpl"], ["agpl"]]
+    assert labels(GNU.format("Lesser ", "")) == [] and labels(GNU.format("", ""), licenses.EXCERPTS) == ["gnu"]
+
+
+def test_creative_commons_terms_are_told_apart():
+    say = "This work is licensed under a Creative Commons Attribution{} International License."
+    terms = {"": "cc-by", "-ShareAlike": "cc-by-sa", "-NonCommercial": "cc-by-nc", "-NoDerivatives": "cc-by-nd", "-NonCommercial-ShareAlike": "cc-by-nc-sa",
+             "-NonCommercial-NoDerivatives": "cc-by-nc-nd"}
+    for term, label in terms.items():
+        assert labels(say.format(term + " 4.0")) == labels(say.format(term)) == [label]
+    assert labels(say.format("-Sampling 4.0")) == labels("licensed under a Creative Commons International License") == []
