@@ -216,17 +216,55 @@ def filings_of_stock(filings: DataFrame) -> DataFrame:
                     C.filing_basis("published_at").alias("published_basis"), F.row_number().over(order).alias("position")))
 
 
-def find_stocks(stocks: DataFrame, holdings: DataFrame, text: str, month: str | None = None, limit: int = 12) -> DataFrame:
-    """Securities whose name contains the text or whose ISIN starts with it, best match first."""
+GRAMS = (2, 3)      # lengths of the pieces names and ISINs are looked up by
+
+
+def name_postings(stocks: DataFrame) -> DataFrame:
+    """(gram, field, isin): the pieces of two and three characters of every security's lower-cased name and ISIN.
+
+    Stored in order of the piece, so that a search reads only the files and row groups of its own pieces.
+    """
+    def pieces(of: Column, n: int) -> Column:
+        starts = F.when(F.length(of) >= n, F.sequence(F.lit(1), F.length(of) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(of, i, F.lit(n)))
+    rows = stocks.select("isin", F.explode(F.array(F.struct(F.lit("name").alias("field"), F.lower("name").alias("text")), F.struct(F.lit("isin").alias("field"), F.lower("isin").alias("text")))).alias("f"))
+    grams = rows.filter(F.col("f.text").isNotNull()).select(
+        F.explode(F.concat(*[pieces(F.col("f.text"), n) for n in GRAMS])).alias("gram"), "f.field", "isin").distinct()
+    return grams.repartitionByRange("gram").sortWithinPartitions("gram")
+
+
+def holder_counts(holdings: DataFrame) -> DataFrame:
+    """(report_month, isin, n): schemes holding each security in each month, and in any month where the month is NULL."""
+    rows = holdings.select("report_month", "isin", "scheme_id").distinct()
+    ever = rows.select("isin", "scheme_id").distinct().groupBy("isin").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("report_month", "isin").agg(F.count(F.lit(1)).alias("n")).unionByName(ever.withColumn("report_month", F.lit(None).cast("string")))
+
+
+def name_candidates(postings: DataFrame, text: str) -> DataFrame:
+    """(isin): securities whose name or ISIN has every piece of the text; few, and a superset of those that match."""
+    lowered = text.lower()
+    size = min(len(lowered), GRAMS[-1])
+    grams = sorted({lowered[i:i + size] for i in range(len(lowered) - size + 1)})
+    found = postings.filter(F.col("gram").isin(*grams)).groupBy("field", "isin").agg(F.count(F.lit(1)).alias("n"))
+    return found.filter(F.col("n") == len(grams)).select("isin").distinct()
+
+
+def find_stocks(stocks: DataFrame, postings: DataFrame, counts: DataFrame, text: str, month: str | None = None, limit: int = 12) -> DataFrame:
+    """Securities whose name contains the text or whose ISIN starts with it, best match first.
+
+    ``postings`` and ``counts`` are the stored ``name_postings`` and ``holder_counts``: a request looks its pieces up,
+    verifies the candidates and reads their counts.
+    """
     wanted = text.strip().replace("%", "").replace("_", "")
     label = K.stock_label("name")
     pattern = wanted.replace("\\", "\\\\")
-    matches = stocks.filter(F.lit(len(wanted) >= MIN_SEARCH_CHARS)
-                            & (F.col("name").ilike(f"%{pattern}%") | F.col("isin").ilike(f"{pattern}%")))
-    held = holdings if month is None else holdings.filter(F.col("report_month") == month)
-    counts = (held.select("isin", "scheme_id").join(matches.select("isin"), "isin", "left_semi").distinct()
-              .groupBy("isin").agg(F.count(F.lit(1)).alias("_n")))
-    return (matches.join(counts, "isin", "left")
+    if len(wanted) < MIN_SEARCH_CHARS:
+        matches = stocks.limit(0)
+    else:
+        matches = stocks.join(name_candidates(postings, wanted), "isin", "left_semi").filter(
+            F.col("name").ilike(f"%{pattern}%") | F.col("isin").ilike(f"{pattern}%"))
+    held = counts.filter(F.col("report_month").isNull() if month is None else F.col("report_month") == month).select("isin", F.col("n").alias("_n"))
+    return (matches.join(held, "isin", "left")
             .select("isin", label.alias("name"), "industry", F.coalesce("_n", F.lit(0).cast("bigint")).alias("schemes_holding"),
                     label.ilike(f"{pattern}%").alias("_starts"), (F.col("instrument_type") == "equity").alias("_eq"), F.col("name").alias("_raw"))
             .orderBy(F.desc("_starts"), F.desc("_eq"), F.desc("schemes_holding"), F.asc("_raw"), F.asc("isin")).limit(limit)

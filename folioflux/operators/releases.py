@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Supported calculation rules.
@@ -12,25 +15,86 @@ LEGACY_RULES_VERSION = "legacy"
 SUPPORTED_RULES = (RULES_VERSION, LEGACY_RULES_VERSION)
 
 
-def table_fingerprint(df: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
-    """One row: row count and the sum of per-row digests, independent of row order and partitioning."""
+# The column that names a row's month, in the order looked for; a table without one is a single leaf.
+MONTH_COLUMNS = ("report_month", "effective_month", "quarter_end")
+
+
+def month_of_row(columns: list[str]) -> Column:
+    found = next((c for c in MONTH_COLUMNS if c in columns), None)
+    return F.coalesce(F.substring(F.col(found).cast("string"), 1, 7), F.lit("")) if found else F.lit("")
+
+
+def month_digests(df: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
+    """(table_name, month, n_rows, digest): the leaves of a table's tree, one for each month.
+
+    A leaf is the SHA-256 of its row count and of four sums over the rows' own SHA-256, cut into four numbers of 60 bits:
+    independent of row order and partitioning, and a row more or less or another one changes it.
+    """
     columns = sorted(columns or df.columns)
     # Each cell leads with its length, so no two rows share a text and a missing cell is no text at all.
     cell = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
-    text = F.concat_ws("|", *[cell(F.col(c).cast("string")) for c in columns])
-    digest = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(digest).cast("string").alias("digest")).select(
-        F.lit(name).alias("table_name"), "n_rows", F.coalesce("digest", F.lit("0")).alias("digest"))
+    rows = df.select(month_of_row(df.columns).alias("month"), F.sha2(F.concat_ws("|", *[cell(F.col(c).cast("string")) for c in columns]), 256).alias("h"))
+    parts = [F.sum(F.conv(F.substring("h", 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
+    sums = rows.groupBy("month").agg(F.count(F.lit(1)).alias("n_rows"), *[p.alias(f"s{i}") for i, p in enumerate(parts)])
+    return sums.select(F.lit(name).alias("table_name"), "month", "n_rows", F.sha2(F.concat_ws(":", F.col("n_rows").cast("string"), *[f"s{i}" for i in range(4)]), 256).alias("digest"))
+
+
+def table_digest(leaves: DataFrame, name: str) -> DataFrame:
+    """(table_name, n_rows, digest) of a table from its leaves: the SHA-256 of its months with their digests, in order."""
+    lines = F.sort_array(F.collect_list(F.concat_ws(":", "month", "digest")))     # a line a month
+    return leaves.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).cast("bigint").alias("n_rows"), F.sha2(F.concat_ws("\n", lines), 256).alias("digest")) \
+        .select(F.lit(name).alias("table_name"), "n_rows", "digest")
 
 
 def content_fingerprint(tables: dict[str, DataFrame], columns: dict[str, list[str]] | None = None) -> DataFrame:
     out = None
     for name in sorted(tables):
-        part = table_fingerprint(tables[name], name, (columns or {}).get(name))
+        part = table_digest(month_digests(tables[name], name, (columns or {}).get(name)), name)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def folder_months(spark: SparkSession, path: str, column: str = "report_month") -> dict[str, str]:
+    """The state of each month of a table stored by month: a digest of its files' names, lengths and times."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = {}
+    for folder in system.listStatus(root):
+        key, _, month = folder.getPath().getName().partition("=")
+        if key == column:
+            files = sorted(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}" for f in system.listStatus(folder.getPath()))
+            out[month] = hashlib.sha256("\n".join(files).encode()).hexdigest()
+    return out
+
+
+def stored_leaves(spark: SparkSession, path: str, name: str, known: DataFrame | None = None, column: str = "report_month") -> DataFrame:
+    """(table_name, month, n_rows, digest, state, read_now) of a table stored by month.
+
+    Months whose files are those of the ``known`` leaves keep their digest and are not read again; the scan is pruned to
+    the others. Months that are gone have no leaf.
+    """
+    states = spark.createDataFrame(sorted(folder_months(spark, path, column).items()) or [], "month string, state string")
+    if known is None:
+        same = states.limit(0).select("month", "state").withColumns({"n_rows": F.lit(0).cast("bigint"), "digest": F.lit("")})
+    else:
+        same = states.join(known.select("month", "state", "n_rows", "digest"), ["month", "state"])
+    fresh = states.join(same.select("month"), "month", "left_anti")
+    months = [r.month for r in fresh.collect()]           # months of the calendar
+    rows = spark.read.parquet(path).withColumn(column, F.col(column).cast("string")).filter(F.col(column).isin(*months))
+    read = month_digests(rows, name).join(fresh, "month")
+    fields = ["table_name", "month", "n_rows", "digest", "state", "read_now"]
+    return read.withColumn("read_now", F.lit(True)).select(*fields).unionByName(
+        same.withColumn("table_name", F.lit(name)).withColumn("read_now", F.lit(False)).select(*fields))
+
+
+def changed_months(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(table_name, month, change): months added, removed or changed between two sets of leaves."""
+    keys = ["table_name", "month"]
+    both = before.select(*keys, F.col("digest").alias("b")).join(after.select(*keys, F.col("digest").alias("a")), keys, "full")
+    change = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(F.col("a") != F.col("b"), "changed")
+    return both.select(*keys, change.alias("change")).filter(F.col("change").isNotNull())
+
+
 def release_id(fingerprint: DataFrame, rules_version: str = RULES_VERSION) -> str:
     """SHA-256 over the rules version and the per-table fingerprints (one row per table)."""
     if rules_version not in SUPPORTED_RULES:
@@ -53,6 +117,8 @@ def write_release(spark: SparkSession, root: str, tables: dict[str, DataFrame],
         pass  # no manifest: whatever an earlier attempt has left is written anew
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{base}/{name}")
+    leaves = [month_digests(df, name) for name, df in sorted(tables.items())]
+    reduce(DataFrame.unionByName, leaves).coalesce(1).write.mode("overwrite").parquet(f"{base}/manifest_months")
     manifest = (fingerprint.withColumn("release_id", F.lit(rid)).withColumn("rules_version", F.lit(rules_version))
                 .withColumn("parent", F.lit(parent).cast("string")))
     # The manifest is written last: a release without one is incomplete and is never read.
@@ -60,6 +126,11 @@ def write_release(spark: SparkSession, root: str, tables: dict[str, DataFrame],
     return rid
 
 
+def release_leaves(spark: SparkSession, root: str, rid: str) -> DataFrame:
+    """The month digests kept in a release's manifest; two releases are compared without reading their tables."""
+    return spark.read.parquet(f"{root.rstrip('/')}/release={rid}/manifest_months")
+
+
 def read_release(spark: SparkSession, root: str, rid: str) -> dict[str, DataFrame]:
     """Tables of a release, after recomputing and checking its fingerprint."""
     base = f"{root.rstrip('/')}/release={rid}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflux.functions import classify as K
@@ -62,20 +63,17 @@ def summary_facts(deltas: DataFrame, stocks: DataFrame, instrument: str | None =
     listed = stocks if instrument is None else stocks.filter(F.col("instrument_type") == instrument)
     rows = deltas.join(listed.select("isin", K.stock_label("name").alias("stock_name")), "isin")
     gone = F.col("action") == "exited"
-    any_flow = F.max(F.when(gone, F.col("flow_lakhs").isNotNull()))
-    exits = F.collect_list(F.when(gone, F.struct("flow_lakhs", "value_change_lakhs", "isin", "stock_name")))
     stats = rows.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("n_rows"), *_leader("new", True), *_leader("added", True), *_leader("trimmed", False),
-        any_flow.alias("_flow"), exits.alias("_exits"))
-
-    def entry(x: Column) -> Column:
-        amount = F.when(F.col("_flow"), x["flow_lakhs"]).otherwise(x["value_change_lakhs"])
-        return F.struct(amount.isNull().alias("u"), amount.alias("a"), x["isin"].alias("i"), x["stock_name"].alias("s"))
-    ordered = F.array_sort(F.transform("_exits", entry))
-    return (stats.withColumn("_o", ordered).withColumn("n_exited", F.size("_o").cast("bigint"))
-            .withColumn("exit_names", F.transform(F.slice("_o", 1, NAMES_SHOWN), lambda x: x["s"]))
-            .withColumn("exits_more", F.greatest(F.lit(0), F.size("_o") - NAMES_SHOWN).cast("bigint"))
-            .drop("_o", "_exits", "_flow"))
+        F.count_if(gone).alias("n_exited"), F.max(F.when(gone, F.col("flow_lakhs").isNotNull())).alias("_flow"))
+    # Flow orders the exits where any is known; all but the first names are left behind before anything is gathered.
+    exits = rows.filter(gone).join(stats.select(*KEYS, "_flow"), KEYS)
+    amount = F.when(F.col("_flow"), F.col("flow_lakhs")).otherwise(F.col("value_change_lakhs"))
+    order = W.partitionBy(*KEYS).orderBy(amount.isNull(), amount, "isin", "stock_name")
+    first = exits.withColumn("_p", F.row_number().over(order)).filter(F.col("_p") <= NAMES_SHOWN).groupBy(*KEYS).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("_p", "stock_name"))), lambda x: x["stock_name"]).alias("exit_names"))
+    return (stats.drop("_flow").join(first, KEYS, "left").withColumn("exit_names", F.coalesce("exit_names", F.array().cast("array<string>")))
+            .withColumn("exits_more", F.greatest(F.lit(0), F.col("n_exited") - NAMES_SHOWN).cast("bigint")))
 
 
 def _detail(top: str, with_price: bool) -> Column:

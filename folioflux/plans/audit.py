@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflux.functions import columns as C
@@ -13,7 +17,8 @@ from folioflux.operators import releases as R
 from folioflux.plans.base import cte, query, r, strict
 from folioflux.plans.comparison import bad_of, comparison_of, eligible_of
 from folioflux.plans.signals import activity_of
-from folioflux.sources.staging import required_folder
+from folioflux.sources.staging import cut, required_folder
+from folioflux.sources.tables import write_months
 
 HISTORY = ("1998-01", "1998-06")
 
@@ -297,14 +302,31 @@ LEFT JOIN (SELECT isin, count(DISTINCT scheme_id) AS n FROM v_holdings {month} G
 ORDER BY trim(regexp_replace(name, '^EQ *- *', '')) ILIKE '{text}%' DESC, instrument_type = 'equity' DESC, schemes_holding DESC, v_stock.name, isin LIMIT 12"""
 
 
+def search_of(d):
+    return d.derived("name_postings", lambda: P.name_postings(d.stocks)), d.derived("holder_counts", lambda: P.holder_counts(d.holdings))
+
+
 @query("find_stocks_by_name", _find_sql("brand#1"))
 def _(d):
-    return P.find_stocks(d.stocks, d.holdings, "brand#1")
+    return P.find_stocks(d.stocks, *search_of(d), "brand#1")
 
 
 @query("find_stocks_by_isin", _find_sql("ine01", "WHERE report_month = '1998-06'"))
 def _(d):
-    return P.find_stocks(d.stocks, d.holdings, "ine01", "1998-06")
+    return P.find_stocks(d.stocks, *search_of(d), "ine01", "1998-06")
+
+
+@query("name_postings", """
+SELECT DISTINCT substr(t, i, n) AS gram, field, isin FROM (SELECT *, unnest(range(1, length(t) - n + 2)) AS i FROM (SELECT *, unnest([2, 3]) AS n FROM (
+  SELECT isin, 'name' AS field, lower(name) AS t FROM v_stock UNION ALL SELECT isin, 'isin', lower(isin) FROM v_stock)))""")
+def _(d):
+    return search_of(d)[0]
+
+
+@query("holder_counts", """
+SELECT report_month, isin, count(DISTINCT scheme_id) AS n FROM v_holdings GROUP BY 1, 2 UNION ALL SELECT NULL, isin, count(DISTINCT scheme_id) FROM v_holdings GROUP BY isin""")
+def _(d):
+    return search_of(d)[1]
 
 
 @query("scheme_catalog", """
@@ -372,10 +394,17 @@ def _digest(table):
     source, texts, numbers = CONTENT[table]
     cells = {c: f"{c}::VARCHAR" for c in texts.split()} | {c: f"floor({c} * 1e{places} + 0.3217)::BIGINT::VARCHAR" for c, places in numbers.items()}
     text = " || '|' || ".join(f"coalesce(length({x}) || ':' || {x}, '-')" for _, x in sorted(cells.items()))
-    return f"SELECT '{table}' AS table_name, count(*) AS n_rows, coalesce(sum(('0x' || substr(md5({text}), 1, 15))::BIGINT), 0)::VARCHAR AS digest FROM {source}"
+    columns = [*texts.split(), *numbers]
+    month = next((f"coalesce(substr({c}::VARCHAR, 1, 7), '')" for c in R.MONTH_COLUMNS if c in columns), "''")
+    sums = " || ':' || ".join(f"sum(('0x' || substr(h, {15 * i + 1}, 15))::BIGINT)::VARCHAR" for i in range(4))
+    return f"SELECT '{table}' AS table_name, month, count(*) AS n_rows, sha256(count(*)::VARCHAR || ':' || {sums}) AS digest FROM (SELECT {month} AS month, sha256({text}) AS h FROM {source}) GROUP BY month"
 
 
-FINGERPRINT_SQL = " UNION ALL ".join(_digest(t) for t in CONTENT)
+def _table_digest(table):
+    return f"SELECT '{table}' AS table_name, coalesce(sum(n_rows), 0)::BIGINT AS n_rows, sha256(coalesce(string_agg(month || ':' || digest, chr(10) ORDER BY month || ':' || digest), '')) AS digest FROM ({_digest(table)})"
+
+
+FINGERPRINT_SQL = " UNION ALL ".join(map(_table_digest, CONTENT))
 
 
 def tables_of(d):
@@ -397,6 +426,25 @@ def _(d):
     return R.content_fingerprint(comparable(tables_of(d)))
 
 
+@query("month_digests", " UNION ALL ".join(map(_digest, CONTENT)))
+def _(d):
+    return reduce(DataFrame.unionByName, [R.month_digests(df, name) for name, df in sorted(comparable(tables_of(d)).items())])
+
+
+@query("changed_months", """
+SELECT report_month AS month, CASE WHEN report_month = '1996-03' THEN 'changed' WHEN report_month = '1997-05' THEN 'removed' END AS change, report_month = '1996-03' AS read_now FROM (SELECT DISTINCT report_month FROM v_holdings)""")
+def _(d):
+    """A stored table by month, of which one month is corrected and one emptied: only the corrected one is read again."""
+    path = f"{required_folder(d.spark)}/by_month/{uuid.uuid4().hex}"
+    write_months(d.spark, path, d.holdings)
+    before = cut(R.stored_leaves(d.spark, path, "holdings"))
+    corrected = d.holdings.filter("report_month = '1996-03'").withColumn("quantity", F.coalesce("quantity", F.lit(0.0)) + 1)
+    write_months(d.spark, path, corrected, ["1997-05"])
+    after = cut(R.stored_leaves(d.spark, path, "holdings", before))
+    months = before.select("month").join(R.changed_months(before, after).select("month", "change"), "month", "left")
+    return months.join(after.select("month", "read_now"), "month", "left").withColumn("read_now", F.coalesce("read_now", F.lit(False)))
+
+
 @query("release_roundtrip", FINGERPRINT_SQL)
 def _(d):
     """Write a release of the stored tables, read it back by id and fingerprint what was read."""
