@@ -28,6 +28,7 @@ END = 2                 # id put after each document
 NEARLY_FULL = 0.99      # filled share from which a bin is final
 BLOCK_ITEMS = 50_000    # items packed together
 KNOWN_PARTS = 250_000   # encoded parts a worker remembers, and as many older ones
+KNOWN_CHARS = 40        # characters of the longest part it remembers
 # Fixed value: the pattern by which this byte-level vocabulary cuts texts into words.
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -77,7 +78,10 @@ class Encoder(dict):
         if len(self) >= KNOWN_PARTS:
             self.old = dict(self)
             self.clear()
-        ids = self[part] = self.old.get(part) or array("I", self.part(" " + part)).tobytes()
+        ids = self.old.get(part) or array("I", self.part(" " + part)).tobytes()
+        # Only short parts: in scripts without spaces a part is a whole paragraph.
+        if len(part) <= KNOWN_CHARS:
+            self[part] = ids
         return ids
 
     def encode(self, text: str) -> bytes:

@@ -14,6 +14,8 @@ near copies leaves as many rows as it has members.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -191,6 +193,22 @@ def star_edges(nodes: DataFrame, bits: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _prints(docs: DataFrame, text: str, shingle: int, keep: list[str]) -> DataFrame:
+    return attach(docs, text, [StructField("fp", LongType())], lambda: lambda texts: [[fingerprint(t, shingle) for t in texts]], keep=keep)
+
+
+def _components(docs: DataFrame, id_column: str, text: str, shingle: int, bits: int, node: int) -> DataFrame:
+    """(id, fp, root, component_id): each row's fingerprint, the fingerprint that stands for its component, and its least id."""
+    source = docs.select(quoted(id_column).alias("id"), quoted(text).alias("text"))
+    prints = table(_prints(source, "text", shingle, ["id"]), "fingerprints")
+    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    edges = star_edges(upper_nodes(distinct.select("fp"), bits, node), bits)
+    roots = connected_components(edges)
+    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(named.join(least, "root").select("fp", "root", "component_id"), "fp").select("id", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                     bits: int = BITS, node: int = NODE) -> DataFrame:
     """(id, fp, component_id) for every row: fp the signed fingerprint, component_id the smallest id reachable.
@@ -200,26 +218,37 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     one; where no row of a component has an id, component_id is null. An empty table gives an empty result.
     Columns other than the two named are not read.
     """
-    source = docs.select(quoted(id_column).alias("id"), quoted(text).alias("text"))
-    prints = table(attach(source, "text", [StructField("fp", LongType())],
-                          lambda: lambda texts: [[fingerprint(t, shingle) for t in texts]], keep=["id"]), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    edges = star_edges(upper_nodes(distinct.select("fp"), bits, node), bits)
-    roots = connected_components(edges)
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(named.join(least, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    return _components(docs, id_column, text, shingle, bits, node).drop("root")
 
 
-def one_per_group(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows that stand for their component: the one with its smallest id. Rows without id stay, as nothing can name them.
+def one_per_group(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS,
+                  node: int = NODE) -> DataFrame:
+    """One row of each component: one with its smallest id, or one without id where no row of it has any.
 
-    An id is taken to name one text: repeated rows of an id count once.
+    Where rows of one id have several texts, each component that the id names keeps one of its own rows, so no text is
+    lost to another text's id; which of equal ids in a component stays is the least text.
     """
-    found = near_duplicates(docs, id_column, text, **options)
-    stay = found.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("__stay")).distinct()
-    kept = docs.join(stay, quoted(id_column) == F.col("__stay"), "left_semi")
-    if not kept.groupBy(quoted(id_column)).count().filter(F.col("count") > 1).isEmpty():
-        kept = kept.dropDuplicates([id_column])
-    return kept.unionByName(docs.filter(quoted(id_column).isNull()))
-
+    found = table(_components(docs, id_column, text, shingle, bits, node), "components")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    ident, body = (names[docs.columns.index(c)] for c in (id_column, text))
+    rows = docs.toDF(*names)
+    stay = found.filter(F.col("id") == F.col("component_id")).groupBy("id").agg(F.count("*").alias("n"))
+    kept = rows.join(stay, F.col(ident) == F.col("id"))
+    # An id that one row has names its component by that row.
+    held = table(found.filter("id is not null").groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select("id"), "repeated")
+    none = rows.filter(F.col(ident).isNull())
+    first = kept.join(held, "id", "left_anti").select(*names) if not held.isEmpty() else kept.select(*names)
+    parts = [first]
+    if not held.isEmpty():
+        parts.append(_first_of(rows.join(held, F.col(ident) == F.col("id"), "left_semi"), found.filter(F.col("id") == F.col("component_id")), ident, body, shingle, names))
+    if not none.isEmpty():
+        parts.append(_first_of(none, found.filter(F.col("component_id").isNull()), ident, body, shingle, names))
+    return reduce(DataFrame.unionByName, parts).toDF(*docs.columns)
+
+
+def _first_of(rows: DataFrame, found: DataFrame, ident: str, body: str, shingle: int, names: list[str]) -> DataFrame:
+    """Of the rows whose id and own fingerprint are among the ``found``, the one with the least text of each id and component."""
+    mine = found.select(F.col("id").alias("__id"), F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
+    same = F.col(ident).eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__fp"))
+    best = F.min_by(F.struct(*names), F.struct(F.coalesce(F.col(body), F.lit("")), *names))
+    return _prints(rows, body, shingle, names).join(mine, same).groupBy("__id", "__root").agg(best.alias("r")).select("r.*")

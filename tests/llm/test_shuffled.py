@@ -87,7 +87,18 @@ def test_near_duplicates_on_edge_rows(spark):
     assert Counter((r["id"], f"{r['fp'] % (1 << 64):016x}", r["component_id"]) for r in got) == want
     assert simhash.near_duplicates(edge.empty(spark)).count() == 0
     kept = simhash.one_per_group(edge.rows(spark)).collect()
-    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [0, 2, 5, 6] and sum(r["doc_id"] is None for r in kept) == 2
+    component = {i: c for i, _, c in want}
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [0, 2, 5, 6] and all(component[r["doc_id"]] == r["doc_id"] for r in kept if r["doc_id"] is not None)
+    # A row without id stays only where its component has no id.
+    assert sum(r["doc_id"] is None for r in kept) == sum(n for (i, _, c), n in want.items() if c is None) == 1
+
+
+def test_one_of_each_component_where_ids_repeat(spark):
+    far = [" ".join(f"{w}{i}{k}" for i in range(40)) for k, w in enumerate(("alpha", "beta", "gamma", "delta"))]
+    data = [(5, far[0], "a"), (5, far[1], "b"), (5, far[1], "b"), (3, far[1], "c"), (9, far[2], "d"), (None, far[3], "e"), (None, far[3], "f"), (None, far[0], "g"), (9, far[2], "h")]
+    got = [(r["doc_id"], r["text"]) for r in simhash.one_per_group(edge.rows(spark, data)).collect()]
+    assert Counter(got) == Counter([(5, far[0]), (3, far[1]), (9, far[2]), (None, far[3])])
+    assert simhash.one_per_group(edge.clashing(spark)).columns == edge.clashing(spark).columns
 
 
 def test_index_loses_no_link(spark):
