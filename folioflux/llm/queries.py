@@ -86,27 +86,36 @@ _NAMES = "|".join(_either(w) for w in ("password", "passwd", "secret", "token",
 _ASSIGN = rf"""({_NAMES})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 
 
-def _places(pattern: str, kind: int, keep: str) -> str:
+def _places(pattern: str, kind: int, keep: str, source: str = "docs") -> str:
     return f"""SELECT doc_id, {kind} AS kind, s AS start, s + length(hit) AS "end", hit FROM (
   SELECT doc_id, unnest(list_transform(range(1, len(hits) + 1), lambda i: struct_pack(hit := hits[i],
     s := (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0))::BIGINT)), recursive := true)
-  FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS hits, regexp_split_to_array(text, '{pattern}') AS gaps FROM docs)) WHERE {keep}"""
+  FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS hits, regexp_split_to_array(text, '{pattern}') AS gaps FROM {source})) WHERE {keep}"""
 
 
+_SINGLE = "regexp_full_match(hit, '[a-z0-9]+|[A-Z0-9]+')"
+# Blanked: each character of a base span or of a segment with a sample word is a space.
 OP2 = f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 base AS ({_places(_ASSIGN, 0, f"length(regexp_extract(hit, '{_ASSIGN}', 2)) >= 6")}
   UNION ALL {_places("AKIA[A-Z0-9]+", 1, "length(hit) >= 20")}
   UNION ALL {_places("[0-9a-f]{24,}", 2, "true")}),
-candidates AS (SELECT c.* FROM ({_places(secrets.CANDIDATE, 3, "true")}) c
-  WHERE regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND NOT regexp_full_match(hit, '[0-9A-Fa-f]{{8}}(-[0-9A-Fa-f]{{4}}){{3}}-[0-9A-Fa-f]{{12}}')
-    AND NOT regexp_matches(hit, '(?i)example|sample|placeholder|xxxx')
-    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.start < c."end" AND c.start < b."end")),
-windows AS (SELECT doc_id, start, hit, substr(hit, unnest(range(1, length(hit) - 18)), 20) AS w FROM candidates),
-bits AS (SELECT doc_id, start, {round(secrets.math.log2(20) * 1e6)} - min(list_sum(list_transform(list_distinct(string_split(w, '')),
+blank AS (SELECT DISTINCT doc_id, unnest(range(start, "end")) AS i FROM (SELECT * FROM base
+  UNION ALL {_places("[A-Za-z0-9+]*(?i:example|sample|placeholder|xxxx)[A-Za-z0-9+]*", 3, "true")})),
+chars AS (SELECT doc_id, unnest(c) AS c, unnest(range(len(c))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS c FROM docs WHERE doc_id IN (SELECT doc_id FROM blank))),
+rest AS (SELECT doc_id, text FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM blank)
+  UNION ALL SELECT doc_id, string_agg(CASE WHEN b.i IS NULL THEN c ELSE ' ' END, '' ORDER BY chars.i) FROM chars LEFT JOIN blank b USING (doc_id, i) GROUP BY doc_id),
+runs AS ({_places(secrets.CANDIDATE, 3, "true", "rest")}),
+parts AS (SELECT * FROM runs UNION ALL SELECT DISTINCT p.* FROM ({_places(secrets.SEGMENT, 4, _SINGLE, "rest")}) p JOIN runs r ON r.doc_id = p.doc_id AND r.start <= p.start AND p."end" <= r."end" AND p.hit <> r.hit),
+candidates AS (SELECT * FROM parts
+  WHERE regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND NOT regexp_full_match(hit, '[0-9A-Fa-f]{{8}}(-[0-9A-Fa-f]{{4}}){{3}}-[0-9A-Fa-f]{{12}}')),
+windows AS (SELECT doc_id, kind, start, hit, substr(hit, unnest(range(1, length(hit) - 18)), 20) AS w FROM candidates),
+bits AS (SELECT doc_id, kind, start, {round(secrets.math.log2(20) * 1e6)} - min(list_sum(list_transform(list_distinct(string_split(w, '')),
     lambda c: {secrets.N_LOG_N}[20 - length(replace(w, c, '')) + 1]))) // 20 AS bits FROM windows GROUP BY ALL),
-entropy AS (SELECT c.* FROM candidates c JOIN bits USING (doc_id, start)
-  WHERE bits >= CASE WHEN regexp_full_match(hit, '[0-9a-fA-F]+') THEN {round(secrets.HEX_BITS * 1e6)} ELSE {round(secrets.MIXED_BITS * 1e6)} END),
+reached AS (SELECT c.* FROM candidates c JOIN bits USING (doc_id, kind, start)
+  WHERE bits >= CASE WHEN regexp_full_match(hit, '[0-9a-fA-F]+') THEN {round(secrets.HEX_BITS * 1e6)} WHEN {_SINGLE} THEN {round(secrets.SINGLE_BITS * 1e6)} ELSE {round(secrets.MIXED_BITS * 1e6)} END),
+entropy AS (SELECT doc_id, 3 AS kind, start, "end", hit FROM reached p WHERE kind = 3
+  OR NOT EXISTS (SELECT 1 FROM reached r WHERE r.kind = 3 AND r.doc_id = p.doc_id AND r.start <= p.start AND p."end" <= r."end")),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM entropy),
 named AS (SELECT *, {secrets.KINDS}[kind + 1] || ':' || start || ':' || "end" AS label FROM every),
 joined AS (SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS k, count(*) FILTER (kind = 2) AS h,

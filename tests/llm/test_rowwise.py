@@ -139,3 +139,37 @@ def test_secrets(spark):
     assert red[100] == 'é [SECRET]" [SECRET] AKIAQ' and red[101].startswith("see [SECRET] and 123e") and red[2] is None and red[0] == edge.PLAIN
     assert secrets.find_secrets(edge.empty(spark)).count() == 0
     assert secrets.find_secrets(edge.clashing(spark)).count() == len(edge.ROWS)
+
+
+def found_spans(spark, texts):
+    frame = edge.rows(spark, [(i, t, "x") for i, t in enumerate(texts)])
+    return {r["doc_id"]: r["l"] for r in secrets.find_secrets(frame).withColumn("l", secrets.labels(secrets.F.col("secrets"))).collect()}
+
+
+def test_random_keys_of_every_class_are_found(spark):
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    classes = {"base-36": letters + "0123456789", "base-32": letters.upper() + "234567", "base-62": letters + letters.upper() + "0123456789",
+               "base-64": letters + letters.upper() + "0123456789+/", "upper hex": "0123456789ABCDEF"}
+    for size in (24, 32, 40):
+        keys = [(name, "".join(rng.choice(alphabet) for _ in range(size))) for name, alphabet in classes.items() for _ in range(100)]
+        out = found_spans(spark, [f"key {k} end" for _, k in keys])
+        for name in classes:
+            hits = [bool(out[i]) for i, (n, _) in enumerate(keys) if n == name]
+            assert sum(hits) >= 0.9 * len(hits), (name, size, sum(hits))
+
+
+def test_parts_are_judged_not_runs(spark):
+    key = "Zk9q7TxLw2Bv8RnYc4HsJdQ5mPf3GaXe1UoWi6Kt"
+    low = "k3j9x7q2w8z4m1v6n5b0c7d3"
+    texts = [f"SAMPLE_DB_PASS={key}", f"AKIA{'Q7' * 10}/{key}", f"https://host/samples/{key}/x", f"the_example_{low}", f"my-first-blog-entry-of-2024-with-{low}", "zzzzzzzzzzzzzzzzzzzzzzzz1111", "EXAMPLEKEY1234567890abcd"]
+    out = found_spans(spark, texts)
+    assert out[0].endswith(f"entropy:6:{len(texts[0])}") and out[1] == f"access:0:24,entropy:24:{len(texts[1])}" and out[2].split(",")[-1].startswith("entropy:")
+    assert out[3] == f"entropy:11:{len(texts[3])}" or out[3] == f"entropy:12:{len(texts[3])}"
+    assert out[4] and out[5] == "" and out[6] == ""
+    assert all(key not in r["text"] and low not in r["text"] for r in secrets.redact(edge.rows(spark, [(i, t, "x") for i, t in enumerate(texts)])).collect())
+
+
+def test_long_runs_end(spark):
+    texts = ["Ab3" * 20_000, "example" * 10_000, "a" * 100_000, "a1_" * 20_000, "/" * 60_000]
+    assert len(found_spans(spark, texts)) == len(texts)
