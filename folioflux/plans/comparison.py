@@ -91,12 +91,20 @@ def _(d):
         C.decision_date(q).alias("decision_on"))
 
 
+# Watch requests, one for each scheme and month: its holdings in any case and spacing, some named twice; every seventh scheme names a
+# code that is none, every eleventh more codes than a request may hold.
+def requests_of(d):
+    many = F.transform(F.sequence(F.lit(1), F.lit(101)), lambda i: F.concat(F.lit("INE"), F.lpad(i.cast("string"), 3, "0"), F.lit("A01011")))
+    codes = F.array_sort(F.collect_set(F.concat(F.lit(" "), F.lower("isin"))))
+    asked = d.holdings.groupBy("scheme_id", "report_month").agg(codes.alias("c"))
+    text = F.concat_ws(" , ", "c", F.get("c", F.lit(0)), F.lit(""), F.when(F.col("scheme_id") % 7 == 3, F.lit("INE-1")))
+    return asked.select("scheme_id", "report_month", F.when(F.col("scheme_id") % 11 == 4, F.concat_ws(",", many)).otherwise(text).alias("stocks"))
+
+
 @query("parse_stocks", """
-SELECT scheme_id, isin FROM (SELECT DISTINCT scheme_id, isin FROM v_holdings)""")
+SELECT scheme_id, report_month, scheme_id % 7 <> 3 AND scheme_id % 11 <> 4 AS valid, CASE WHEN scheme_id % 7 <> 3 AND scheme_id % 11 <> 4 THEN isin END AS isin FROM v_holdings GROUP BY ALL""")
 def _(d):
-    asked = (d.holdings.groupBy("scheme_id")
-             .agg(F.concat_ws(" , ", F.collect_set(F.concat(F.lit(" "), F.lower("isin")))).alias("stocks")))
-    return K.parse_stocks(asked, key_cols=("scheme_id",)).select("scheme_id", "isin")
+    return K.parse_stocks(requests_of(d), key_cols=("scheme_id", "report_month"))
 
 
 def _compact(x):
