@@ -26,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id. Rows without id stay."""
+    """One row of each group: one with its smallest id, or one without id where no row of it has any."""
     return simhash.one_per_group(docs)
 
 
