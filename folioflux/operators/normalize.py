@@ -166,12 +166,17 @@ def sheet_totals(rows: DataFrame) -> DataFrame:
 
 def parsed_holdings(raw: DataFrame) -> DataFrame:
     """The whole normalisation: raw sheet rows to parsed holding lines on the percent scale."""
-    headers = find_header_row(raw)
+    # Headers are looked for in the few top rows of each sheet, which are read once.
+    top = cut(raw.filter(F.col("row_number") <= HEADER_ROWS))
+    headers = find_header_row(top)
     # Typed rows feed the boundary, the totals and the result: computed once.
-    typed = cut(typed_rows(canonical_rows(raw, headers, match_columns(raw, headers))))
-    rows = portfolio_rows(typed, portfolio_boundary(typed))
+    typed = cut(typed_rows(canonical_rows(raw, headers, match_columns(top, headers))))
+    boundary = cut(portfolio_boundary(typed))
+    # A row for each sheet, with all that its holdings need.
+    totals = sheet_totals(portfolio_rows(typed, boundary)).join(boundary.select(*SHEET, "end_row"), SHEET, "left")
     factor = F.when(F.col("pct_nav_scale") == "fraction", 100.0).otherwise(1.0)
-    return (rows.filter("valid").join(sheet_totals(rows), SHEET)
+    note = F.coalesce(F.col("row_number") > F.col("end_row"), F.lit(False))
+    return (typed.filter("valid").join(totals, SHEET).filter(~note)
             .select(*SHEET, "row_number", F.upper("isin").alias("isin"), "instrument_name", "industry", "quantity", "market_value_lakhs",
                     (F.col("pct_nav_raw") * factor).alias("pct_nav"), "pct_nav_raw", "pct_nav_scale", "dropped_non_isin_count",
                     "dropped_non_isin_pct_nav"))
