@@ -236,11 +236,67 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join(named(F.concat(base, more)), ",").alias("labels"), "score")
 
 
+def _some(least: int, most: int) -> str:
+    return f"(?: [^ ]+){{{least},{most}}}"
+
+
+# The wording of the licenses as the SQL looks for it, lower-cased words with a space before each.
+_MIT = (" permission is hereby granted free of charge to any person obtaining a copy of this software(?: and associated documentation files)?(?: the software)? to deal in the"
+        " software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to"
+        " permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice(?: including the next"
+        " paragraph)? shall be included in all copies or substantial portions of the software")
+_MIT_END = (" the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular"
+            f" purpose and noninfringement in no event shall{_some(1, 12)} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising"
+            " from out of or in connection with the software or the use or other dealings in the software")
+_FEE = " permission to use copy modify(?: and)?(?: or)? distribute this software for any purpose with or without fee is hereby granted"
+_FEE_END = (f" the software is provided as is and{_some(1, 12)}(?: disclaims)?(?: disclaim)? all warranties with regard to this software including all implied warranties of merchantability"
+            f" and fitness in no event shall{_some(1, 12)} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or"
+            " profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software")
+_BSD = (" redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met(?: 1)? redistributions of source code"
+        " must retain the above copyright notice this list of conditions and the following disclaimer(?: 2)? redistributions in binary form must reproduce the above copyright notice this"
+        " list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution")
+_BSD_NAMES = (f"(?: 3)?(?: 4)? neither the name of{_some(1, 12)} nor the names of(?: its)?(?: their)?(?: any)? contributors may be used to endorse or promote products derived from this software"
+              " without specific prior written permission")
+_BSD_ADS = ("(?: 3)? all advertising materials mentioning features or use of this software must display the following acknowledgement this product includes software developed"
+            f" by{_some(1, 16)}")
+_BSD_END = (f" this software is provided by{_some(1, 16)} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a"
+            f" particular purpose are disclaimed in no event shall{_some(1, 16)} be liable for any direct indirect incidental special exemplary or consequential damages including but not"
+            " limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract"
+            " strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage")
+
+
+def _gnu(kind: str) -> str:
+    return (f" you can redistribute it and or modify it under the terms of the gnu{kind} general public license as published by the free software foundation(?: either)? version{_some(1, 2)}"
+            f" of the license(?: or at your option any later version)?{_some(1, 6)} is distributed in the hope that it will be useful but without any warranty without even the implied"
+            f" warranty of merchantability or fitness for a particular purpose see the gnu{kind} general public license for more details you should have received a copy of the gnu{kind}"
+            f" general public license along with{_some(1, 6)} if not{_some(1, 24)}")
+
+
+def _attribution(terms: str) -> str:
+    return f" licensed under a creative commons attribution{terms}(?: 3 0)?(?: 4 0)?(?: international)?(?: unported)? license"
+
+
+WORDING = {
+    "mit": _MIT + _MIT_END, "json": _MIT + " the software shall be used for good not evil" + _MIT_END,
+    "isc": _FEE + " provided that the above copyright notice and this permission notice appear in all copies" + _FEE_END, "0bsd": _FEE + _FEE_END,
+    "bsd-2": _BSD + _BSD_END, "bsd-3": _BSD + _BSD_NAMES + _BSD_END, "bsd-4": _BSD + _BSD_ADS + _BSD_NAMES + _BSD_END,
+    "apache-2": (f" licensed under the apache license version 2 0 the license{_some(0, 1)} you may not use(?: this file)?(?: this work)? except in compliance with the license you may obtain"
+                 f" a copy of the license at{_some(1, 12)} unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"
+                 " without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    "gpl": _gnu(""), "lgpl": _gnu(" lesser"), "agpl": _gnu(" affero"),
+    "mpl-2": (" this source code form is subject to the terms of the mozilla public license(?: v 2 0)? if a copy of the mpl was not distributed with this file you can obtain one"
+              " at(?: http)?(?: https)? mozilla org mpl 2 0"),
+    "cc-by": _attribution(""), "cc-by-sa": _attribution(" sharealike"), "cc-by-nc": _attribution(" noncommercial"), "cc-by-nd": _attribution(" noderivatives"),
+    "cc-by-nc-sa": _attribution(" noncommercial sharealike"), "cc-by-nc-nd": _attribution(" noncommercial noderivatives"),
+    "cc0": f"(?: to the extent possible under law)?{_some(0, 6)} has waived all copyright and related or neighboring rights(?: to this work)?",
+}
+
+
 def _op9() -> str:
     at = " UNION ALL ".join(
         f"SELECT doc_id, '{label}' AS label, unnest(list_filter(range(0, len(w)), lambda i: array_to_string(w[i + 1:i + {len(p.split())}], ' ') = '{p}')) AS i FROM d"
         for p, label in licenses.PHRASES.items())
-    more = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label FROM t WHERE regexp_matches(s, '{licenses.pattern(m)}')" for label, m in licenses.TEMPLATES.items())
+    more = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label FROM t WHERE regexp_matches(s, '{words}(?: |$)')" for label, words in WORDING.items())
     return rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce({LOWERED}, ''), '{PLAIN}') AS w FROM documents),
 t AS (SELECT doc_id, ' ' || array_to_string(w, ' ') AS s FROM d), base AS ({at}), more AS ({more}),
