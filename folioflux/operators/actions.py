@@ -87,7 +87,8 @@ def changed_snapshots(stored: DataFrame, loaded: DataFrame) -> DataFrame:
     """Scheme-months of ``loaded`` whose isin/quantity/value/NAV rows differ from what is stored."""
     columns = ["scheme_id", "report_month", "isin", "quantity", "market_value_lakhs", "pct_nav"]
     touched = loaded.select("scheme_id", "report_month").distinct()
-    old = stored.select(*columns).join(touched, ["scheme_id", "report_month"], "left_semi")
+    # Written first: a union of two joins that adaptive execution changes apart fails with unequal partitions.
+    old = cut(stored.select(*columns).join(touched, ["scheme_id", "report_month"], "left_semi"))
     # One grouped pass instead of two set differences: identical rows from both sides cancel.
     signed = old.withColumn("_s", F.lit(-1)).unionByName(loaded.select(*columns).withColumn("_s", F.lit(1)))
     return (signed.groupBy(*columns).agg(F.sum("_s").alias("_d")).filter(F.col("_d") != 0)
@@ -97,6 +98,8 @@ def changed_snapshots(stored: DataFrame, loaded: DataFrame) -> DataFrame:
 def drop_derived(status: DataFrame, deltas: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Status and deltas without anything derived from changed snapshots, and the later months to re-run."""
     keys = ["scheme_id", "report_month"]
+    # Joined three times: computed once.
+    changed = cut(changed)
     as_prev = changed.withColumnRenamed("report_month", "prev_month")
     kept = deltas.join(changed, keys, "left_anti").join(as_prev, ["scheme_id", "prev_month"], "left_anti")
     later = deltas.join(as_prev, ["scheme_id", "prev_month"], "left_semi").select(*keys).distinct()

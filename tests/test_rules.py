@@ -2,7 +2,9 @@
 
 import random
 import statistics
+from collections import Counter
 
+import __spark_entry__ as entry
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +186,16 @@ def test_notable_lists(spark):
 def test_parse_stocks(spark):
     df = spark.createDataFrame([(1, "ine002a01018, INE002A01018,"), (2, "nonsense")], "k int, stocks string")
     assert {(r.k, r.valid, r.isin) for r in K.parse_stocks(df, key_cols=("k",)).collect()} == {(1, True, "INE002A01018"), (2, False, None)}
+
+
+def test_staleness_with_joins_that_are_not_broadcast(spark):
+    folder = "/root/testdata/sf0.01"
+    want = Counter(r.kept for r in entry.queries()["drop_derived"](spark, folder).collect())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        assert Counter(r.kept for r in entry.queries()["drop_derived"](spark, folder).collect()) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
