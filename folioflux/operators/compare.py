@@ -31,25 +31,28 @@ def _cell(side: str, column: str) -> Column:
 def pair_months(holdings: DataFrame) -> DataFrame:
     """One row per (scheme, isin, month) held in the month or the calendar month before.
 
-    Only schemes with a snapshot in both months are paired. Each security's own
-    months are put side by side with one lag/lead pass keyed on (scheme, isin)
-    -- groups no longer than the number of months -- instead of joining the
-    table with a shifted copy of itself.
+    Only schemes with a snapshot in both months are paired. Holdings are exchanged
+    once, by scheme: whether the neighbouring months are loaded is a count over a
+    scheme's rows of that month, and each security's own months are put side by
+    side with one lag/lead pass -- instead of joining the table with itself.
     """
-    snapshots = (holdings.select("scheme_id", "report_month").distinct()
-                 .groupBy("scheme_id").agg(F.collect_set(C.month_index("report_month")).alias("_months")))
+    scheme = W.partitionBy("scheme_id").orderBy("_i")
     own = W.partitionBy("scheme_id", "isin").orderBy("_i")
     here = F.struct(*CELLS)
-    rows = (holdings.select("scheme_id", "isin", C.month_index("report_month").alias("_i"), here.alias("_h"))
+
+    def loaded(by: int) -> Column:
+        return F.count(F.lit(1)).over(scheme.rangeBetween(by, by)) > 0
+    rows = (holdings.select("scheme_id", "isin", C.month_index("report_month").alias("_i"), *CELLS)
+            .filter(F.col("scheme_id").isNotNull() & F.col("_i").isNotNull()).repartition("scheme_id")
+            .withColumns({"_loaded_before": loaded(-1), "_loaded_after": loaded(1)})
+            .select("scheme_id", "isin", "_i", "_loaded_before", "_loaded_after", here.alias("_h"))
             .withColumn("_before", F.when(F.lag("_i").over(own) == F.col("_i") - 1, F.lag("_h").over(own)))
             .withColumn("_last", F.coalesce(F.lead("_i").over(own) != F.col("_i") + 1, F.lit(True))))
     nothing = F.lit(None).cast(rows.schema["_h"].dataType)
     held = F.struct(F.col("_i").alias("i"), F.col("_before").alias("prev"), F.col("_h").alias("curr"))
     gone = F.struct((F.col("_i") + 1).alias("i"), F.col("_h").alias("prev"), nothing.alias("curr"))
-    paired = (rows.withColumn("_pair", F.explode(F.when(F.col("_last"), F.array(held, gone)).otherwise(F.array(held))))
-              .select("scheme_id", "isin", "_pair.*")
-              .join(snapshots, "scheme_id")
-              .filter(F.array_contains("_months", F.col("i")) & F.array_contains("_months", F.col("i") - 1)))
+    sides = F.array_compact(F.array(F.when(F.col("_loaded_before"), held), F.when(F.col("_last") & F.col("_loaded_after"), gone)))
+    paired = rows.withColumn("_pair", F.explode(sides)).select("scheme_id", "isin", "_pair.*")
 
     def month_text(i: Column) -> Column:
         return F.format_string("%04d-%02d", F.floor(i / 12).cast("int"), (i % 12 + 1).cast("int"))

@@ -121,3 +121,23 @@ def test_scheme_without_house_fails(spark):
 def test_split_candidate_boundary(spark):
     df = spark.createDataFrame([(100.0, 10.0, 500.0, 2.0), (100.0, 10.0, 500.0, 9.0), (0.0, 1.0, 1.0, 1.0)], "a double, b double, c double, d double")
     assert [r[0] for r in df.select(D.split_candidate(*map(F.col, "abcd"))).collect()] == [5.0, None, None]
+
+
+def plan_of(spark, make):
+    """The physical plan with joins as on tables too large to broadcast."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "-1")
+        return make()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_holdings_are_exchanged_once_to_pair_their_months(spark):
+    rows = [(1, "A", 1.0, 1.0, 1.0, "2026-01"), (1, "B", 2.0, 1.0, 1.0, "2026-01"), (1, "A", 3.0, 1.0, 1.0, "2026-02"), (1, "C", 5.0, 1.0, 1.0, "2026-04"),
+            (2, "A", 1.0, 1.0, 1.0, "2026-02"), (None, "A", 1.0, 1.0, 1.0, "2026-02"), (None, "A", 1.0, 1.0, 1.0, "2026-03"), (3, "A", 1.0, 1.0, 1.0, None), (3, "B", 1.0, 1.0, 1.0, None)]
+    holdings = spark.createDataFrame(rows, H + ", report_month string")
+    got = {(r.scheme_id, r.isin, r.report_month, r.prev_month, r.quantity_prev, r.quantity_curr) for r in D.pair_months(holdings).collect()}
+    assert got == {(1, "A", "2026-02", "2026-01", 1.0, 3.0), (1, "B", "2026-02", "2026-01", 2.0, 0.0)}
+    assert plan_of(spark, lambda: D.pair_months(holdings)).count("Exchange hashpartitioning") == 1
