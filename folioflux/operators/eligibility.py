@@ -39,6 +39,25 @@ def comparable_scheme_months(status: DataFrame, bad_quantity: DataFrame) -> Data
     return votes.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == 2).select(*KEYS)
 
 
+def comparable_months(status: DataFrame, bad_quantity: DataFrame) -> DataFrame:
+    """(scheme_id, _months): the comparable months of each scheme in one array."""
+    return comparable_scheme_months(status, bad_quantity).groupBy("scheme_id").agg(F.collect_set("report_month").alias("_months"))
+
+
+def free_to_vote(rows: DataFrame, votes: DataFrame, status: DataFrame | None, bad_quantity: DataFrame) -> DataFrame:
+    """Rows of the schemes in ``votes``, with their columns, of which neither month is withheld.
+
+    A scheme's withheld months are one array: the rows are exchanged at most once, by scheme, and not for each of the months.
+    """
+    withheld = (withheld_scheme_months(status, bad_quantity).groupBy("scheme_id")
+                .agg(F.collect_set("report_month").alias("_withheld")))
+
+    def barred(month: str):
+        return F.coalesce(F.array_contains("_withheld", F.col(month)), F.lit(False))
+    return (rows.join(votes.join(withheld, "scheme_id", "left"), "scheme_id")
+            .filter(~barred("report_month") & ~barred("prev_month")).drop("_withheld"))
+
+
 def active_equity(schemes: DataFrame) -> DataFrame:
     return schemes.filter(F.col("is_active_equity") == 1)
 
@@ -49,12 +68,8 @@ def eligible_deltas(deltas: DataFrame, schemes: DataFrame, stocks: DataFrame, st
     """Delta rows that vote, with stock and house attributes. A withheld month bars both its comparisons."""
     votes = active_equity(schemes) if active_only else schemes
     listed = stocks if instrument is None else stocks.filter(F.col("instrument_type") == instrument)
-    withheld = withheld_scheme_months(status, bad_quantity)
-    return (deltas
-            .join(listed.select("isin", F.col("name").alias("stock_name"), "industry", "instrument_type"), "isin")
-            .join(votes.select("scheme_id", "amc_name"), "scheme_id")
-            .join(withheld, KEYS, "left_anti")
-            .join(withheld.withColumnRenamed("report_month", "prev_month"), ["scheme_id", "prev_month"], "left_anti"))
+    rows = deltas.join(listed.select("isin", F.col("name").alias("stock_name"), "industry", "instrument_type"), "isin")
+    return free_to_vote(rows, votes.select("scheme_id", "amc_name"), status, bad_quantity)
 
 
 def compared_voters(deltas: DataFrame, schemes: DataFrame, stocks: DataFrame, status: DataFrame | None,
@@ -64,12 +79,9 @@ def compared_voters(deltas: DataFrame, schemes: DataFrame, stocks: DataFrame, st
     Deltas are reduced to scheme-months before the eligibility joins.
     """
     votes = active_equity(schemes) if active_only else schemes
-    withheld = withheld_scheme_months(status, bad_quantity)
-    return (deltas.filter(F.col("prev_month").isNotNull()).join(stocks.select("isin"), "isin", "left_semi")
-            .select(*KEYS, "prev_month").distinct().join(votes.select("scheme_id"), "scheme_id", "left_semi")
-            .join(withheld, KEYS, "left_anti")
-            .join(withheld.withColumnRenamed("report_month", "prev_month"), ["scheme_id", "prev_month"], "left_anti")
-            .select(*KEYS))
+    months = (deltas.filter(F.col("prev_month").isNotNull()).join(stocks.select("isin"), "isin", "left_semi")
+              .select(*KEYS, "prev_month").distinct())
+    return free_to_vote(months, votes.select("scheme_id").distinct(), status, bad_quantity).select(*KEYS)
 
 
 def voting_schemes(eligible: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from folioflux.operators import active as A
 from folioflux.operators import compare as D
+from folioflux.operators import eligibility as E
 
 H = "scheme_id bigint, isin string, quantity double, market_value_lakhs double, pct_nav double"
 
@@ -141,3 +142,22 @@ def test_holdings_are_exchanged_once_to_pair_their_months(spark):
     got = {(r.scheme_id, r.isin, r.report_month, r.prev_month, r.quantity_prev, r.quantity_curr) for r in D.pair_months(holdings).collect()}
     assert got == {(1, "A", "2026-02", "2026-01", 1.0, 3.0), (1, "B", "2026-02", "2026-01", 2.0, 0.0)}
     assert plan_of(spark, lambda: D.pair_months(holdings)).count("Exchange hashpartitioning") == 1
+
+
+STATUS, BAD = "scheme_id bigint, report_month string, status string", "scheme_id bigint, report_month string"
+STOCKS = "isin string, name string, industry string, instrument_type string"
+
+
+def test_comparisons_are_exchanged_by_scheme_and_not_for_each_of_their_months(spark):
+    deltas = spark.createDataFrame([(s, "A", m, p) for s in (1, 2, 3) for m, p in (("2026-02", "2026-01"), ("2026-03", "2026-02"), ("2026-04", "2026-03"), ("2026-05", None))],
+                                   "scheme_id bigint, isin string, report_month string, prev_month string")
+    schemes = spark.createDataFrame([(1, "X", 1), (2, "Y", 1), (3, "Z", 0)], "scheme_id bigint, amc_name string, is_active_equity int")
+    stocks = spark.createDataFrame([("A", "a", "i", "equity")], STOCKS)
+    status = spark.createDataFrame([(1, "2026-02", "quarantined"), (2, "2026-04", "ok")], STATUS)
+    bad = spark.createDataFrame([(2, "2026-05")], BAD)
+    want = {(1, "2026-04"), (1, "2026-05"), (2, "2026-02"), (2, "2026-03"), (2, "2026-04")}
+    for make in (E.eligible_deltas, E.compared_voters):
+        got = {(r.scheme_id, r.report_month) for r in make(deltas, schemes, stocks, status, bad).collect()}
+        assert got == (want if make is E.eligible_deltas else want - {(1, "2026-05")})
+    exchanges = [x for x in plan_of(spark, lambda: E.eligible_deltas(deltas, schemes, stocks, status, bad)).splitlines() if "Exchange hashpartitioning" in x]
+    assert exchanges and not any("prev_month" in x for x in exchanges)
