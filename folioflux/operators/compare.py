@@ -223,13 +223,15 @@ def comparison_rows(pairs: DataFrame, schemes: DataFrame, stocks: DataFrame, sta
                     active_only: bool = True) -> DataFrame:
     """Split-adjusted contributions of every validated equity comparison, all months.
 
-    Both months of a scheme must be stored as ok and free of unreadable equity quantities.
+    Both months of a scheme must be stored as ok and free of unreadable equity quantities. A scheme's comparable months are
+    one array, so the pairs are exchanged at most once, by scheme.
     """
-    from folioflux.operators.eligibility import comparable_scheme_months
+    from folioflux.operators.eligibility import comparable_months
     votes = schemes.filter(F.col("is_active_equity") == 1) if active_only else schemes
     equity = stocks.filter(F.col("instrument_type") == "equity").select("isin", F.col("name").alias("stock_name"))
-    rows = (pairs.join(comparable_scheme_months(status, bad_quantity), ["scheme_id", "report_month"], "left_semi")
-            .join(equity, "isin").join(votes.select("scheme_id", "amc_name"), "scheme_id"))
+    voters = votes.select("scheme_id", "amc_name").join(comparable_months(status, bad_quantity), "scheme_id")
+    rows = (pairs.join(equity, "isin").join(voters, "scheme_id")
+            .filter(F.array_contains("_months", F.col("report_month"))).drop("_months"))
     # An absent side counts as a zero holding here, so every row is matched.
     matched = rows.withColumn("in_prev", F.lit(True)).withColumn("in_curr", F.lit(True))
     ratios = split_ratios(matched, actions)

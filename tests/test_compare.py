@@ -161,3 +161,16 @@ def test_comparisons_are_exchanged_by_scheme_and_not_for_each_of_their_months(sp
         assert got == (want if make is E.eligible_deltas else want - {(1, "2026-05")})
     exchanges = [x for x in plan_of(spark, lambda: E.eligible_deltas(deltas, schemes, stocks, status, bad)).splitlines() if "Exchange hashpartitioning" in x]
     assert exchanges and not any("prev_month" in x for x in exchanges)
+
+
+def test_validated_pairs_are_exchanged_by_scheme(spark):
+    holdings = spark.createDataFrame([(s, "A", 1.0 + s, 1.0, 1.0, m) for s in (1, 2, 3) for m in ("2026-01", "2026-02", "2026-03")], H + ", report_month string")
+    schemes = spark.createDataFrame([(1, "X", 1), (2, "Y", 1), (3, "Z", 0)], "scheme_id bigint, amc_name string, is_active_equity int")
+    stocks = spark.createDataFrame([("A", "a", "i", "equity")], STOCKS)
+    status = spark.createDataFrame([(s, m, "ok") for s in (1, 2, 3) for m in ("2026-01", "2026-02", "2026-03")], STATUS)
+    bad = spark.createDataFrame([(2, "2026-01")], BAD)
+    pairs = D.pair_months(holdings)
+    got = {(r.scheme_id, r.report_month) for r in D.comparison_rows(pairs, schemes, stocks, status, bad).collect()}
+    assert got == {(1, "2026-02"), (1, "2026-03"), (2, "2026-03")}
+    plan = plan_of(spark, lambda: D.comparison_rows(pairs, schemes, stocks, status, bad))
+    assert "LeftSemi" not in plan
