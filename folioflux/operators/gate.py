@@ -171,6 +171,15 @@ def gate_issues(holdings: DataFrame, stocks: DataFrame, actions: DataFrame, peer
     return out
 
 
+def statuses(holdings: DataFrame, stocks: DataFrame) -> DataFrame:
+    """(scheme_id, report_month, status) of ``run_gate`` without its issues: the price and ratio checks only warn, so only the
+    checks that can fail a scheme-month are run."""
+    errors = (unavailable_cells(holdings, stocks).unionByName(nav_issues(nav_sum(holdings)))
+              .filter(F.col("severity") == "error").groupBy(*KEYS).agg(F.max(F.lit(True)).alias("_failed")))
+    return (holdings.select(*KEYS).distinct().join(errors, KEYS, "left")
+            .select(*KEYS, F.when(F.coalesce("_failed", F.lit(False)), "quarantined").otherwise("ok").alias("status")))
+
+
 def run_gate(holdings: DataFrame, issues: DataFrame, touched: DataFrame | None = None,
              provenance: DataFrame | None = None) -> DataFrame:
     """One report per touched scheme-month: status, issues, previous snapshot and NAV sum.

@@ -199,3 +199,15 @@ def test_staleness_with_joins_that_are_not_broadcast(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_statuses_are_those_of_the_gate_without_its_warnings(spark):
+    rows = [(s, m, f"INE00{i}A0101{i}", q, 10.0 * q if q else 1.0, w) for s, m, q, w in
+            ((1, "2026-01", 5.0, 50.0), (1, "2026-02", 20.0, 50.0), (2, "2026-01", None, 50.0), (2, "2026-02", 3.0, 60.0), (3, "2026-01", 4.0, 40.0)) for i in (1, 2)]
+    holdings = spark.createDataFrame(rows, "scheme_id bigint, report_month string, isin string, quantity double, market_value_lakhs double, pct_nav double")
+    stocks = holdings.select("isin", F.lit("equity").alias("instrument_type")).distinct()
+    actions = spark.createDataFrame([], "isin string, effective_month string, confirmed int")
+    issues = V.gate_issues(holdings, stocks, actions, X.peer_median_ratios(holdings))
+    want = {tuple(r) for r in V.run_gate(holdings, issues).select("scheme_id", "report_month", "status").collect()}
+    assert {tuple(r) for r in V.statuses(holdings, stocks).collect()} == want
+    assert {s for *_, s in want} == {"ok", "quarantined"}
