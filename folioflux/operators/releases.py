@@ -9,6 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflux.sources.staging import cut
+
 # Supported calculation rules.
 RULES_VERSION = "current"
 LEGACY_RULES_VERSION = "legacy"
@@ -28,15 +30,18 @@ def month_digests(df: DataFrame, name: str, columns: list[str] | None = None) ->
     """(table_name, month, n_rows, digest): the leaves of a table's tree, one for each month.
 
     A leaf is the SHA-256 of its row count and of four sums over the rows' own SHA-256, cut into four numbers of 60 bits:
-    independent of row order and partitioning, and a row more or less or another one changes it.
+    independent of row order and partitioning, and a row more or less or another one changes it. Each number is added up as
+    three of 20 bits, which stay exact in a bigint for 2^43 rows, and only a leaf's sums are put together as decimals.
     """
     columns = sorted(columns or df.columns)
     # Each cell leads with its length, so no two rows share a text and a missing cell is no text at all.
     cell = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
     rows = df.select(month_of_row(df.columns).alias("month"), F.sha2(F.concat_ws("|", *[cell(F.col(c).cast("string")) for c in columns]), 256).alias("h"))
-    parts = [F.sum(F.conv(F.substring("h", 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
-    sums = rows.groupBy("month").agg(F.count(F.lit(1)).alias("n_rows"), *[p.alias(f"s{i}") for i, p in enumerate(parts)])
-    return sums.select(F.lit(name).alias("table_name"), "month", "n_rows", F.sha2(F.concat_ws(":", F.col("n_rows").cast("string"), *[f"s{i}" for i in range(4)]), 256).alias("digest"))
+    numbers = rows.select("month", *[F.conv(F.substring("h", 15 * i + 1, 15), 16, 10).cast("bigint").alias(f"p{i}") for i in range(4)])
+    parts = [F.sum(F.shiftright(f"p{i}", 20 * j).bitwiseAND(F.lit(2 ** 20 - 1))).alias(f"s{i}{j}") for i in range(4) for j in range(3)]
+    sums = numbers.groupBy("month").agg(F.count(F.lit(1)).alias("n_rows"), *parts)
+    whole = lambda i: sum(F.col(f"s{i}{j}").cast("decimal(38,0)") * F.lit(2 ** (20 * j)) for j in range(3)).cast("decimal(38,0)").cast("string")
+    return sums.select(F.lit(name).alias("table_name"), "month", "n_rows", F.sha2(F.concat_ws(":", F.col("n_rows").cast("string"), *map(whole, range(4))), 256).alias("digest"))
 
 
 def table_digest(leaves: DataFrame, name: str) -> DataFrame:
@@ -47,11 +52,7 @@ def table_digest(leaves: DataFrame, name: str) -> DataFrame:
 
 
 def content_fingerprint(tables: dict[str, DataFrame], columns: dict[str, list[str]] | None = None) -> DataFrame:
-    out = None
-    for name in sorted(tables):
-        part = table_digest(month_digests(tables[name], name, (columns or {}).get(name)), name)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, [table_digest(month_digests(tables[name], name, (columns or {}).get(name)), name) for name in sorted(tables)])
 
 
 def folder_months(spark: SparkSession, path: str, column: str = "report_month") -> dict[str, str]:
@@ -105,8 +106,12 @@ def release_id(fingerprint: DataFrame, rules_version: str = RULES_VERSION) -> st
 
 def write_release(spark: SparkSession, root: str, tables: dict[str, DataFrame], rules_version: str = RULES_VERSION,
                   parent: str | None = None) -> str:
-    """Copy all tables below ``release=<id>`` with a manifest; an existing release is left as it is."""
-    fingerprint = content_fingerprint(tables)
+    """Copy all tables below ``release=<id>`` with a manifest; an existing release is left as it is.
+
+    The rows are digested once: the id and both manifests are made from the month digests, a line a month and table.
+    """
+    leaves = cut(reduce(DataFrame.unionByName, [month_digests(df, name) for name, df in sorted(tables.items())]))
+    fingerprint = reduce(DataFrame.unionByName, [table_digest(leaves.filter(F.col("table_name") == name), name) for name in sorted(tables)])
     rid = release_id(fingerprint, rules_version)
     base = f"{root.rstrip('/')}/release={rid}"
     manifest_path = f"{base}/manifest_rows"
@@ -117,8 +122,7 @@ def write_release(spark: SparkSession, root: str, tables: dict[str, DataFrame],
         pass  # no manifest: whatever an earlier attempt has left is written anew
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{base}/{name}")
-    leaves = [month_digests(df, name) for name, df in sorted(tables.items())]
-    reduce(DataFrame.unionByName, leaves).coalesce(1).write.mode("overwrite").parquet(f"{base}/manifest_months")
+    leaves.coalesce(1).write.mode("overwrite").parquet(f"{base}/manifest_months")
     manifest = (fingerprint.withColumn("release_id", F.lit(rid)).withColumn("rules_version", F.lit(rules_version))
                 .withColumn("parent", F.lit(parent).cast("string")))
     # The manifest is written last: a release without one is incomplete and is never read.

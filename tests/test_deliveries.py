@@ -1,5 +1,7 @@
 """Deliveries, cells that are no numbers, refused filings, search, releases and exits on literal rows."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from folioflux.operators import evidence, filings, gate, intake, releases, summary
@@ -112,6 +114,35 @@ def test_leaves_tell_which_month_changed(spark, tmp_path):
     assert {(r.month, r.change) for r in releases.changed_months(before, after).collect()} == {("2026-06", "changed"), ("2026-05", "removed")}
 
 
+def test_leaves_are_sums_of_row_digests(spark):
+    rows = [(s, M, None if s % 5 == 0 else f"I{s}") for s in range(40)]
+    row = releases.month_digests(spark.createDataFrame(rows, "scheme_id int, report_month string, isin string"), "t").first()
+    cell = lambda x: "-" if x is None else f"{len(str(x))}:{x}"
+    hashes = [hashlib.sha256("|".join(cell(x) for x in (isin, month, s)).encode()).hexdigest() for s, month, isin in rows]
+    sums = [sum(int(h[15 * i:15 * i + 15], 16) for h in hashes) for i in range(4)]
+    assert min(sums) > 2 ** 63 and row.n_rows == 40
+    assert row.digest == hashlib.sha256(":".join(map(str, [40, *sums])).encode()).hexdigest()
+
+
+def test_a_release_reads_its_tables_once_for_the_digests_and_once_for_the_copy(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+    rows = spark.createDataFrame([(s, M if s % 2 else "2026-06") for s in range(30)], "scheme_id int, report_month string")
+    counted = rows.withColumn("scheme_id", F.udf(count, "int")("scheme_id"))
+    tables = {"t": counted, "none": rows.limit(0), "plain": rows.select("scheme_id")}
+    rid = releases.write_release(spark, str(tmp_path), tables)
+    assert seen.value == 60     # was four passes
+    want = {tuple(r) for r in releases.content_fingerprint({**tables, "t": rows}).collect()}
+    stored = spark.read.parquet(f"{tmp_path}/release={rid}/manifest_rows")
+    assert {(r.table_name, r.n_rows, r.digest) for r in stored.collect()} == want and {(n, k) for n, k, _ in want} == {("none", 0), ("plain", 30), ("t", 30)}
+    assert {(r.table_name, r.month, r.n_rows) for r in releases.release_leaves(spark, str(tmp_path), rid).collect()} == {("t", M, 15), ("t", "2026-06", 15), ("plain", "", 30)}
+    assert releases.write_release(spark, str(tmp_path), tables) == rid and seen.value == 90
+    assert {n: t.count() for n, t in releases.read_release(spark, str(tmp_path), rid).items()} == {"t": 30, "none": 0, "plain": 30}
+
+
 def test_exits_are_ordered_and_counted(spark):
     rows = [(1, M, f"I{i}", "exited", None if i == 3 else -float(i % 7), -100.0 * i) for i in range(12)] + [(2, M, f"I{i}", "exited", None, float(-i)) for i in range(3)] + [(3, M, "I1", "new", 1.0, 1.0)]
     deltas = spark.createDataFrame(rows, "scheme_id int, report_month string, isin string, action string, flow_lakhs double, value_change_lakhs double") \
