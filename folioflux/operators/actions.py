@@ -43,7 +43,8 @@ def peer_median_ratios(holdings: DataFrame) -> DataFrame:
     # Counted and ordered: computed once.
     ratios = cut(near.select(*columns).unionByName(far.select(*columns)).filter(F.col("ratio").isNotNull()))
     medians = leave_one_out_median(ratios, ["isin", "report_month", "prev_month"], "ratio", "peer_median_ratio")
-    return medians.join(wanted, ["scheme_id", "report_month", "prev_month"], "left_semi")
+    # A row a snapshot, yet a fraction of a byte each once written: by its file's size it would be broadcast with millions of rows.
+    return medians.join(wanted.hint("merge"), ["scheme_id", "report_month", "prev_month"], "left_semi")
 
 
 def corporate_action_candidates(issues: DataFrame, holdings: DataFrame, actions: DataFrame) -> DataFrame:

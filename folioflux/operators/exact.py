@@ -44,7 +44,8 @@ def ranked_values(df: DataFrame, groups: DataFrame, keys: list[str], value: str,
     while True:
         steps = F.percentile_approx("_v", [i / STEPS for i in range(1, STEPS)], ACCURACY)
         sizes = cut(rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_d"), steps.alias("_g")).withColumn("_open", F.col("_d") > ordered).drop("_d"))
-        joined = rows.alias("l").join(sizes.alias("r"), _same(own, "l", "r")).select("l.*", "_open", "_g")
+        # Written values are far larger than their files: never broadcast, here and below.
+        joined = rows.hint("merge").alias("l").join(sizes.alias("r"), _same(own, "l", "r")).select("l.*", "_open", "_g")
         narrow = joined.filter(~F.col("_open")).drop("_open", "_g")
         done = narrow if done is None else done.unionByName(narrow)
         if sizes.filter("_open").isEmpty():
@@ -101,7 +102,7 @@ def leave_one_out_median(df: DataFrame, keys: list[str], value: str, name: str,
     rows = rows.withColumns({"_x1": at(k), "_x2": at(k + 1), "_x3": at(k + 2)}).drop("_r")
     if rest is not None:
         stats = ranked_values(rest, large, keys, value, {"_x1": k, "_x2": k + 1, "_x3": k + 2}, ordered)
-        more = rest.alias("l").join(stats.alias("r"), _same(keys, "l", "r")).select("l.*", "r.n", "r._x1", "r._x2", "r._x3")
+        more = rest.hint("merge").alias("l").join(stats.alias("r"), _same(keys, "l", "r")).select("l.*", "r.n", "r._x1", "r._x2", "r._x3")
         rows = rows.unionByName(more)
     low = F.when(F.col(value) > F.col("_x1"), F.col("_x1")).otherwise(F.col("_x2"))
     high = F.when(F.col(value) > F.col("_x2"), F.col("_x2")).otherwise(F.col("_x3"))

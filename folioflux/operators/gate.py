@@ -107,7 +107,8 @@ def quantity_ratio_issues(holdings: DataFrame, peers: DataFrame, actions: DataFr
     confirmed = (actions.filter(F.col("confirmed") == 1)
                  .select(F.col("effective_month").alias("report_month"), "isin", F.lit(True).alias("_ca")).distinct())
     outside = quantity_ratios(holdings).filter(~F.col("ratio").between(QTY_RATIO_LOW, QTY_RATIO_HIGH))
-    rows = (outside.join(peers.select(*KEYS, "isin", "peer_median_ratio"), [*KEYS, "isin"], "left")
+    # Both sides grow with the holdings, and written peers are far larger than their files: never broadcast.
+    rows = (outside.join(peers.select(*KEYS, "isin", "peer_median_ratio").hint("merge"), [*KEYS, "isin"], "left")
             .join(confirmed, ["report_month", "isin"], "left"))
     ratio, peer = F.col("ratio"), F.col("peer_median_ratio")
     agrees = F.coalesce(F.round(F.abs(peer - ratio) - PEER_AGREEMENT * ratio, 9) <= 0, F.lit(False))

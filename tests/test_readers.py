@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflux.operators.actions import peer_median_ratios
-from folioflux.operators.exact import exact_median, ranked_values
+from folioflux.operators.exact import exact_median, leave_one_out_median, ranked_values
+from folioflux.operators.gate import quantity_ratio_issues
 from folioflux.sources import tables as T
 
 HOLDING = {"isin": "INE001A01011", "instrument_name": "x", "quantity": "20", "market_value_lakhs": "77", "pct_nav": "1.5", "scheme_name": "s",
@@ -95,6 +96,25 @@ def test_non_finite_quantities_do_not_reach_peers(spark):
     assert {r.scheme_id: r.peer_median_ratio for r in out} == {1: 3.0, 2: 2.0}
 
 
+def test_no_table_with_a_row_a_holding_or_snapshot_is_broadcast(spark, tmp_path):
+    """By the sizes of their files all of these tables are small enough."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    broadcast = lambda df, key: [x for x in plan(df).splitlines() if "BroadcastHashJoin" in x and key in x]
+    rows = [(s, i, f"2024-{m:02d}", float((s * m + len(i)) % 7 + 1)) for s in range(30) for i in ("I", "JJ") for m in range(1, 7) if (s + m) % 11]
+    spark.createDataFrame(rows, "scheme_id long, isin string, report_month string, quantity double").write.parquet(str(tmp_path / "h"))
+    holdings = spark.read.parquet(str(tmp_path / "h"))
+    peers = peer_median_ratios(holdings)
+    assert not broadcast(peers, "scheme_id")
+    peers.write.parquet(str(tmp_path / "p"))
+    none = spark.createDataFrame([], "isin string, effective_month string, confirmed int")
+    issues = quantity_ratio_issues(holdings, spark.read.parquet(str(tmp_path / "p")), none)
+    assert "peer_median_ratio" in plan(issues) and not [x for x in broadcast(issues, "isin") if "scheme_id" in x]
+    keys, written = ["isin", "report_month", "prev_month"], spark.read.parquet(str(tmp_path / "p")).drop("peer_median_ratio")
+    rounds = leave_one_out_median(written, keys, "ratio", "m", ordered=5)
+    assert not [x for x in broadcast(rounds, "isin") if "BuildLeft" in x]
+    assert {tuple(r) for r in rounds.collect()} == {tuple(r) for r in leave_one_out_median(written, keys, "ratio", "m").collect()} and rounds.count() > 200
+
+
 def test_selection_narrows_any_shape_of_values(spark):
     """Runs of equal values, far outliers and even spacing, every rank of the middle, narrowed in many rounds."""
     shapes = {"even": [float(i) for i in range(1001)], "ties": [1.0] * 600 + [2.0] * 500 + [float(i) for i in range(300)], "far": [10.0 ** (i % 300) for i in range(700)], "none": [5.0] * 200,
